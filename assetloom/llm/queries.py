@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, quality_rules
 from .common import n_words, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,56 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
 """
 
 
+@_query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract 3: measurements, failure bits and the verdict of policy v1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    entries = quality_rules.ledger(quality_rules.measured(docs))
+    base = quality_rules.passes("base")
+    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), (base & quality_rules.passes("v1")).alias("kept"), "fail_bits")
+
+
+_LEDGER = r"""
+words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, text FROM documents),
+windows AS (SELECT doc_id, i, (w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM words)),
+again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+lined AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+measures AS (
+  SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines,
+         CAST(len(regexp_replace(coalesce(text, ''), '[^!]', '', 'g')) AS BIGINT) AS n_marks
+  FROM words JOIN lined ON words.doc_id = lined.doc_id LEFT JOIN repeated ON words.doc_id = repeated.doc_id),
+ledger AS (
+  SELECT *, CAST(CAST(n_words < 50 AS INT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS INT) + 4 * CAST(10 * n_symbols > n_words AS INT)
+         + 8 * CAST(10 * n_marks > n_words AS INT) + 16 * CAST(10 * n_dup_lines > 3 * n_lines AS INT)
+         + 32 * CAST(word_chars < 2 * n_words AS INT) + 64 * CAST(word_chars > 20 * n_words AS INT) AS BIGINT) AS fail_bits FROM measures)
+"""
+ORACLE["op3_quality_rules"] = f"""WITH {_LEDGER}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 15) = 0 AS kept, fail_bits FROM ledger
+"""
+
+
+@_query
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy adds to it, from the ledger's bits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.ablations(quality_rules.ledger(quality_rules.measured(docs)))
+
+
+ORACLE["quality_rule_ablations"] = f"""WITH {_LEDGER},
+cases AS (SELECT * FROM (VALUES
+  ('base', 'few_words', 3, 1), ('base', 'repeated_words', 3, 2),
+  ('v1', 'few_words', 15, 1), ('v1', 'repeated_words', 15, 2), ('v1', 'symbols', 15, 4), ('v1', 'exclamation', 15, 8),
+  ('v2', 'few_words', 127, 1), ('v2', 'repeated_words', 127, 2), ('v2', 'symbols', 127, 4), ('v2', 'exclamation', 127, 8),
+  ('v2', 'repeated_lines', 127, 16), ('v2', 'short_words', 127, 32), ('v2', 'long_words', 127, 64)) AS t(policy, rule, mask, bit))
+SELECT policy, rule, count(*) FILTER (fail_bits & bit <> 0) AS n_fail, count(*) FILTER (fail_bits & mask = bit) AS n_fail_alone,
+       count(*) FILTER (fail_bits & mask = 0) AS n_kept, count(*) FILTER (fail_bits & mask & ~bit = 0) AS n_kept_without
+FROM ledger, cases GROUP BY policy, rule
+"""
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
