@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules
+from . import mixing, pieces, quality_rules
 from .common import n_words, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,13 @@ FROM ledger, cases GROUP BY policy, rule
 """
 
 
+@_query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract 4: number and hash of each text's ids, and the hash of what they decode to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(pieces.encoded(docs)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
