@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, quality_rules
+from . import mixing, pieces, quality_rules, toxicity
 from .common import n_words, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +112,14 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encoded(docs)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@_query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract 9: a score for every document from a lexicon learned on the training rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
+    return toxicity.scored(docs, lexicon).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), toxicity.rejected(F.col("toxic_score")).alias("predicted"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
