@@ -22,14 +22,17 @@ from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Entries of a worker's caches: two generations of runs, of which the older one goes when the newer is full, and one of pairs.
-CACHED_RUNS, CACHED_PAIRS = 300_000, 400_000
+CACHED_RUNS, CACHED_PAIRS = 150_000, 200_000
+#: Texts that a worker holds at once with their ids.
+ROWS_AT_ONCE = 256
 
 
 class Pieces:
@@ -98,14 +101,16 @@ class Pieces:
                 longest[end + 1 - size] = size
         failed = bytearray(n // 8 + 1)  # a bit for each position from which no encoding goes on
         out: list[str] = []
-        at, size, score, fits = 0, longest[0], self.score, self.fits
+        at, size, score, known = 0, longest[0], self.score, self.compatible.get
         while at < n:
             before = out[-1] if out else ""
             while size:
                 end = at + size
                 piece = run[at:end]
-                if (size == 1 or piece in score) and not failed[end >> 3] >> (end & 7) & 1 and fits(before, piece):
-                    break
+                if (size == 1 or piece in score) and not failed[end >> 3] >> (end & 7) & 1:
+                    fits = known((before, piece))
+                    if self.fits(before, piece) if fits is None else fits:
+                        break
                 size -= 1
             if size:
                 out.append(piece)
@@ -199,34 +204,23 @@ def load(path: str | None = None) -> Pieces:
     return _LOADED[path]
 
 
-def encode(text: Column, path: str | None = None) -> Column:
-    """The ids of a text column as array<int>."""
+def encoded(docs: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of `docs` (all where None), with the `ids` of the text (array<int>) and what they decode to (`decoded`)."""
+    keep = docs.columns if keep is None else keep
+    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
-    @F.pandas_udf("array<int>")
-    def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for texts in batches:
-            yield pd.Series([np.frombuffer(model.encode_bytes(t), dtype=np.int32) for t in texts], dtype=object)
-
-    return _encode(F.coalesce(text, F.lit("")))
-
-
-def decode(ids: Column, path: str | None = None) -> Column:
-    """The text of a column of ids."""
-
-    @F.pandas_udf("string")
-    def _decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load(path)
-        for rows in batches:
-            yield pd.Series([model.decode(() if x is None else x) for x in rows], dtype=object)
-
-    return _decode(ids)
-
-
-def encoded(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """`docs` with `ids` and `decoded`."""
-    with_ids = docs.withColumn("ids", encode(F.col(text), path))
-    return with_ids.withColumn("decoded", decode(F.col("ids"), path))
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                ids = [np.frombuffer(model.encode_bytes(t), dtype=np.int32) for t in part.column(len(keep)).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists, pa.array([model.decode(x) for x in ids], pa.string())], [*keep, "ids", "decoded"])
+
+    return rows.mapInArrow(work, schema)
 
 
 def digests(rows: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ FROM ledger, cases GROUP BY policy, rule
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract 4: number and hash of each text's ids, and the hash of what they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.digests(pieces.encoded(docs)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return pieces.digests(pieces.encoded(docs, keep=["doc_id"])).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 @_query
