@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, quality_rules, toxicity
+from . import jaccard_join, line_dedup, mixing, pieces, quality_rules, toxicity
 from .common import n_words, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,18 @@ def _query(f: Query) -> Query:
     return f
 
 
+@_query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document its compared lines, those that stay, and the line that stays for each that goes."""
+    return line_dedup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document the class of near-copies it is in, its direct links, and whether it stays."""
+    return jaccard_join.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @_query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract 10: the words that each document gives to the mix."""
