@@ -52,23 +52,13 @@ def verified(members: DataFrame, payload: DataFrame, threshold: float, prune: Ca
     rows = _blocks(members, payload, block).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        key = None
-        for batch in batches:
-            for r in batch.to_pylist():
-                k = (r["bucket"], r["i"], r["j"])
-                if k != key and held:
-                    yield from _emit(compare(held, threshold, prune))
-                    held = []
-                key = k
-                held.append(r)
-        if held:
-            yield from _emit(compare(held, threshold, prune))
+        for g in groups(batches, ("bucket", "i", "j")):
+            yield from emitted(compare(g, threshold, prune))
 
     return rows.mapInArrow(work, "a long, b long, links long")
 
 
-def _emit(found: tuple[list, list, list] | None) -> Iterator[pa.RecordBatch]:
+def emitted(found: tuple[list, list, list] | None) -> Iterator[pa.RecordBatch]:
     if found is not None:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b", "links"])
 
@@ -126,24 +116,44 @@ def compare(rows: list[dict], threshold: float, prune: Callable | None) -> tuple
     linked &= pairs
     if not linked.any():
         return None
-    items = [r["item"] for r in rows]
-    copies = np.array([r["copies"] for r in rows], dtype=np.int64)
-    sym = linked | linked.T
+    return forest(linked | linked.T, [r["item"] for r in rows], np.array([r["copies"] for r in rows], dtype=np.int64))
+
+
+def forest(sym: np.ndarray, items: list[int], copies: np.ndarray) -> tuple[list, list, list]:
+    """Of a symmetric matrix of links: an edge (a, b, null) for each item that a search reaches, and (a, null, linked copies) for each item with a link."""
+    n = len(items)
     links = sym @ copies
     a, b, c = [], [], []
     done = np.zeros(n, dtype=bool)
-    for start in range(n):  # breadth first: an edge for each item reached
-        if done[start] or not sym[start].any():
+    for start in np.flatnonzero(links).tolist():
+        if done[start]:
             continue
         done[start] = True
         front = [start]
         while front:
             x = front.pop()
-            fresh = np.flatnonzero(sym[x] & ~done)
+            fresh = np.flatnonzero(sym[x] & ~done).tolist()
             done[fresh] = True
-            for y in fresh.tolist():
-                a.append(items[x]), b.append(items[y]), c.append(None)
-            front.extend(fresh.tolist())
-    for k in np.flatnonzero(links).tolist():
-        a.append(items[k]), b.append(None), c.append(int(links[k]))
-    return a, b, c
+            a += [items[x]] * len(fresh)
+            b += [items[y] for y in fresh]
+            front += fresh
+    c = [None] * len(b)
+    some = np.flatnonzero(links).tolist()
+    return a + [items[k] for k in some], b + [None] * len(some), c + [int(links[k]) for k in some]
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[list[dict]]:
+    """Consecutive rows of equal key, of batches sorted by it."""
+    held: list[dict] = []
+    last = None
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            for r in batch.slice(start, 512).to_pylist():
+                k = tuple(r[x] for x in key)
+                if k != last and held:
+                    yield held
+                    held = []
+                last = k
+                held.append(r)
+    if held:
+        yield held

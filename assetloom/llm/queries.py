@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, line_dedup, mixing, pieces, quality_rules, toxicity
+from . import cover_tree, jaccard_join, line_dedup, mixing, pieces, quality_rules, toxicity
 from .common import n_words, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,23 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@_query
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract 6: links of cosine 0.98 and more within labels, and the components they make."""
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op6_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS n, vec_id AS m FROM embeddings UNION SELECT reach.n, pairs.b FROM reach JOIN pairs ON pairs.a = reach.m),
+links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT r.n AS vec_id, CAST(coalesce(max(links.n), 0) AS BIGINT) AS n_links, min(r.m) AS component_id, r.n = min(r.m) AS kept
+FROM reach r LEFT JOIN links ON links.a = r.n GROUP BY r.n
+"""
+
+
 @_query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract 10: the words that each document gives to the mix."""
