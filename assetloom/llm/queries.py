@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, jaccard_join, line_dedup, mixing, pieces, quality_rules, toxicity
+from . import cover_tree, jaccard_join, line_dedup, mixing, pieces, pii, quality_rules, toxicity
 from .common import n_words, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +141,16 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encoded(docs, keep=["doc_id"])).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@_query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract 7: counts and digest of the base spans, and all spans with those that the field adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pii.tagged(docs, pii.learn(docs), keep=["doc_id"])
+    base = F.filter("spans", lambda x: x["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 @_query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract 9: a score for every document from a lexicon learned on the training rows."""
