@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, jaccard_join, line_dedup, mixing, pieces, pii, quality_rules, toxicity
+from . import cover_tree, jaccard_join, line_dedup, mixing, pieces, pii, quality_rules, quotes, toxicity
 from .common import n_words, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,41 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@_query
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each message in reply order without its quotes, with the message that it answers."""
+    out = quotes.linked(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", "role", "position", "thread", "reply_to", "n_quoted", "n_linked", "body", quotes.formatted(F.col("role"), F.col("body")).alias("formatted"))
+
+
+ORACLE["op5_quotation_linking"] = r"""
+WITH RECURSIVE lined AS (
+  SELECT conv_id, turn, role, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM conversations),
+leveled AS (SELECT *, len(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level FROM lined),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY i) AS r FROM leveled),
+passages AS (
+  SELECT conv_id, turn, level, min(i) AS pos, trim(string_agg(regexp_replace(line, '^(?:[ \t]*>)+ ?', ''), chr(10) ORDER BY i), ' ') AS body FROM runs GROUP BY conv_id, turn, level, r),
+filled AS (SELECT *, lower(trim(regexp_replace(body, '\s+', ' ', 'g'))) AS norm FROM passages WHERE trim(regexp_replace(body, '\s+', ' ', 'g')) <> ''),
+bodies AS (SELECT conv_id, turn, string_agg(body, chr(10) ORDER BY pos) AS body FROM filled WHERE level = 0 GROUP BY conv_id, turn),
+parts AS (
+  SELECT conv_id, turn, norm FROM filled WHERE level = 0
+  UNION SELECT conv_id, turn, lower(trim(regexp_replace(body, '\s+', ' ', 'g'))) FROM bodies
+  UNION SELECT conv_id, turn, lower(trim(regexp_replace(unnest(regexp_split_to_array(body, '\n\s*\n')), '\s+', ' ', 'g'))) FROM bodies
+  UNION SELECT conv_id, turn, lower(trim(regexp_replace(unnest(string_split(body, chr(10))), '\s+', ' ', 'g'))) FROM bodies),
+originals AS (SELECT conv_id, norm, min(turn) AS first FROM parts WHERE norm <> '' GROUP BY conv_id, norm),
+quoted AS (SELECT DISTINCT conv_id, turn, level, norm FROM filled WHERE level > 0),
+found AS (SELECT q.*, CASE WHEN first < turn THEN first END AS first FROM quoted q LEFT JOIN originals USING (conv_id, norm)),
+replies AS (SELECT conv_id, turn, count(*) AS n_quoted, count(first) AS n_linked, arg_min(first, level * 1000000000 - first) AS reply_to FROM found GROUP BY conv_id, turn),
+heads AS (SELECT conv_id, turn, reply_to AS head FROM replies WHERE reply_to IS NOT NULL UNION SELECT h.conv_id, h.turn, r.reply_to FROM heads h JOIN replies r ON r.conv_id = h.conv_id AND r.turn = h.head WHERE r.reply_to IS NOT NULL),
+threads AS (SELECT conv_id, turn, min(head) AS head FROM heads GROUP BY conv_id, turn),
+joined AS (
+  SELECT c.conv_id, c.turn, c.role, coalesce(b.body, '') AS body, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked, reply_to, coalesce(head, c.turn) AS thread
+  FROM conversations c LEFT JOIN bodies b ON b.conv_id = c.conv_id AND b.turn = c.turn LEFT JOIN replies r ON r.conv_id = c.conv_id AND r.turn = c.turn LEFT JOIN threads t ON t.conv_id = c.conv_id AND t.turn = c.turn)
+SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn) - 1 AS BIGINT) AS position, thread, reply_to, CAST(n_quoted AS BIGINT) AS n_quoted,
+       CAST(n_linked AS BIGINT) AS n_linked, body, '<|' || coalesce(role, 'user') || '|>' || chr(10) || body || chr(10) AS formatted FROM joined
+"""
+
+
 @_query
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract 6: links of cosine 0.98 and more within labels, and the components they make."""
