@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, jaccard_join, line_dedup, mixing, pieces, pii, quality_rules, quotes, toxicity
+from . import cotraining, cover_tree, jaccard_join, line_dedup, mixing, pieces, pii, quality_rules, quotes, toxicity
 from .common import n_words, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,6 +186,15 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+@_query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document from two co-trained views; kept where it is 0.5 or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    model = cotraining.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
+    out = cotraining.scored(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "content_score", "metadata_score", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).alias("kept"))
+
+
 @_query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract 9: a score for every document from a lexicon learned on the training rows."""
