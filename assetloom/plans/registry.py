@@ -1,4 +1,4 @@
-"""All queries of the reference's operators, with their DuckDB twins."""
+"""All queries of the catalog operators, with their DuckDB twins. Each module of this package registers its own."""
 
 from __future__ import annotations
 
@@ -11,8 +11,28 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL that gives the same rows."""
 
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
 
-FLAGSHIP: Query = _flagship
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    from . import budgets, columns, facts, identity, ordered, similarity, texts  # noqa: F401
+
+
+def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["exact_dup_ownership"](spark, sf_dir)
+
+
+_load()
