@@ -29,6 +29,8 @@ from .components import components
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
 HASHES, CHUNK, TOLERANCE, SEED = 128, 16, 1e-4, 7
+#: Items that a task remembers to have banded.
+REMEMBERED = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,7 +118,14 @@ def banded(rows: DataFrame) -> DataFrame:
     names = [f"b{k}" for k in range(BANDS)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in _slices(batches, 256):
+            fresh = [k for k, x in enumerate(part.column(0).to_pylist()) if x not in seen]
+            part = part.take(pa.array(fresh, pa.int64()))
+            if not part.num_rows:
+                continue
+            seen.clear() if len(seen) > REMEMBERED else None
+            seen.update(part.column(0).to_pylist())
             values, sizes = shingle_hashes(part.column(1))
             keys = minhash.bands(minhash.signatures(values, sizes, BANDS * ROWS, SEED), ROWS)
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(keys[:, k]) for k in range(BANDS)]], ["item", *names])
@@ -150,11 +159,11 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     """
     each = items(docs, text, doc_id).where("item IS NOT NULL")
     first = checkpointed(each.groupBy("item").agg(F.min("doc").alias("first_doc"), F.count("*").alias("copies")))
-    bands = banded(each).groupBy("item").agg(*[F.first(f"b{k}").alias(f"b{k}") for k in range(BANDS)])
-    members = neardup.buckets(bands.select("item", F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("band")))
+    members = neardup.buckets(banded(each).select("item", F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("band")))
     # One text of each item that has a candidate: the first document's.
-    wanted = members.select("item").distinct().join(first, "item").select(F.col("item").alias("_item"), F.col("first_doc").alias("_doc"), "copies")
-    texts = each.join(wanted, (F.col("doc") == F.col("_doc")) & (F.col("item") == F.col("_item"))).dropDuplicates(["item"])
+    candidates = members.select("item").distinct()
+    wanted = candidates.join(first, "item").select(F.col("item").alias("_item"), F.col("first_doc").alias("_doc"), "copies")
+    texts = neardup.maybe_wanted(each, candidates, "item").join(wanted, (F.col("doc") == F.col("_doc")) & (F.col("item") == F.col("_item"))).dropDuplicates(["item"])
     found = checkpointed(neardup.verified(members, checkpointed(_payload(texts)), THRESHOLD, pruned))
     links = found.where("b IS NULL").groupBy(F.col("a").alias("item")).agg(F.sum("links").alias("links"))
     roots = components(found.where("b IS NOT NULL")).select(F.col("node").alias("item"), "root")

@@ -7,7 +7,7 @@ the one with the smallest (doc_id, line number) stays.
 
 Equal lines are grouped first, by a 64-bit hash. Signatures are one-permutation MinHash: one hash a shingle,
 its upper bits give the bin, empty bins borrow from the next full one. `BANDS` bands of `ROWS` values give a
-recall of 0.998 at similarity 0.8 and more above. Candidates are verified exactly and joined by distributed
+recall of 0.998 at similarity 0.8 and more above, and few candidates among unlike lines. Candidates are verified exactly and joined by distributed
 union-find.
 
 Cases: a null or empty text has no lines; ties are broken by line number; of repeated rows (same doc_id and text)
@@ -27,12 +27,14 @@ from . import minhash, neardup
 from .common import checkpointed
 from .components import components
 
-SHINGLE, THRESHOLD, BANDS, ROWS = 8, 0.8, 9, 3
+SHINGLE, THRESHOLD, BANDS, ROWS = 8, 0.8, 12, 4
+#: Items that a task remembers to have banded.
+REMEMBERED = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normalised(line: F.Column) -> F.Column:
-    return F.lower(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    return F.lower(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")))
 
 
 def shingle_hashes(lines: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -76,9 +78,21 @@ def banded(rows: DataFrame) -> DataFrame:
     names = [f"b{k}" for k in range(BANDS)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
+                ids = part.column(0).to_pylist()
+                fresh = []
+                for k, x in enumerate(ids):
+                    if x not in seen:
+                        seen.add(x)
+                        fresh.append(k)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                part = part.take(pa.array(fresh, pa.int64()))
+                if not part.num_rows:
+                    continue
                 values, sizes = shingle_hashes(part.column(1).to_pylist())
                 signature = one_permutation(values, sizes, BANDS * ROWS)
                 # Bins of a band lie far apart, as neighbours may have borrowed from one another.
@@ -88,16 +102,10 @@ def banded(rows: DataFrame) -> DataFrame:
     return rows.select("item", "norm").mapInArrow(work, ", ".join(["item long", *[f"{b} long" for b in names]]))
 
 
-def _payload(rows: DataFrame) -> DataFrame:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                values, sizes = minhash.distinct(*shingle_hashes(part.column(1).to_pylist()))
-                ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([values[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)], pa.binary())], ["item", "shingles"])
-
-    return rows.select("item", "norm").mapInArrow(work, "item long, shingles binary").withColumn("copies", F.lit(1).cast("long"))
+def shingle_sets(norms: list[str]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each line."""
+    values, sizes = minhash.distinct(*shingle_hashes(norms))
+    return np.split(values, np.cumsum(sizes)[:-1])
 
 
 def lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -111,11 +119,11 @@ def line_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """(item, first: struct<doc, line>): for each distinct line, the line that stays of its component."""
     all_lines = lines(docs, text, doc_id)
     place = all_lines.groupBy("item").agg(F.min(F.struct("doc", "line")).alias("first"))
-    bands = banded(all_lines).groupBy("item").agg(*[F.first(f"b{k}").alias(f"b{k}") for k in range(BANDS)])
-    members = neardup.buckets(bands.select("item", F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("band")))
+    members = neardup.buckets(banded(all_lines).select("item", F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("band")))
     wanted = members.select("item").distinct()
-    norms = all_lines.select("item", "norm").join(wanted, "item", "left_semi").dropDuplicates(["item"])
-    links = neardup.verified(members, checkpointed(_payload(norms)), THRESHOLD)
+    norms = neardup.maybe_wanted(all_lines.select("item", "norm"), wanted, "item").join(wanted, "item", "left_semi")
+    payload = norms.groupBy("item").agg(F.first("norm").alias("shingles")).withColumn("copies", F.lit(1).cast("long"))
+    links = checkpointed(neardup.verified(members, payload, THRESHOLD, unpack=shingle_sets))
     roots = components(links.where("b IS NOT NULL")).select(F.col("node").alias("item"), "root")
     place = checkpointed(place)
     rooted = place.join(roots, "item")

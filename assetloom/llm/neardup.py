@@ -19,18 +19,38 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Items in a block.
-BLOCK = 256
+#: Items in a block; bits a wanted key and the most bitmaps of a filter.
+BLOCK, SLOTS, MOST_BITMAPS = 256, 16, 8192
 
 
 def buckets(banded: DataFrame) -> DataFrame:
-    """(item, bucket) from (item, band): bands of two items or more, once where several hold the same items."""
-    n = F.count("*").over(W.partitionBy("band"))
-    shared = checkpointed(banded.withColumn("n", n).where("n > 1"))
+    """(item, bucket, n) from (item, band): bands of two items or more, once where several hold the same items.
+
+    Rows may repeat; only bands that are left after the first step are made distinct.
+    """
+    own = W.partitionBy("band")
+    several = banded.withColumns({"lo": F.min("item").over(own), "hi": F.max("item").over(own)}).where("lo <> hi")
+    shared = checkpointed(several.select("item", "band").distinct())
     h = F.xxhash64("item")
     held = shared.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"))
     kept = held.groupBy("n", "x", "s").agg(F.min("band").alias("band")).select("band")
-    return checkpointed(shared.join(kept, "band", "left_semi").select("item", F.col("band").alias("bucket"), "n"))
+    kept = kept.join(held.select("band", "n"), "band")
+    return checkpointed(shared.join(kept, "band").select("item", F.col("band").alias("bucket"), "n"))
+
+
+def maybe_wanted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose key may be among `wanted` (a distinct column of that name): a filter before the join that decides.
+
+    A Bloom filter of one hash in 4 KB bitmaps: `SLOTS` bits for each wanted key, until there are `MOST_BITMAPS`
+    of them (32 MB, the bound of what is broadcast). With more keys it lets more rows pass, never fewer than it must.
+    """
+    k = min(MOST_BITMAPS, wanted.count() * SLOTS // 32768 + 1)
+    h = F.xxhash64(F.lit("wanted"), F.col(key))
+    place = {"_map": F.pmod(h, F.lit(k)), "_bit": F.pmod(F.shiftrightunsigned(h, 24), F.lit(32768))}
+    maps = wanted.withColumns(place).groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    rows = rows.withColumns(place).join(F.broadcast(maps), "_map")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return rows.where(F.call_function("shiftright", byte, F.pmod("_bit", F.lit(8)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1).drop("_map", "_bit", "_bits")
 
 
 def _blocks(members: DataFrame, payload: DataFrame, block: int) -> DataFrame:
@@ -43,17 +63,18 @@ def _blocks(members: DataFrame, payload: DataFrame, block: int) -> DataFrame:
     return rows.select("bucket", F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"), F.col("_mine").alias("mine"), "item", "copies", "own", "shingles", *[c for c in payload.columns if c == "signature"])
 
 
-def verified(members: DataFrame, payload: DataFrame, threshold: float, prune: Callable | None = None, block: int = BLOCK) -> DataFrame:
+def verified(members: DataFrame, payload: DataFrame, threshold: float, prune: Callable | None = None, unpack: Callable | None = None, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) of a spanning forest of all links in each group, and rows (item, null, links) with linked copies.
 
-    payload: (item, copies, shingles[, signature]); shingles are sorted distinct 64-bit hashes as bytes. prune takes
-    two signature matrices and gives the pairs that may reach the threshold.
+    payload: (item, copies, shingles[, signature]). Shingles are sorted distinct 64-bit hashes as bytes, or whatever
+    `unpack` makes a list of such arrays from. `prune` takes a matrix of signatures and pairs and gives those pairs
+    that may reach the threshold.
     """
     rows = _blocks(members, payload, block).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ("bucket", "i", "j")):
-            yield from emitted(compare(g, threshold, prune))
+            yield from emitted(compare(g, threshold, prune, unpack))
 
     return rows.mapInArrow(work, "a long, b long, links long")
 
@@ -83,7 +104,7 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def compare(rows: list[dict], threshold: float, prune: Callable | None) -> tuple[list, list, list] | None:
+def compare(rows: list[dict], threshold: float, prune: Callable | None, unpack: Callable | None = None) -> tuple[list, list, list] | None:
     """Links of one group: pairs within block i (i = j) or between blocks i and j."""
     bucket, cross = rows[0]["bucket"], rows[0]["i"] != rows[0]["j"]
     rows = list({r["item"]: r for r in rows}.values())
@@ -108,7 +129,8 @@ def compare(rows: list[dict], threshold: float, prune: Callable | None) -> tuple
     some = np.flatnonzero(pairs.any(axis=0) | pairs.any(axis=1))
     if not len(some):
         return None
-    sets = [np.frombuffer(rows[k]["shingles"], dtype=np.uint64) for k in some]
+    packed = [rows[k]["shingles"] for k in some]
+    sets = unpack(packed) if unpack else [np.frombuffer(x, dtype=np.uint64) for x in packed]
     size = np.array([len(s) for s in sets], dtype=np.float64)
     both = _shared(sets).astype(np.float64)
     linked = np.zeros((n, n), dtype=bool)
