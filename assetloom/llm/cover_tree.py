@@ -70,11 +70,6 @@ class CoverTree:
             out = np.zeros(len(nets[level + 1]))
             np.maximum.at(out, leaf, d)
             self.radii.append(out + 1e-9)
-        self.children = []
-        for up in parents:
-            order = np.argsort(up, kind="stable")
-            count = np.bincount(up)
-            self.children.append((order, np.cumsum(count) - count, count))
 
     def _net(self, ids: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
         """A greedy net: each point is covered by an earlier centre within r, or becomes one."""
@@ -100,48 +95,46 @@ class CoverTree:
             left = left[~inside]
         return ids[np.array(centres)], up
 
-    def opened(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Children (at level - 1) of nodes of a level, with the place of the node that each is from."""
-        order, start, count = self.children[level - 1]
-        size = count[nodes]
-        place = np.repeat(np.arange(len(nodes)), size)
-        inside = np.arange(len(place)) - np.repeat(np.cumsum(size) - size, size)
-        return order[start[nodes][place] + inside], place
-
-
-def near_pairs(a: CoverTree, b: CoverTree, radius: float, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Dual traversal: all (i, j) with points within the radius, and maybe a few just beyond it."""
-    stack = [(len(a.nets) - 1, len(b.nets) - 1, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
-    while stack:
-        la, lb, p, q = stack.pop()
-        if len(p) > most:
-            half = len(p) // 2
-            stack += [(la, lb, p[:half], q[:half]), (la, lb, p[half:], q[half:])]
-            continue
-        ca, cb = a.points[a.nets[la][p]], b.points[b.nets[lb][q]]
-        d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", ca, cb))) if len(p) < 4096 else _paired(a, b, la, lb, p, q)
-        keep = d <= radius + a.radii[la][p] + b.radii[lb][q] + 1e-7
-        p, q = p[keep], q[keep]
-        if not len(p):
-            continue
-        if la == lb == 0:
-            yield p, q
-        elif la >= lb:
-            child, at = a.opened(la, p)
-            stack.append((la - 1, lb, child, q[at]))
-        else:
-            child, at = b.opened(lb, q)
-            stack.append((la, lb - 1, p[at], child))
 
 
-def _paired(a: CoverTree, b: CoverTree, la: int, lb: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Chords of many pairs from the matrix of the centres that they touch."""
-    up, ip = np.unique(p, return_inverse=True)
-    uq, iq = np.unique(q, return_inverse=True)
-    if len(up) * len(uq) > 4 * len(p):
+def near_pairs(a: CoverTree, b: CoverTree, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Dual traversal: all (i, j) with points within the radius, and maybe a few just beyond it.
+
+    Both trees are opened level by level. The node pairs of a level are a matrix of what is still open; only rows
+    and columns with an open pair are measured, as a product of matrices, or pair by pair where few are open.
+    """
+    la, lb = len(a.nets) - 1, len(b.nets) - 1
+    p, q = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)  # nodes with an open pair
+    still = np.ones((1, 1), dtype=bool)
+    while True:
         ca, cb = a.points[a.nets[la][p]], b.points[b.nets[lb][q]]
-        return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", ca, cb)))
-    return distances(a.points[a.nets[la][up]], b.points[b.nets[lb][uq]])[ip, iq]
+        bound = radius + 1e-7 + a.radii[la][p][:, None] + b.radii[lb][q][None, :]
+        if still.mean() > 0.02:
+            still &= distances(ca, cb) <= bound
+        else:
+            x, y = np.nonzero(still)
+            far = np.concatenate([np.zeros(0, dtype=bool), *[np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", ca[x[k : k + 8192]], cb[y[k : k + 8192]]))) > bound[x[k : k + 8192], y[k : k + 8192]] for k in range(0, len(x), 8192)]])
+            still[x[far], y[far]] = False
+        rows, columns = still.any(axis=1), still.any(axis=0)
+        p, q, still = p[rows], q[columns], still[rows][:, columns]
+        if not len(p) or (la == 0 and lb == 0):
+            x, y = np.nonzero(still)
+            return p[x], q[y]
+        at, ids = _below(a, la, p)
+        bt, jds = _below(b, lb, q)
+        p, q, still = ids, jds, still[at][:, bt]
+        la, lb = max(0, la - 1), max(0, lb - 1)
+
+
+def _below(tree: CoverTree, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The children of nodes: the place of each one's parent among them, and its own number a level down."""
+    if level == 0:
+        return np.arange(len(nodes)), nodes
+    place = np.full(len(tree.nets[level]), -1, dtype=np.int64)
+    place[nodes] = np.arange(len(nodes))
+    parent = place[tree.parents[level - 1]]
+    ids = np.flatnonzero(parent >= 0)
+    return parent[ids], ids
 
 
 def _valid(v: F.Column) -> F.Column:
@@ -214,19 +207,36 @@ def links(items: DataFrame, label_type: str, cosine: float = COSINE, sample: int
     return flat.mapInArrow(work, "a long, b long, links long")
 
 
+_TREES: dict[tuple, CoverTree] = {}
+
+
+def _tree(rows: list[dict]) -> CoverTree:
+    """The tree of a block; the last few are kept, as a block meets one block after another."""
+    rows.sort(key=lambda r: r["item"])
+    x = np.array([r["vector"] for r in rows], dtype=np.float64)
+    key = (x.shape, hash(x.tobytes()))
+    if key not in _TREES:
+        while len(_TREES) > 3:
+            del _TREES[next(iter(_TREES))]
+        _TREES[key] = CoverTree(unit(x))
+    return _TREES[key]
+
+
 def _compare(rows: list[dict], cosine: float, radius: float) -> tuple[list, list, list] | None:
     same = (rows[0]["ic"], rows[0]["ib"]) == (rows[0]["jc"], rows[0]["jb"])
     left = [r for r in rows if r["left"]]
     right = left if same else [r for r in rows if not r["left"]]
     if not left or not right or (same and len(left) < 2):
         return None
-    a = CoverTree(unit(np.array([r["vector"] for r in left])))
-    b = a if same else CoverTree(unit(np.array([r["vector"] for r in right])))
+    a = _tree(left)
+    b = a if same else _tree(right)
     n = len(left) if same else len(left) + len(right)
     sym = np.zeros((n, n), dtype=bool)
-    for p, q in near_pairs(a, b, radius):
-        ok = np.einsum("ij,ij->i", a.points[p], b.points[q]) >= cosine
-        sym[p[ok], q[ok] + (0 if same else len(left))] = True
+    p, q = near_pairs(a, b, radius)
+    for k in range(0, len(p), 8192):  # verified in double precision
+        x, y = p[k : k + 8192], q[k : k + 8192]
+        ok = np.einsum("ij,ij->i", a.points[x], b.points[y]) >= cosine
+        sym[x[ok], y[ok] + (0 if same else len(left))] = True
     sym |= sym.T
     np.fill_diagonal(sym, False)
     if not sym.any():
