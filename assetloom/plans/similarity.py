@@ -1 +1,113 @@
+"""Queries on perceptual similarity: the 56-bit difference hash of an embedding stands for a picture's hash."""
 
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assetloom.functions import bits, numbers
+from assetloom.operators import similarity as S
+
+from .registry import query, table
+
+#: Wide enough for some pairs in the driver's tables.
+DISTANCE = 14
+_PLACES = [r * 8 + c for r in range(8) for c in range(7)]
+_HASH = " + ".join(f"CASE WHEN embedding[{p + 1}] > embedding[{p + 2}] THEN {1 << (55 - k)} ELSE 0 END" for k, p in enumerate(_PLACES))
+_H = f"h AS (SELECT vec_id, label, CAST({_HASH} AS BIGINT) AS dhash FROM embeddings)"
+_PAIRS = f"{_H}, pairs AS (SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.dhash, y.dhash)) AS BIGINT) AS distance, x.label AS la, y.label AS lb FROM h x JOIN h y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.dhash, y.dhash)) <= {DISTANCE})"
+
+
+def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", bits.difference_hash(F.col("embedding")).alias("dhash"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.hamming_pairs(_hashes(spark, sf_dir), "vec_id", "dhash", DISTANCE, DISTANCE + 2).withColumn("distance", F.col("distance").cast("long"))
+
+
+def _shared_folder(spark: SparkSession) -> None:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="assetloom-"))
+
+
+@query(f"WITH {_H} SELECT vec_id, dhash FROM h")
+def dhash_signature(spark, sf_dir):
+    """SCL-42."""
+    return _hashes(spark, sf_dir).select("vec_id", "dhash")
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, distance FROM pairs")
+def hamming_pairs(spark, sf_dir):
+    """JON-08, SCL-40, JON-21."""
+    return _pairs(spark, sf_dir)
+
+
+@query(f"""WITH {_PAIRS}, two AS (SELECT a AS probe, b AS match, distance, la, lb FROM pairs UNION ALL SELECT b, a, distance, lb, la FROM pairs),
+s AS (SELECT probe, match, distance, round_even(greatest(0.0::DOUBLE, 100.0::DOUBLE - 8 * distance - 100 * (CASE WHEN la = lb THEN 0.0::DOUBLE ELSE 0.05::DOUBLE END)), 1) AS score FROM two)
+SELECT *, row_number() OVER (PARTITION BY probe ORDER BY distance, score DESC, match) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY probe ORDER BY distance, score DESC, match) <= 12""")
+def similar_topk(spark, sf_dir):
+    """SRT-02, SCL-32, JON-07: the twelve best matches of each vector."""
+    labels = _hashes(spark, sf_dir).select("vec_id", "label")
+    p = _pairs(spark, sf_dir)
+    both = p.select(F.col("a").alias("probe"), F.col("b").alias("match"), "distance").unionByName(p.select(F.col("b").alias("probe"), F.col("a").alias("match"), "distance"))
+    both = both.join(labels.select(F.col("vec_id").alias("probe"), F.col("label").alias("la")), "probe").join(labels.select(F.col("vec_id").alias("match"), F.col("label").alias("lb")), "match")
+    score = numbers.similarity_score(F.col("distance"), F.when(F.col("la") == F.col("lb"), 0.0).otherwise(0.05))
+    return S.top_k(both.select("probe", "match", "distance", score.alias("score")), "probe", [F.col("distance"), F.desc("score"), F.col("match")], 12)
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, distance FROM pairs WHERE la <> lb")
+def ignored_pair_antijoin(spark, sf_dir):
+    """DML-17, JON-08, SCL-45: pairs within a label are on the list of ignored ones."""
+    labels = _hashes(spark, sf_dir).select("vec_id", "label")
+    p = _pairs(spark, sf_dir)
+    known = p.join(labels.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("vec_id").alias("b"), F.col("label").alias("lb")), "b")
+    ignored = known.where("la = lb").select(bits.pair_key(F.col("a").cast("string"), F.col("b").cast("string")).alias("pair"))
+    return S.without_ignored(p, ignored)
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs),
+r AS (SELECT DISTINCT x AS n, x AS m FROM e UNION SELECT r.n, e.y FROM r JOIN e ON e.x = r.m) SELECT n AS vec_id, min(m) AS component FROM r GROUP BY n""")
+def duplicate_components(spark, sf_dir):
+    """ITR-01, JON-09, JON-10: components of the similar pairs."""
+    _shared_folder(spark)
+    p = _pairs(spark, sf_dir).checkpoint()
+    nodes = p.select(F.col("a").alias("vec_id")).unionByName(p.select(F.col("b").alias("vec_id"))).distinct()
+    return S.components(p, nodes, "vec_id")
+
+
+@query()
+def star_groups(spark, sf_dir):
+    """ITR-02, ITR-03: groups around the member of the highest id, within the components."""
+    _shared_folder(spark)
+    p = _pairs(spark, sf_dir).checkpoint()
+    nodes = p.select(F.col("a").alias("vec_id")).unionByName(p.select(F.col("b").alias("vec_id"))).distinct()
+    members = S.components(p, nodes, "vec_id").select("component", F.col("vec_id").alias("item"), F.col("vec_id").alias("quality"), F.col("vec_id").alias("order"))
+    return S.star_groups(p.select("a", "b"), members)
+
+
+def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fingerprint of each vector: five frames from parts of its hash, brightness from its components."""
+    h = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", bits.difference_hash(F.col("embedding")).alias("dhash"))
+    frames = F.array(*[F.lpad(F.lower(F.hex(F.shiftrightunsigned("dhash", 11 * k).bitwiseAND(F.lit(2047).cast("long")))), 16, "0") for k in range(5)])
+    luma = F.array(*[F.floor((F.get("embedding", F.lit(k)) + 1) * 20).cast("int") for k in range(5)])
+    return h.select("vec_id", F.struct((F.col("label") * 100).cast("long").alias("duration_ms"), F.lit(1_777_778).cast("long").alias("aspect_ppm"), frames.alias("frames"), luma.alias("luma"), F.when(F.col("label") > 2, F.col("label") > 5).alias("has_audio"), frames[0].alias("audio_hash")).alias("fp"), "label")
+
+
+
+
+@query(f"""WITH {_H}, f AS (SELECT h.vec_id, label, [(dhash >> (11 * k)) & 2047 FOR k IN range(5)] AS frames, [CAST(floor((e.embedding[k + 1] + 1) * 20) AS INT) FOR k IN range(5)] AS luma,
+  CASE WHEN label > 2 THEN label > 5 END AS audio FROM h JOIN (SELECT vec_id, embedding FROM embeddings) e USING (vec_id)),
+p AS (SELECT x.vec_id AS a, y.vec_id AS b, x.audio AS xa, y.audio AS ya, x.frames[1] AS xf, y.frames[1] AS yf,
+  [CAST(bit_count(xor(x.frames[k], y.frames[k])) AS INT) FOR k IN range(1, 6)] AS d, [abs(x.luma[k] - y.luma[k]) FOR k IN range(1, 6)] AS l
+  FROM f x JOIN f y ON x.vec_id < y.vec_id AND x.label = y.label),
+m AS (SELECT a, b, xa, ya, xf, yf, (list_max(d) <= 6 AND list_sum(d) <= 20 AND list_max(l) <= 10) OR (list_max(list_sort(d)[1:4]) <= 4 AND list_sum(list_sort(d)[1:4]) <= 12 AND list_max(list_sort(l)[1:4]) <= 10) AS same FROM p)
+SELECT a, b FROM m WHERE same AND ((xa IS NULL AND ya IS NULL) OR (coalesce(xa, false) = coalesce(ya, false) AND (NOT coalesce(xa, false) OR bit_count(xor(xf, yf)) <= 13)))""")
+def fingerprint_pairs(spark, sf_dir):
+    """FLT-15, JON-05, JON-09, SCL-41: content fingerprints that match, blocked by length."""
+    f = _fingerprints(spark, sf_dir)
+    a, b = f.select(F.col("vec_id").alias("a"), F.col("fp").alias("fa"), "label"), f.select(F.col("vec_id").alias("b"), F.col("fp").alias("fb"), "label")
+    return a.join(b, "label").where((F.col("a") < F.col("b")) & bits.fingerprints_match(F.col("fa"), F.col("fb"))).select("a", "b")
