@@ -86,4 +86,4 @@ def append_by_key(left: Column, right: Column, key: str) -> Column:
 
 def clean_tags(tags: Column) -> Column:
     """SCL-61: trimmed, without blanks, each once in order of first use."""
-    return F.array_distinct(F.filter(F.transform(tags, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(tags, lambda x: F.trim(x)), lambda x: x != ""))

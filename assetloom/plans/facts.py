@@ -145,10 +145,10 @@ def cast_constraints(spark, sf_dir):
     return out
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'steel')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'ring')")
 def catalog_search(spark, sf_dir):
     """FLT-03, FLT-04."""
-    return H.search(table(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"], "STEEL").select("p_partkey", "p_name")
+    return H.search(table(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"], "RING").select("p_partkey", "p_name")
 
 
 @query("""SELECT event_id, CASE WHEN props IS NULL OR trim(props) = '' THEN 'empty' WHEN NOT json_valid(props) THEN 'invalid' WHEN json_type(props) <> 'OBJECT' THEN 'not_object' ELSE 'ok' END AS state, CASE WHEN json_valid(props) THEN TRY_CAST(props->>'$.k' AS BIGINT) END AS k FROM events""")
