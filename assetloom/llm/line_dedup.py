@@ -27,6 +27,7 @@ from . import minhash, neardup
 from .common import checkpointed
 from .components import components
 
+#: The shingle's length is a power of two.
 SHINGLE, THRESHOLD, BANDS, ROWS = 8, 0.8, 12, 4
 #: Items that a task remembers to have banded.
 REMEMBERED = 200_000
@@ -41,17 +42,20 @@ def shingle_hashes(lines: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.n
     """Hashes of every character shingle of every line, flat, and how many each line has."""
     data = np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     length = np.array([len(x) for x in lines], dtype=np.int64)
-    rolled = np.zeros(len(data), dtype=np.uint64)
-    width = np.minimum(length, n)
+    # A polynomial over the window, of twice the width at each step; windows that leave their line are dropped below.
+    rolled = data + np.uint64(1)
+    base, width = _BASE, 1
+    while width < n:
+        longer = rolled * base
+        longer[:-width] += rolled[width:]
+        rolled, base, width = longer, np.uint64(int(base) ** 2 & 0xFFFFFFFFFFFFFFFF), 2 * width
     at = np.cumsum(length) - length
-    for k in range(n):  # a polynomial over the window; those that leave their line are dropped below
-        rolled[: len(data) - k] = rolled[: len(data) - k] * _BASE + data[k:] + np.uint64(1)
     sizes = np.where(length > 0, np.maximum(length - n + 1, 1), 0)
     for i in np.flatnonzero((length > 0) & (length < n)).tolist():
-        h = np.uint64(width[i])
+        h = int(length[i])
         for c in data[at[i] : at[i] + length[i]].tolist():
-            h = np.uint64((int(h) * int(_BASE) + c + 1) & 0xFFFFFFFFFFFFFFFF)
-        rolled[at[i]] = h
+            h = (h * int(_BASE) + c + 1) & 0xFFFFFFFFFFFFFFFF
+        rolled[at[i]] = np.uint64(h)
     starts = np.repeat(at, sizes)
     inside = np.arange(len(starts)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     return minhash.mixed(rolled[starts + inside]), sizes
@@ -108,6 +112,13 @@ def shingle_sets(norms: list[str]) -> list[np.ndarray]:
     return np.split(values, np.cumsum(sizes)[:-1])
 
 
+def similarity(a: str, b: str) -> float:
+    """Jaccard similarity of two lines' shingles."""
+    x, y = ({s[k : k + SHINGLE] for k in range(max(1, len(s) - SHINGLE + 1))} for s in (a, b))
+    both = len(x & y)
+    return both / (len(x) + len(y) - both)
+
+
 def lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc, line, norm, item) of every line that is compared."""
     each = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "raw"))
@@ -121,9 +132,9 @@ def line_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     place = all_lines.groupBy("item").agg(F.min(F.struct("doc", "line")).alias("first"))
     members = neardup.buckets(banded(all_lines).select("item", F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("band")))
     wanted = members.select("item").distinct()
-    norms = neardup.maybe_wanted(all_lines.select("item", "norm"), wanted, "item").join(wanted, "item", "left_semi")
+    norms = neardup.maybe_wanted(all_lines.select("item", "norm"), wanted, "item").join(wanted, "item")  # a semi-join would be pushed below the filter
     payload = norms.groupBy("item").agg(F.first("norm").alias("shingles")).withColumn("copies", F.lit(1).cast("long"))
-    links = checkpointed(neardup.verified(members, payload, THRESHOLD, unpack=shingle_sets))
+    links = checkpointed(neardup.verified(members, payload, THRESHOLD, unpack=shingle_sets, similarity=similarity))
     roots = components(links.where("b IS NOT NULL")).select(F.col("node").alias("item"), "root")
     place = checkpointed(place)
     rooted = place.join(roots, "item")
