@@ -75,7 +75,7 @@ def shingle_hashes(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.nd
     at = np.cumsum(count) - count
     m = len(h)
     rolled = np.zeros(m, dtype=np.uint64)
-    for k in range(n):
+    for k in range(min(n, m)):
         rolled[: m - k] = rolled[: m - k] * _BASE + h[k:]
     sizes = np.where(count > 0, np.maximum(count - n + 1, 1), 0)
     for i in np.flatnonzero((count > 0) & (count < n)).tolist():
