@@ -3,8 +3,8 @@
 An item stands for all rows of equal content (a 64-bit hash of it), with its number of copies. Items that share
 a band key form a bucket. A bucket is cut into blocks of bounded size and every pair of blocks is one small
 group of rows, so that a bucket of any size spreads over tasks; inside a group all pairs are compared at once
-as array operations. What leaves a group is linear in its items: edges of a spanning forest of the verified
-links, and each item's number of links. A pair in several buckets is verified in the first of them only.
+as array operations. What leaves a group is linear in its items: edges that join what verified
+links connect, and each item's number of links. A pair in several buckets is verified in the first of them only.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def _blocks(members: DataFrame, payload: DataFrame, block: int) -> DataFrame:
 
 
 def verified(members: DataFrame, payload: DataFrame, threshold: float, prune: Callable | None = None, unpack: Callable | None = None, similarity: Callable | None = None, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) of a spanning forest of all links in each group, and rows (item, null, links) with linked copies.
+    """Edges (a, b) that join what links connect in each group, and rows (item, null, links) with linked copies.
 
     payload: (item, copies, shingles[, signature]). Shingles are sorted distinct 64-bit hashes as bytes, or whatever
     `unpack` makes a list of such arrays from. `prune` takes a matrix of signatures and pairs and gives those pairs
@@ -148,7 +148,7 @@ def compare(rows: list[dict], threshold: float, prune: Callable | None, unpack:
 
 
 def forest(sym: np.ndarray, items: list[int], copies: np.ndarray) -> tuple[list, list, list]:
-    """Of a symmetric matrix of links: an edge (a, b, null) for each item that a search reaches, and (a, null, linked copies) for each item with a link."""
+    """Of a symmetric matrix of links: an edge (a, b, null) from each component's smallest item to its others, and (a, null, linked copies) for each item with a link."""
     n = len(items)
     links = sym @ copies
     a, b, c = [], [], []
@@ -157,14 +157,15 @@ def forest(sym: np.ndarray, items: list[int], copies: np.ndarray) -> tuple[list,
         if done[start]:
             continue
         done[start] = True
-        front = [start]
+        front, reached = [start], [items[start]]
         while front:
-            x = front.pop()
-            fresh = np.flatnonzero(sym[x] & ~done).tolist()
+            fresh = np.flatnonzero(sym[front.pop()] & ~done).tolist()
             done[fresh] = True
-            a += [items[x]] * len(fresh)
-            b += [items[y] for y in fresh]
+            reached += [items[y] for y in fresh]
             front += fresh
+        root = min(reached)
+        b += [y for y in reached if y != root]
+        a += [root] * (len(b) - len(a))
     c = [None] * len(b)
     some = np.flatnonzero(links).tolist()
     return a + [items[k] for k in some], b + [None] * len(some), c + [int(links[k]) for k in some]
