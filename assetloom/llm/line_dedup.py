@@ -56,9 +56,10 @@ def shingle_hashes(lines: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.n
         for c in data[at[i] : at[i] + length[i]].tolist():
             h = (h * int(_BASE) + c + 1) & 0xFFFFFFFFFFFFFFFF
         rolled[at[i]] = np.uint64(h)
-    starts = np.repeat(at, sizes)
-    inside = np.arange(len(starts)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return minhash.mixed(rolled[starts + inside]), sizes
+    valid = np.ones(len(data), dtype=bool)
+    for k in range(1, n):  # the last characters of a line begin no window, but for the first one of a short line
+        valid[(at + length - k)[length > k]] = False
+    return minhash.mixed(rolled[valid]), sizes
 
 
 def one_permutation(values: np.ndarray, sizes: np.ndarray, bins: int) -> np.ndarray:
@@ -126,27 +127,22 @@ def lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     return each.withColumn("item", F.xxhash64("norm"))
 
 
-def line_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(item, first: struct<doc, line>): for each distinct line, the line that stays of its component."""
+def line_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc, line, item, first: struct<doc, line>): every compared line with the line that stays for it."""
     all_lines = lines(docs, text, doc_id)
-    place = all_lines.groupBy("item").agg(F.min(F.struct("doc", "line")).alias("first"))
+    slim = checkpointed(all_lines.select("doc", "line", "item"))
     members = neardup.buckets(banded(all_lines).select("item", F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("band")))
     wanted = members.select("item").distinct()
     norms = neardup.maybe_wanted(all_lines.select("item", "norm"), wanted, "item").join(wanted, "item")  # a semi-join would be pushed below the filter
     payload = norms.groupBy("item").agg(F.first("norm").alias("shingles")).withColumn("copies", F.lit(1).cast("long"))
     links = checkpointed(neardup.verified(members, payload, THRESHOLD, unpack=shingle_sets, similarity=similarity))
     roots = components(links.where("b IS NOT NULL")).select(F.col("node").alias("item"), "root")
-    place = checkpointed(place)
+    place = slim.groupBy("item").agg(F.min(F.struct("doc", "line")).alias("first"))
     rooted = place.join(roots, "item")
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
     better = rooted.join(best, "root").select("item", "best")
-    return place.join(better, "item", "left").select("item", F.coalesce("best", "first").alias("first"))
-
-
-def line_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc, line, item, first): every compared line with the line that stays for it."""
-    slim = lines(docs, text, doc_id).select("doc", "line", "item")
-    return slim.join(line_classes(docs, text, doc_id), "item")
+    classes = checkpointed(place.join(better, "item", "left").select("item", F.coalesce("best", "first").alias("first")))
+    return slim.join(classes, "item")
 
 
 def _is_first() -> F.Column:
