@@ -166,10 +166,12 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """
     links = line_links(docs, text, doc_id)
     gone = links.where(~_is_first()).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_gone"))
-    parts = F.split(F.col(text), "\n")
-    marked = F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains(F.col("_gone"), i.cast("int")), x)), lambda x: x.isNotNull())
+    # The places that stay, by a hashed difference; the split text is bound once, as a lambda would split it for each place.
+    stay = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+    parts = F.array(F.split(F.col(text), "\n"))
+    joined = F.get(F.transform(parts, lambda p: F.array_join(F.transform(stay(p), lambda i: F.get(p, i)), "\n")), F.lit(0))
     out = docs.join(gone, F.col(doc_id) == F.col("_doc"), "left")
-    out = out.withColumn("_new", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(marked, "\n")))
+    out = out.withColumn("_new", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(joined))
     out = out.where(F.col("_gone").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
     columns = [F.col("_new").alias(c) if c == text else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*columns)
