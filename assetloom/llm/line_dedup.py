@@ -113,11 +113,9 @@ def shingle_sets(norms: list[str]) -> list[np.ndarray]:
     return np.split(values, np.cumsum(sizes)[:-1])
 
 
-def similarity(a: str, b: str) -> float:
-    """Jaccard similarity of two lines' shingles."""
-    x, y = ({s[k : k + SHINGLE] for k in range(max(1, len(s) - SHINGLE + 1))} for s in (a, b))
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
+def shingle_set(norm: str) -> set[str]:
+    """The shingles themselves of one line."""
+    return {norm[k : k + SHINGLE] for k in range(max(1, len(norm) - SHINGLE + 1))}
 
 
 def lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -135,7 +133,7 @@ def line_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     wanted = members.select("item").distinct()
     norms = neardup.maybe_wanted(all_lines.select("item", "norm"), wanted, "item").join(wanted, "item")  # a semi-join would be pushed below the filter
     payload = norms.groupBy("item").agg(F.first("norm").alias("shingles")).withColumn("copies", F.lit(1).cast("long"))
-    links = checkpointed(neardup.verified(members, payload, THRESHOLD, unpack=shingle_sets, similarity=similarity))
+    links = checkpointed(neardup.verified(members, payload, THRESHOLD, unpack=shingle_sets, as_set=shingle_set))
     roots = components(links.where("b IS NOT NULL")).select(F.col("node").alias("item"), "root")
     place = slim.groupBy("item").agg(F.min(F.struct("doc", "line")).alias("first"))
     rooted = place.join(roots, "item")

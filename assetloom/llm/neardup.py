@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Items in a block; bits a wanted key and the most bitmaps of a filter.
-BLOCK, SLOTS, MOST_BITMAPS = 256, 16, 8192
+#: Items in a block, and in a group that is compared set by set; bits a wanted key and the most bitmaps of a filter.
+BLOCK, SMALL, SLOTS, MOST_BITMAPS = 256, 8, 16, 8192
 
 
 def buckets(banded: DataFrame) -> DataFrame:
@@ -63,18 +63,19 @@ def _blocks(members: DataFrame, payload: DataFrame, block: int) -> DataFrame:
     return rows.select("bucket", F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"), F.col("_mine").alias("mine"), "item", "copies", "own", "shingles", *[c for c in payload.columns if c == "signature"])
 
 
-def verified(members: DataFrame, payload: DataFrame, threshold: float, prune: Callable | None = None, unpack: Callable | None = None, similarity: Callable | None = None, block: int = BLOCK) -> DataFrame:
+def verified(members: DataFrame, payload: DataFrame, threshold: float, prune: Callable | None = None, unpack: Callable | None = None, as_set: Callable | None = None, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that join what links connect in each group, and rows (item, null, links) with linked copies.
 
     payload: (item, copies, shingles[, signature]). Shingles are sorted distinct 64-bit hashes as bytes, or whatever
     `unpack` makes a list of such arrays from. `prune` takes a matrix of signatures and pairs and gives those pairs
-    that may reach the threshold. `similarity` compares two payloads directly, for groups of two.
+    that may reach the threshold. `as_set` makes a plain set of one, for groups of a few
+    items, where arrays cost more than they save.
     """
     rows = _blocks(members, payload, block).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ("bucket", "i", "j")):
-            yield from emitted(compare(g, threshold, prune, unpack, similarity))
+            yield from emitted(compare(g, threshold, prune, unpack, as_set))
 
     return rows.mapInArrow(work, "a long, b long, links long")
 
@@ -104,19 +105,23 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def compare(rows: list[dict], threshold: float, prune: Callable | None, unpack: Callable | None = None, similarity: Callable | None = None) -> tuple[list, list, list] | None:
+def compare(rows: list[dict], threshold: float, prune: Callable | None, unpack: Callable | None = None, as_set: Callable | None = None) -> tuple[list, list, list] | None:
     """Links of one group: pairs within block i (i = j) or between blocks i and j."""
     bucket, cross = rows[0]["bucket"], rows[0]["i"] != rows[0]["j"]
     rows = list({r["item"]: r for r in rows}.values())
     n = len(rows)
     if n < 2:
         return None
-    if n == 2 and similarity is not None:
-        a, b = rows
-        first = min(set(a["own"]) & set(b["own"])) == bucket
-        if not first or (cross and a["mine"] == b["mine"]) or similarity(a["shingles"], b["shingles"]) < threshold - 1e-9:
-            return None
-        return [a["item"], a["item"], b["item"]], [b["item"], None, None], [None, b["copies"], a["copies"]]
+    if as_set is not None and n <= SMALL:
+        own = [set(r["own"]) for r in rows]
+        sets = [as_set(r["shingles"]) for r in rows]
+        sym = np.zeros((n, n), dtype=bool)
+        for x in range(n):
+            for y in range(x):
+                if min(own[x] & own[y]) == bucket and not (cross and rows[x]["mine"] == rows[y]["mine"]):
+                    both = len(sets[x] & sets[y])
+                    sym[x, y] = sym[y, x] = both >= threshold * (len(sets[x]) + len(sets[y]) - both) - 1e-9
+        return forest(sym, [r["item"] for r in rows], np.array([r["copies"] for r in rows], dtype=np.int64)) if sym.any() else None
     pairs = np.triu(np.ones((n, n), dtype=bool), 1)
     if cross:
         side = np.array([r["mine"] == rows[0]["i"] for r in rows])
