@@ -6,9 +6,11 @@ characters; a shorter line is one shingle) is `THRESHOLD` or more. Of each compo
 the one with the smallest (doc_id, line number) stays.
 
 Equal lines are grouped first, by a 64-bit hash. Signatures are one-permutation MinHash: one hash a shingle,
-its upper bits give the bin, empty bins borrow from the next full one. `BANDS` bands of `ROWS` values give a
-recall of 0.998 at similarity 0.8 and more above, and few candidates among unlike lines. Candidates are verified exactly and joined by distributed
-union-find.
+its upper bits give the bin, empty bins borrow from the next full one. With few shingles most bins would borrow
+alike, so below `FEW` distinct shingles the values are independent MinHash instead. A near-duplicate has up to
+1 / `THRESHOLD` times as many shingles, so lines up to there get both kinds of bands. `BANDS` bands of `ROWS` values
+give a recall of 0.998 at similarity 0.8 for lines of any length and more above, and few candidates among unlike
+lines. Candidates are verified exactly and joined by distributed union-find.
 
 Cases: a null or empty text has no lines; ties are broken by line number; of repeated rows (same doc_id and text)
 the first keeps its lines and the others keep none; an empty table gives an empty result; extra columns pass through.
@@ -16,6 +18,7 @@ the first keeps its lines and the others keep none; an empty table gives an empt
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,8 @@ from .components import components
 
 #: The shingle's length is a power of two.
 SHINGLE, THRESHOLD, BANDS, ROWS = 8, 0.8, 12, 4
+#: Distinct shingles below which a line's bins don't do (at 75, one permutation has the recall of independent values).
+FEW = 80
 #: Items that a task remembers to have banded.
 REMEMBERED = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -78,8 +83,38 @@ def one_permutation(values: np.ndarray, sizes: np.ndarray, bins: int) -> np.ndar
     return taken + ((after - np.arange(bins)) * 0x9E3779B1).astype(np.uint32)
 
 
+def fewer_distinct(values: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """Which rows have fewer than n distinct values; n is well below 1024."""
+    few = sizes < n
+    slots = np.zeros((len(sizes), 1024), dtype=bool)
+    slots[np.repeat(np.arange(len(sizes)), sizes), (values & np.uint64(1023)).astype(np.int64)] = True
+    ends = np.cumsum(sizes)
+    for k in np.flatnonzero(~few & (slots.sum(axis=1) < n)).tolist():  # only these need counting
+        few[k] = len(np.unique(values[ends[k] - sizes[k] : ends[k]])) < n
+    return few
+
+
+def band_keys(values: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, keys of shape (rows, BANDS)) of each kind of bands."""
+    both = fewer_distinct(values, sizes, math.ceil(FEW / THRESHOLD))
+    few = both.copy()
+    ends = np.cumsum(sizes)
+    for k in np.flatnonzero(both & (sizes >= FEW)).tolist():
+        few[k] = len(np.unique(values[ends[k] - sizes[k] : ends[k]])) < FEW
+    out = []
+    for some, independent in ((~few, False), (both, True)):
+        if some.any():
+            part, of = values[np.repeat(some, sizes)], sizes[some]
+            if independent:
+                signature = minhash.signatures(part, of, BANDS * ROWS, 1)
+            else:  # bins of a band lie far apart, as neighbours may have borrowed from one another
+                signature = one_permutation(part, of, BANDS * ROWS).reshape(-1, ROWS, BANDS).swapaxes(1, 2).reshape(len(of), -1)
+            out.append((np.flatnonzero(some), minhash.bands(signature, ROWS)))
+    return out
+
+
 def banded(rows: DataFrame) -> DataFrame:
-    """(item, norm) -> (item, b0, b1, ...): a key for each band of each row."""
+    """(item, norm) -> (item, b0, b1, ...): a key for each band of each row, in two rows where both kinds are needed."""
     names = [f"b{k}" for k in range(BANDS)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,11 +133,8 @@ def banded(rows: DataFrame) -> DataFrame:
                 part = part.take(pa.array(fresh, pa.int64()))
                 if not part.num_rows:
                     continue
-                values, sizes = shingle_hashes(part.column(1).to_pylist())
-                signature = one_permutation(values, sizes, BANDS * ROWS)
-                # Bins of a band lie far apart, as neighbours may have borrowed from one another.
-                keys = minhash.bands(signature.reshape(-1, ROWS, BANDS).swapaxes(1, 2).reshape(len(sizes), -1), ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(keys[:, k]) for k in range(BANDS)]], ["item", *names])
+                for at, keys in band_keys(*shingle_hashes(part.column(1).to_pylist())):
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *[pa.array(keys[:, k]) for k in range(BANDS)]], ["item", *names])
 
     return rows.select("item", "norm").mapInArrow(work, ", ".join(["item long", *[f"{b} long" for b in names]]))
 

@@ -75,6 +75,26 @@ def test_line_dedup(docs, nothing):
     assert line_dedup.report(nothing).count() == 0 and line_dedup.deduplicated(nothing).columns == docs.columns
 
 
+def test_line_dedup_finds_short_lines(spark):
+    dice = random.Random(5)
+    whole = lambda n: "".join(chr(dice.randrange(97, 123)) for _ in range(n))
+    pairs = []
+    for k in range(3000):
+        n = 5 + k % 120  # shingles; of the copy a fifth fewer, for a similarity of 0.8 or little more
+        line = whole(n + 7)
+        pairs.append((line, line[: len(line) - n // 5]))
+    rows = [(2 * k + j, line) for k, pair in enumerate(pairs) for j, line in enumerate(pair)]
+    out = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for lo, hi in ((5, 25), (25, 60), (60, 125)):
+        found = [out[2 * k + 1] == [(0, 2 * k, 0)] for k in range(3000) if lo <= 5 + k % 120 < hi]
+        assert sum(found) >= 0.99 * len(found), (lo, sum(found), len(found))
+
+
+def test_few_distinct_shingles():
+    values, sizes = line_dedup.shingle_hashes(["x" * 500, "ab" * 300, "".join(chr(200 + k) for k in range(107)), "".join(chr(200 + k) for k in range(106)), "short"])
+    assert line_dedup.fewer_distinct(values, sizes, 100).tolist() == [True, True, False, True, True]
+
+
 def test_jaccard_join(docs, nothing):
     out = sorted((r["doc_id"], r["class_id"], r["n_links"], r["kept"]) for r in jaccard_join.report(docs).collect())
     assert out[:6] == [(0, 0, 0, True), (1, 1, 0, True), (2, 2, 0, True), (3, 3, 2, True), (3, 3, 2, True), (4, 3, 2, False)]
