@@ -74,6 +74,25 @@ def cascade(exact: Column, fuzzy: Column, prefix: Column) -> tuple[Column, Colum
     return F.coalesce(exact, fuzzy, prefix), F.when(exact.isNotNull(), "exact").when(fuzzy.isNotNull(), "fingerprint").when(prefix.isNotNull(), "prefix").otherwise("none")
 
 
+def unique_candidate(pairs: DataFrame, key: str, owner: str) -> DataFrame:
+    """JON-05: each key's number of candidate owners, and the owner where there is exactly one."""
+    n = F.count_distinct(owner)
+    return pairs.groupBy(key).agg(n.alias("n_candidates"), F.when(n == 1, F.min(owner)).alias("match"))
+
+
+def damaged_prefix(incoming: DataFrame, known: DataFrame, key: str, text: str, owner: str, least: int = 64) -> DataFrame:
+    """JON-06: incoming texts that are the beginning of a longer known one, with their owner where there is exactly one.
+
+    Texts shorter than `least` characters aren't matched. The first `least` characters stand for the name that blocks:
+    whatever is a prefix shares them, so none is lost.
+    """
+    block = F.left(text, F.lit(least)).alias("_block")
+    a = incoming.where(F.length(text) >= least).select(key, block, F.length(text).alias("_n"), content_hash(F.col(text)).alias("_h"))
+    b = known.select(F.col(owner).alias("_owner"), F.col(text).alias("_text"), block, F.length(text).alias("_m"))
+    same = a.join(b, "_block").where("_m > _n").where(content_hash(F.left("_text", F.col("_n"))) == F.col("_h"))
+    return unique_candidate(same, key, "_owner")
+
+
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """JON-18, SET-05, SET-09: rows of one side only, with the side."""
     return a.subtract(b).withColumn("side", F.lit("left")).unionByName(b.subtract(a).withColumn("side", F.lit("right")))

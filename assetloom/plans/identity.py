@@ -100,7 +100,11 @@ SELECT doc_id, coalesce(CASE WHEN e.n = 1 THEN e.one END, CASE WHEN p.n = 1 THEN
        CASE WHEN e.n = 1 THEN 'exact' WHEN p.n = 1 THEN 'fingerprint' WHEN l.n = 1 THEN 'prefix' ELSE 'none' END AS match_kind
 FROM k LEFT JOIN e USING (sha) LEFT JOIN p USING (n_chars) LEFT JOIN l USING (lead)""")
 def identity_cascade(spark, sf_dir):
-    """JON-04, JON-05, JON-06: exact hash, then a unique measure, then a unique first line."""
+    """JON-04: exact hash, then a unique measure, then a unique first line.
+
+    The last two stand in for the fingerprint and the damaged prefix and are neither: equal lengths or first lines don't
+    show equal content. See fingerprint_unique_match for JON-05 and damaged_prefix_match for JON-06.
+    """
     known, rest = (x.withColumn("lead", F.get(F.split("text", "\n"), F.lit(0))) for x in _halves(spark, sf_dir))
     one = lambda key, name: known.groupBy(key).agg(F.when(F.count_distinct("source") == 1, F.min("source")).alias(name))
     rows = rest.select("doc_id", "sha", "n_chars", "lead").join(one("sha", "_e"), "sha", "left").join(one("n_chars", "_p"), "n_chars", "left").join(one("lead", "_l"), "lead", "left")
@@ -108,6 +112,14 @@ def identity_cascade(spark, sf_dir):
     return rows.select("doc_id", family.alias("family"), kind.alias("match_kind"))
 
 
+@query(f"""{_DOCS} SELECT k.doc_id, count(DISTINCT o.source) AS n_candidates, CASE WHEN count(DISTINCT o.source) = 1 THEN min(o.source) END AS match
+FROM d k JOIN d o ON NOT k.known AND o.known AND left(k.text, 64) = left(o.text, 64) AND length(k.text) >= 64 AND length(o.text) > length(k.text) AND left(o.text, length(k.text)) = k.text GROUP BY k.doc_id""")
+def damaged_prefix_match(spark, sf_dir):
+    """JON-06: incoming documents that a longer document of the catalog begins with."""
+    known, rest = _halves(spark, sf_dir)
+    return I.damaged_prefix(rest, known, "doc_id", "text", "source")
+
+
 @query(f"""{_DOCS}, a AS (SELECT DISTINCT sha FROM d WHERE NOT known), b AS (SELECT DISTINCT sha FROM d WHERE known)
 SELECT 'left' AS side, sha FROM (SELECT sha FROM a EXCEPT SELECT sha FROM b) UNION ALL SELECT 'right', sha FROM (SELECT sha FROM b EXCEPT SELECT sha FROM a) UNION ALL SELECT 'both', sha FROM (SELECT sha FROM a INTERSECT SELECT sha FROM b)""")
 def set_ops(spark, sf_dir):

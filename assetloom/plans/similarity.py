@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetloom.functions import bits, numbers
+from assetloom.operators import identity
 from assetloom.operators import similarity as S
 
-from .registry import query, table
+from .registry import ORACLE, query, table
 
 #: Wide enough for some pairs in the driver's tables.
 DISTANCE = 14
@@ -107,7 +108,13 @@ p AS (SELECT x.vec_id AS a, y.vec_id AS b, x.audio AS xa, y.audio AS ya, x.frame
 m AS (SELECT a, b, xa, ya, xf, yf, (list_max(d) <= 6 AND list_sum(d) <= 20 AND list_max(l) <= 10) OR (list_max(list_sort(d)[1:4]) <= 4 AND list_sum(list_sort(d)[1:4]) <= 12 AND list_max(list_sort(l)[1:4]) <= 10) AS same FROM p)
 SELECT a, b FROM m WHERE same AND ((xa IS NULL AND ya IS NULL) OR (coalesce(xa, false) = coalesce(ya, false) AND (NOT coalesce(xa, false) OR bit_count(xor(xf, yf)) <= 13)))""")
 def fingerprint_pairs(spark, sf_dir):
-    """FLT-15, JON-05, JON-09, SCL-41: content fingerprints that match, blocked by length."""
+    """FLT-15, JON-09, SCL-41: content fingerprints that match, blocked by length."""
     f = _fingerprints(spark, sf_dir)
     a, b = f.select(F.col("vec_id").alias("a"), F.col("fp").alias("fa"), "label"), f.select(F.col("vec_id").alias("b"), F.col("fp").alias("fb"), "label")
     return a.join(b, "label").where((F.col("a") < F.col("b")) & bits.fingerprints_match(F.col("fa"), F.col("fb"))).select("a", "b")
+
+
+@query(f"""SELECT b AS vec_id, count(DISTINCT a) AS n_candidates, CASE WHEN count(DISTINCT a) = 1 THEN min(a) END AS match FROM ({ORACLE["fingerprint_pairs"]}) GROUP BY b""")
+def fingerprint_unique_match(spark, sf_dir):
+    """JON-05: vectors whose fingerprint matches earlier ones, with the match where there is exactly one."""
+    return identity.unique_candidate(fingerprint_pairs(spark, sf_dir), "b", "a").withColumnRenamed("b", "vec_id")

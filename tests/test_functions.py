@@ -83,6 +83,16 @@ def test_tags_statuses_reasons(spark):
     assert one(spark, health.reasons([(F.lit(True), "a"), (F.lit(None).cast("boolean"), "b"), (F.lit(True), "c")])) == ["a", "c"]
 
 
+def test_damaged_prefix_and_unique_candidate(spark):
+    text = "".join(chr(97 + k * k % 23) for k in range(200))
+    known = spark.createDataFrame([("A", text), ("B", "z" * 90 + "1"), ("C", "z" * 90 + "2"), ("D", text[:80] + "other" * 30), ("E", None)], "owner string, text string")
+    rest = spark.createDataFrame([(1, text[:150]), (2, text[:80]), (3, "z" * 90), (4, text), (5, text[:63]), (6, text[:70] + "!" * 9), (7, None), (8, text[:64] + "\n" + text[65:90])], "k long, text string")
+    got = {r["k"]: (r["n_candidates"], r["match"]) for r in identity.damaged_prefix(rest, known, "k", "text", "owner").collect()}
+    assert got == {1: (1, "A"), 2: (2, None), 3: (2, None)}
+    pairs = spark.createDataFrame([(1, "A"), (1, "A"), (2, "A"), (2, "B")], "k long, owner string")
+    assert {tuple(r) for r in identity.unique_candidate(pairs, "k", "owner").collect()} == {(1, 1, "A"), (2, 2, None)}
+
+
 def test_hash_catalog_fold_is_sequential():
     known = {"h1": {"A"}, "h2": {"B"}}
     assert catalog.merged_hash_catalog(known, [{"h1", "n1"}, {"n1", "n2"}, {"zz"}, {"h1", "h2"}]) == {"matched": 2, "added": 2, "skipped": 1, "conflicts": 1}
