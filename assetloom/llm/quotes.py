@@ -4,11 +4,13 @@ A line's quote level is the number of ">" before its text. Neighbouring lines of
 passages of level 0 are the message's own words, the others quote earlier messages. Passages are compared by
 the MD5 of their text in lower case with white space folded. The original of a quoted passage is the first
 message of the conversation whose own words hold it: as a whole, as a run between quotes, as a paragraph or as
-a line. A message replies to the original of its least nested linked passage, of several the latest; following
+a line. A passage of several lines that no earlier message holds so may quote parts of one: its original is the first
+message that holds each of its paragraphs, as a paragraph or else line by line. A message replies to the original of its least nested linked passage, of several the latest; following
 replies up gives the head of its thread. Conversations are ordered by the head's turn and then by turn, so
 that every reply stands after what it answers, and hold own words only.
 
-Originals are reduced to one row a conversation and passage before the join, so no join multiplies rows.
+Originals are reduced to one row a conversation and passage before the join, so no join multiplies rows. Quotes of
+parts are looked up once for each distinct passage, among distinct messages that hold the rarest of its pieces.
 Heads are found by pointer doubling over the replies. Positions are prefix sums over blocks of turns, so that a
 long conversation isn't ordered in one task.
 
@@ -28,6 +30,7 @@ from .common import checkpointed
 
 _MARKS = r"^(?:[ \t]*>)+"
 _SEP = "\x01"
+_GAP = r"\n\s*\n"
 BLOCK = 1024
 
 
@@ -54,6 +57,35 @@ def passages(text: Column) -> Column:
     return F.filter(out, lambda x: normalised(x["body"]) != "")
 
 
+def _key(passage: Column) -> Column:
+    return F.md5(normalised(passage))
+
+
+def _keys(parts: Column) -> Column:
+    return F.transform(F.filter(parts, lambda x: normalised(x) != ""), _key)
+
+
+def _in_parts(missing: DataFrame, holders: DataFrame) -> DataFrame:
+    """(c, h, also): the first message that holds each paragraph of a passage (c, h, q), whole or line by line.
+
+    holders: (c, m, k), the keys of what each message holds.
+    """
+    paragraphs = F.transform(F.filter(F.split("q", _GAP), lambda p: normalised(p) != ""), lambda p: F.struct(_key(p).alias("k"), F.array_distinct(_keys(F.split(p, "\n"))).alias("lines")))
+    wanted = missing.select("c", "h", F.md5("q").alias("v"), paragraphs.alias("ps"))
+    each = wanted.select("c", "h", "v", F.posexplode("ps").alias("p", "x"))
+    pieces = each.select("c", "h", "v", "p", F.lit(True).alias("whole"), F.col("x.k").alias("k")).unionByName(each.select("c", "h", "v", "p", F.lit(False).alias("whole"), F.explode("x.lines").alias("k")))
+    pieces = checkpointed(pieces)
+    held = checkpointed(holders.join(pieces.select("c", "k").distinct(), ["c", "k"], "left_semi"))
+    # Whatever holds a paragraph holds its key or the rarest of its lines; the paragraph with the fewest such messages is followed.
+    counted = pieces.join(held.groupBy("c", "k").agg(F.count("*").alias("n")), ["c", "k"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.groupBy("c", "h", "v", "p", "whole").agg(F.min(F.struct("n", "k")).alias("r"))
+    best = rarest.groupBy("c", "h", "v", "p").agg(F.sum("r.n").alias("n"), F.collect_set("r.k").alias("ks")).groupBy("c", "h", "v").agg(F.min(F.struct("n", "p", "ks")).alias("b"))
+    candidates = best.where("b.n > 0").select("c", "h", "v", F.explode("b.ks").alias("k")).join(held, ["c", "k"]).select("c", "h", "v", "m").distinct()
+    have = candidates.join(pieces.select("c", "h", "v", "k").distinct(), ["c", "h", "v"]).join(held, ["c", "m", "k"]).groupBy("c", "h", "v", "m").agg(F.collect_set("k").alias("have"))
+    holds = F.forall("ps", lambda p: F.array_contains(F.col("have"), p["k"]) | (F.size(F.array_except(p["lines"], F.col("have"))) == 0))
+    return have.join(wanted, ["c", "h", "v"]).where(holds).groupBy("c", "h").agg(F.min("m").alias("also"))
+
+
 def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """`messages` with body, n_quoted, n_linked, reply_to and thread (turns), and position in the conversation."""
     rows = messages.withColumn("_p", passages(F.col(text)))
@@ -62,11 +94,18 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
     rows = rows.withColumn("body", F.array_join(bodies, "\n"))
     parsed = rows.select(F.col(conv).alias("c"), F.col(turn).alias("t"), "body", bodies.alias("runs"), F.filter("_p", lambda x: x["level"] > 0).alias("quoted"))
     quoted = parsed.where((F.size("quoted") > 0) & F.col("c").isNotNull() & F.col("t").isNotNull()).select("c", "t", F.explode("quoted").alias("q"))
-    quoted = quoted.select("c", "t", F.col("q.level").alias("level"), F.md5(normalised(F.col("q.body"))).alias("h")).distinct()
-    parts = F.flatten(F.array(F.array("body"), F.col("runs"), F.split("body", r"\n\s*\n"), F.split("body", "\n")))
-    keys = F.array_distinct(F.transform(F.filter(parts, lambda x: normalised(x) != ""), lambda x: F.md5(normalised(x))))
+    quoted = quoted.select("c", "t", F.col("q.level").alias("level"), _key(F.col("q.body")).alias("h"), F.col("q.body").alias("q"))
+    quoted = quoted.groupBy("c", "t", "level", "h").agg(F.collect_set("q").alias("q"))  # their lines may be cut differently
+    parts = F.flatten(F.array(F.array("body"), F.col("runs"), F.split("body", _GAP), F.split("body", "\n")))
+    keys = F.array_distinct(_keys(parts))
     originals = parsed.where(F.col("c").isNotNull() & F.col("t").isNotNull()).select("c", "t", F.explode(keys).alias("h")).groupBy("c", "h").agg(F.min("t").alias("first"))
     found = quoted.join(originals, ["c", "h"], "left").withColumn("first", F.when(F.col("first") < F.col("t"), F.col("first")))
+    found = checkpointed(found.withColumn("q", F.when(F.col("first").isNull(), F.filter("q", lambda x: x.contains("\n")))))
+    missing = found.select("c", "h", F.explode("q").alias("q")).distinct()
+    if not missing.isEmpty():
+        whole = parsed.where(F.col("c").isNotNull() & F.col("t").isNotNull()).groupBy("c", "body", "runs").agg(F.min("t").alias("m"))
+        holders = whole.select("c", "m", F.explode(keys).alias("k")).distinct()
+        found = found.join(_in_parts(missing, holders), ["c", "h"], "left").withColumn("first", F.coalesce("first", F.when(F.col("also") < F.col("t"), F.col("also"))))
     nearest = F.min(F.when(F.col("first").isNotNull(), F.struct(F.col("level"), (-F.col("first")).alias("late"))))
     replies = checkpointed(found.groupBy("c", "t").agg(F.count("*").alias("n_quoted"), F.count("first").alias("n_linked"), nearest.alias("best")).select("c", "t", "n_quoted", "n_linked", (-F.col("best.late")).alias("reply_to")))
     heads = _heads(replies.where("reply_to IS NOT NULL").select("c", "t", F.col("reply_to").alias("head")))

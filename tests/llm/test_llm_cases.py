@@ -205,6 +205,26 @@ def test_cotraining(spark, docs, nothing):
     assert cotraining.scored(docs, cotraining.learn(train, labels.limit(0), F.lit(True))).first()["quality_score"] == 0.5
 
 
+def test_quotes_of_parts(spark):
+    long = "one\ntwo here\nthree here\nfour\n\nsecond part\nof two lines\n\nthird part\n\nlast words"
+    texts = [
+        "two here\nsecond part",
+        long,
+        long,
+        "> two here\n> three here\nlines 2 and 3 of a paragraph",
+        "> Second part of\n> two lines\n>\n> third   part\ntwo paragraphs, one cut anew",
+        "> one\n>\n> last words\n> never said\nnot all of it",
+        "> of two lines\n\nmine\n> four\n>\n> later words\nsaid in two messages only",
+        "later words\nfour\nof two lines",
+        ">> two here\n>> second part\n> lines 2 and 3 of a paragraph\n> never said\nnested",
+        "> later words\n> of two lines\nx",
+    ]
+    got = {r["turn"]: r for r in quotes.linked(spark.createDataFrame([(c, k, "user", t) for c in (1, 2) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")).where("conv_id = 2").collect()}
+    assert [got[k]["reply_to"] for k in range(10)] == [None, None, None, 1, 1, None, 1, None, 0, 7]
+    assert [(got[k]["n_quoted"], got[k]["n_linked"]) for k in range(3, 10)] == [(1, 1), (1, 1), (1, 0), (2, 1), (0, 0), (2, 1), (1, 1)]
+    assert got[3]["thread"] == 1 and got[3]["body"] == "lines 2 and 3 of a paragraph"
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "> hello   THERE\n> How are you?\nFine, thanks.\n\nAnd you?"), (1, 2, "user", "Unrelated"), (1, 3, "user", "> And you?\nGood."), (1, 4, "assistant", ">> Hello there\n> Good.\n\n> Unrelated\nNice"), (1, 5, "user", "> nothing such\nx"), (2, 0, None, None), (2, 0, None, None), (None, 1, "user", "a"), (3, None, "user", "> b")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("c", F.lit(1)).withColumn("h", F.lit(2))
