@@ -13,7 +13,7 @@ give a recall of 0.998 at similarity 0.8 for lines of any length and more above,
 lines. Candidates are verified exactly and joined by distributed union-find.
 
 Cases: a null or empty text has no lines; ties are broken by line number; of repeated rows (same doc_id and text)
-the first keeps its lines and the others keep none; an empty table gives an empty result; extra columns pass through.
+one keeps its lines and the others keep none and aren't counted; an empty table gives an empty result; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -179,8 +179,21 @@ def _is_first() -> F.Column:
     return F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.line") == F.col("line"))
 
 
+def _once(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """`docs` with one of each group of rows that have the same doc_id and text, if it has a line that is compared."""
+    again = docs.groupBy(doc_id).agg(F.count("*").alias("_n")).where(F.col(doc_id).isNotNull() & (F.col("_n") > 1)).select(doc_id)
+    if again.isEmpty():
+        return docs
+    again = checkpointed(again)
+    has_line = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    several = docs.join(again, doc_id, "left_semi").select(*docs.columns)
+    alone = docs.join(again, doc_id, "left_anti").select(*docs.columns)
+    return alone.unionByName(several.where(has_line).dropDuplicates([doc_id, text])).unionByName(several.where(~has_line))
+
+
 def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per doc_id: compared lines, lines that stay, and (line, kept doc, kept line) of each that goes."""
+    docs = _once(docs.select(doc_id, text), text, doc_id)
     links = line_links(docs, text, doc_id)
     gone = F.when(~_is_first(), F.struct("line", F.col("first.doc").alias("kept_doc"), F.col("first.line").alias("kept_line")))
     per = links.groupBy("doc").agg(F.count("*").alias("n_lines"), F.count(F.when(_is_first(), 1)).alias("n_kept"), F.sort_array(F.collect_list(gone)).alias("removed"))
@@ -192,8 +205,9 @@ def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """`docs` with only the lines that stay; documents that lose their last line go, those that never had one stay.
 
-    Of rows with the same doc_id, each keeps the lines of the first.
+    Of repeated rows (same doc_id and text) one stays, unless they have no line.
     """
+    docs = _once(docs, text, doc_id)
     links = line_links(docs, text, doc_id)
     gone = links.where(~_is_first()).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_gone"))
     # The places that stay, by a hashed difference; the split text is bound once, as a lambda would split it for each place.

@@ -90,6 +90,16 @@ def test_line_dedup_finds_short_lines(spark):
         assert sum(found) >= 0.99 * len(found), (lo, sum(found), len(found))
 
 
+def test_line_dedup_of_repeated_rows(spark):
+    rows = [(1, "some line here\nother words", "a"), (1, "some line here\nother words", "b"), (2, "SOME line here\nits own", "c"), (3, None, "d"), (3, None, "e"), (4, " \n", "f"), (4, " \n", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r["doc_id"]: (r["n_lines"], r["n_kept"], [tuple(x) for x in r["removed"]]) for r in line_dedup.report(df).collect()}
+    assert out == {1: (2, 2, []), 2: (2, 1, [(0, 1, 0)]), 3: (0, 0, []), 4: (0, 0, [])}
+    kept = line_dedup.deduplicated(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == [(1, rows[0][1]), (2, "its own"), (3, ""), (3, ""), (4, " \n"), (4, " \n")]
+
+
 def test_few_distinct_shingles():
     values, sizes = line_dedup.shingle_hashes(["x" * 500, "ab" * 300, "".join(chr(200 + k) for k in range(107)), "".join(chr(200 + k) for k in range(106)), "short"])
     assert line_dedup.fewer_distinct(values, sizes, 100).tolist() == [True, True, False, True, True]
