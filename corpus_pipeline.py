@@ -48,7 +48,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: SQL can't express the merges of stages 2 and 5; tests hold the stages against brute force.
+#: SQL can't express the merges of stages 2 and 5; tests hold operators against brute force, but not yet the five stages.
 ORACLE_SQL = None
 
 
