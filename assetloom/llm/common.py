@@ -1,4 +1,4 @@
-"""What the operators share: reading, checkpoints, words and null handling."""
+"""What the operators share: reading, names that clash with nothing, checkpoints, ranks, words and null handling."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: White space of the word contract (a regular-expression class body).
@@ -17,12 +18,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Aside:
+    """A table whose columns are named by their places (in_0, in_1, ...), so that no helper column clashes with one.
+
+    `back` gives them their names again, beside the results. A column of the input that is named like a result (in any
+    case) is kept as `<name>_input`.
+    """
+
+    def __init__(self, df: DataFrame) -> None:
+        self.columns = df.columns
+        self.rows = df.toDF(*[f"in_{k}" for k in range(len(df.columns))])
+
+    def __contains__(self, name: str) -> bool:
+        return name.lower() in [c.lower() for c in self.columns]
+
+    def __call__(self, name: str) -> str:
+        """Where the column of that name is."""
+        return f"in_{[c.lower() for c in self.columns].index(name.lower())}"
+
+    def back(self, rows: DataFrame, results: list[str] | None = None) -> DataFrame:
+        results = results or []
+        made = {r.lower() for r in results}
+        taken = made | {c.lower() for c in self.columns}
+        out = []
+        for k, name in enumerate(self.columns):
+            if name.lower() in made:
+                while name.lower() in taken:
+                    name += "_input"
+                taken.add(name.lower())
+            out.append(F.col(f"in_{k}").alias(name))
+        return rows.select(*out, *results)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of its own only where none is set."""
+    """The folder the cluster names in spark.checkpoint.dir; one of its own only where none is set on a single machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="assetloom-checkpoint-"))
+        if named is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="assetloom-checkpoint-")
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -33,16 +70,40 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again."""
+    """Write a table to the shared folder and read it again: columns that a later step lacks aren't read."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt anew, so that a join by a key that it was grouped by deals both sides.
+
+    Spark splits a partition of a hot key at run time only where both sides of the join are dealt for it.
+    """
+    return df.hint("rebalance")
+
+
+def running(rows: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """`rows` with the sum of `value` over those before them within `group`, in the order of `order`.
+
+    Rows are dealt by ranges of (group, order), so that a group of any size spreads over tasks, and each range starts
+    from the sum of those before it. `rows` should be cheap to read twice, and `order` should tell rows apart.
+    """
+    part, total, before = f"{name}_part", f"{name}_total", f"{name}_before"
+    ranges = checkpointed(rows.withColumn(name, value).repartitionByRange(*group, *order).withColumn(part, F.spark_partition_id()))
+    sums = ranges.groupBy(*group, part).agg(F.sum(name).alias(total))
+    earlier = W.partitionBy(*group) if group else W.partitionBy(F.lit(1))
+    sums = sums.withColumn(before, F.coalesce(F.sum(total).over(earlier.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    sums = sums.select(*[F.col(g).alias(f"{name}_g{k}") for k, g in enumerate(group)], F.col(part).alias(f"{name}_p"), before)
+    within = W.partitionBy(*group, part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = ranges.withColumn(name, F.coalesce(F.sum(name).over(within), F.lit(0)))
+    same = F.col(part) == F.col(f"{name}_p")
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"{name}_g{k}"))
+    return out.join(sums, same).withColumn(name, F.col(name) + F.col(before)).select(*rows.columns, name)
+
+
 def n_words(text: Column) -> Column:
     """Number of words `[^\\x20\\x09-\\x0D]+`; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

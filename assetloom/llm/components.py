@@ -2,7 +2,7 @@
 
 Each round replaces a node's edges by edges to its smallest neighbour, so paths shrink geometrically and the
 edges end as stars around the smallest node of each component. A node's smallest neighbour comes from a grouped
-aggregate joined back, never from a window over all neighbours, so a node of any degree is split over tasks.
+aggregate, dealt anew and joined back, so that the edges of a node of any degree can be split over tasks.
 Every round is checkpointed; nothing is collected but a number.
 """
 
@@ -11,14 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, spread
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step on edges (u, v) that hold both directions (large) or the one with v < u (small)."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
-    joined = edges.join(least, "u")
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    joined = edges.join(spread(least), "u")
     out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 

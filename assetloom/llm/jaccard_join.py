@@ -9,7 +9,8 @@ n values equal, the similarity has a Beta(m + 1, n - m + 1) posterior, and the p
 that it reaches the threshold is below `TOLERANCE`. What is left is verified exactly.
 
 Cases: a text without words (null, empty, white space) is linked with nothing and is its own class; repeated
-rows are copies of one another; an empty table gives an empty result; extra columns pass through `kept`.
+rows are copies of one another, of which `deduplicated` keeps one; an empty table gives an empty result; extra columns
+pass through `deduplicated`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash, neardup
-from .common import WS, checkpointed
+from .common import WS, Aside, checkpointed, spread
 from .components import components
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
 HASHES, CHUNK, TOLERANCE, SEED = 128, 16, 1e-4, 7
 #: Items that a task remembers to have banded.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,18 +48,22 @@ def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLER
     return n
 
 
-def pruned(signature: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Of the pairs (upper triangle) those that no step drops."""
-    i, j = np.nonzero(pairs)
-    out = np.zeros_like(pairs)
-    for lo in range(0, len(i), 1 << 16):
-        a, b = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+#: For each number of values compared.
+LEAST = {n: least_matches(n) for n in range(CHUNK, HASHES + 1, CHUNK)}
+
+
+def pruned(signature: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) of rows no step drops."""
+    out = np.zeros(len(i), dtype=bool)
+    for lo in range(0, len(i), 1 << 15):
+        a, b = i[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
+        at = np.arange(lo, lo + len(a))
         same = np.zeros(len(a), dtype=np.int32)
         for k in range(0, signature.shape[1], CHUNK):
             same += (signature[a, k : k + CHUNK] == signature[b, k : k + CHUNK]).sum(axis=1, dtype=np.int32)
-            left = same >= least_matches(k + CHUNK)
-            a, b, same = a[left], b[left], same[left]
-        out[a, b] = True
+            left = same >= LEAST[k + CHUNK]
+            a, b, at, same = a[left], b[left], at[left], same[left]
+        out[at] = True
     return out
 
 
@@ -114,23 +119,25 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
 
 
 def banded(rows: DataFrame) -> DataFrame:
-    """(item, words) -> (item, b0, b1, ...)."""
-    names = [f"b{k}" for k in range(BANDS)]
+    """(item, words) -> rows of `neardup.Bands`."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        bands, seen = neardup.Bands(), set()
         for part in _slices(batches, 256):
-            fresh = [k for k, x in enumerate(part.column(0).to_pylist()) if x not in seen]
+            fresh = []
+            for k, x in enumerate(part.column(0).to_pylist()):
+                if x not in seen:
+                    seen.add(x)
+                    fresh.append(k)
+            if len(seen) > REMEMBERED:
+                seen.clear()
             part = part.take(pa.array(fresh, pa.int64()))
-            if not part.num_rows:
-                continue
-            seen.clear() if len(seen) > REMEMBERED else None
-            seen.update(part.column(0).to_pylist())
-            values, sizes = shingle_hashes(part.column(1))
-            keys = minhash.bands(minhash.signatures(values, sizes, BANDS * ROWS, SEED), ROWS)
-            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(keys[:, k]) for k in range(BANDS)]], ["item", *names])
+            if part.num_rows:
+                values, sizes = shingle_hashes(part.column(1))
+                yield from bands.add(part.column(0).to_numpy(), minhash.bands(minhash.signatures(values, sizes, BANDS * ROWS, SEED), ROWS))
+        yield from bands.rest()
 
-    return rows.select("item", "words").mapInArrow(work, ", ".join(["item long", *[f"{b} long" for b in names]]))
+    return rows.select("item", "words").mapInArrow(work, neardup.BANDED)
 
 
 def _payload(rows: DataFrame) -> DataFrame:
@@ -159,17 +166,18 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     """
     each = items(docs, text, doc_id).where("item IS NOT NULL")
     first = checkpointed(each.groupBy("item").agg(F.min("doc").alias("first_doc"), F.count("*").alias("copies")))
-    members = neardup.buckets(banded(each).select("item", F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("band")))
+    members = neardup.buckets(banded(each))
     # One text of each item that has a candidate: the first document's.
     candidates = members.select("item").distinct()
     wanted = candidates.join(first, "item").select(F.col("item").alias("_item"), F.col("first_doc").alias("_doc"), "copies")
-    texts = neardup.maybe_wanted(each, candidates, "item").join(wanted, (F.col("doc") == F.col("_doc")) & (F.col("item") == F.col("_item"))).dropDuplicates(["item"])
-    found = checkpointed(neardup.verified(members, checkpointed(_payload(texts)), THRESHOLD, pruned))
+    maybe = neardup.maybe_wanted(each, candidates, "item", "maybe").where("maybe")
+    texts = maybe.join(spread(wanted), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("item") == F.col("_item"))).dropDuplicates(["item"])
+    found = checkpointed(neardup.verified(members, checkpointed(_payload(texts)), THRESHOLD, neardup.stored_sets, pruned))
     links = found.where("b IS NULL").groupBy(F.col("a").alias("item")).agg(F.sum("links").alias("links"))
     roots = components(found.where("b IS NOT NULL")).select(F.col("node").alias("item"), "root")
-    rooted = first.join(roots, "item")
+    rooted = checkpointed(first.join(roots, "item"))
     best = rooted.groupBy("root").agg(F.min("first_doc").alias("class_id"))
-    better = rooted.join(best, "root").join(links, "item", "left").select("item", "class_id", "links")
+    better = rooted.join(spread(best), "root").join(links, "item", "left").select("item", "class_id", "links")
     out = first.join(better, "item", "left")
     return out.select("item", "first_doc", "copies", F.coalesce("class_id", "first_doc").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
 
@@ -178,16 +186,19 @@ def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     """One row per document: class_id (the smallest doc_id of its class), n_links and kept (the class's first)."""
     slim = items(docs, text, doc_id).select("doc", "item")
     found = checkpointed(classes(docs, text, doc_id)).withColumnRenamed("item", "_item")
-    out = slim.join(found, F.col("item") == F.col("_item"), "left")
+    out = slim.join(spread(found), F.col("item") == F.col("_item"), "left")
     class_id = F.coalesce("class_id", "doc")
-    return out.select(F.col("doc").alias(doc_id), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (class_id == F.col("doc")).alias("kept"))
+    return out.select(F.col("doc").alias(doc_id), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), class_id.eqNullSafe(F.col("doc")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """`docs` with one document of each class; of repeated rows of it one stays. Documents without words stay."""
-    keep = classes(docs, text, doc_id).where(F.col("class_id").eqNullSafe(F.col("first_doc"))).select(F.col("item").alias("_item"), F.col("first_doc").alias("_first"))
-    words = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[{WS}]+", " "))
-    rows = docs.withColumn("_key", F.when(words != "", F.xxhash64(words)))
-    bare = rows.where("_key IS NULL").select(*docs.columns)
-    full = rows.join(keep, F.col(doc_id).eqNullSafe(F.col("_first")) & (F.col("_key") == F.col("_item")))
-    return full.dropDuplicates(["_key"]).select(*docs.columns).unionByName(bare)
+    names = Aside(docs)
+    id_at, text_at = names(doc_id), names(text)
+    keep = classes(names.rows, text_at, id_at).where(F.col("class_id").eqNullSafe(F.col("first_doc"))).select(F.col("item").alias("kept_item"), F.col("first_doc").alias("kept_doc"))
+    words = F.trim(F.regexp_replace(F.coalesce(F.col(text_at), F.lit("")), f"[{WS}]+", " "))
+    rows = names.rows.withColumn("item", F.when(words != "", F.xxhash64(words)))
+    bare = rows.where("item IS NULL")
+    full = rows.join(spread(keep), F.col(id_at).eqNullSafe(F.col("kept_doc")) & (F.col("item") == F.col("kept_item")))
+    one = full.select(*rows.columns).groupBy("item").agg(F.min_by(F.struct(*names.rows.columns), F.xxhash64(*names.rows.columns)).alias("one")).select("one.*")
+    return names.back(one.unionByName(bare.select(*names.rows.columns)))

@@ -5,15 +5,20 @@ stay. Lines are near-duplicates when the Jaccard similarity of their distinct ch
 characters; a shorter line is one shingle) is `THRESHOLD` or more. Of each component of near-duplicate lines
 the one with the smallest (doc_id, line number) stays.
 
-Equal lines are grouped first, by a 64-bit hash. Signatures are one-permutation MinHash: one hash a shingle,
+Equal lines are one item, by a 64-bit hash. Signatures are one-permutation MinHash: one hash a shingle,
 its upper bits give the bin, empty bins borrow from the next full one. With few shingles most bins would borrow
 alike, so below `FEW` distinct shingles the values are independent MinHash instead. A near-duplicate has up to
 1 / `THRESHOLD` times as many shingles, so lines up to there get both kinds of bands. `BANDS` bands of `ROWS` values
 give a recall of 0.998 at similarity 0.8 for lines of any length and more above, and few candidates among unlike
 lines. Candidates are verified exactly and joined by distributed union-find.
 
-Cases: a null or empty text has no lines; ties are broken by line number; of repeated rows (same doc_id and text)
-one keeps its lines and the others keep none and aren't counted; an empty table gives an empty result; extra columns pass through.
+The texts are read twice: once for the bands, and once for the lines' places, with the lines themselves only where
+they have a candidate.
+
+Cases: a null or empty text has no lines; ties are broken by line number; a row is known by its doc_id and text, so
+rows of one doc_id (or none) and different texts are rows of their own, and of repeated rows one keeps its lines and
+the others are gone; doc_ids may be of any type that has an order; an empty table gives an empty result; extra columns
+pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,24 +28,66 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import minhash, neardup
-from .common import checkpointed
+from .common import Aside, checkpointed, spread, stored
 from .components import components
 
 #: The shingle's length is a power of two.
 SHINGLE, THRESHOLD, BANDS, ROWS = 8, 0.8, 12, 4
 #: Distinct shingles below which a line's bins don't do (at 75, one permutation has the recall of independent values).
 FEW = 80
-#: Items that a task remembers to have banded.
-REMEMBERED = 200_000
+#: Items that a task remembers to have seen, and characters that it works on at once (a longer text is taken whole).
+REMEMBERED, AT_ONCE = 100_000, 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def normalised(line: F.Column) -> F.Column:
-    return F.lower(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")))
+_BLANK = " \t\n\x0b\x0c\r"
+
+
+def portions(texts: pa.Array, most: int = AT_ONCE) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts in portions of a bounded number of bytes, each with the place where it begins."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start, n = 0, len(texts)
+    while start < n:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield start, texts.slice(start, stop - start).to_pylist()
+        start = stop
+
+
+def lines_of(texts: list[str | None]) -> tuple[list[int], list[int], list[str], np.ndarray]:
+    """Of all compared lines of the texts: the text's place, the line's number, the line as it is compared, and its hash."""
+    owner, number, norms = [], [], []
+    for k, text in enumerate(texts):
+        if text:
+            for i, raw in enumerate(text.split("\n")):
+                norm = raw.strip(_BLANK).lower()
+                if norm:
+                    owner.append(k)
+                    number.append(i)
+                    norms.append(norm)
+    return owner, number, norms, np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in norms], dtype=np.uint64).view(np.int64)
+
+
+class Seen:
+    """Which items weren't there before, as far as is remembered."""
+
+    def __init__(self) -> None:
+        self.items: set[int] = set()
+
+    def fresh(self, items: np.ndarray) -> np.ndarray:
+        if len(self.items) > REMEMBERED:
+            self.items = set()
+        out = np.zeros(len(items), dtype=bool)
+        for k, x in enumerate(items.tolist()):
+            if x not in self.items:
+                self.items.add(x)
+                out[k] = True
+        return out
 
 
 def shingle_hashes(lines: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -114,108 +161,109 @@ def band_keys(values: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, n
 
 
 def banded(rows: DataFrame) -> DataFrame:
-    """(item, norm) -> (item, b0, b1, ...): a key for each band of each row, in two rows where both kinds are needed."""
-    names = [f"b{k}" for k in range(BANDS)]
+    """Rows of `neardup.Bands` for the lines of a column `text`."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        bands, seen = neardup.Bands(), Seen()
         for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
-                ids = part.column(0).to_pylist()
-                fresh = []
-                for k, x in enumerate(ids):
-                    if x not in seen:
-                        seen.add(x)
-                        fresh.append(k)
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                part = part.take(pa.array(fresh, pa.int64()))
-                if not part.num_rows:
-                    continue
-                for at, keys in band_keys(*shingle_hashes(part.column(1).to_pylist())):
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *[pa.array(keys[:, k]) for k in range(BANDS)]], ["item", *names])
-
-    return rows.select("item", "norm").mapInArrow(work, ", ".join(["item long", *[f"{b} long" for b in names]]))
-
-
-def shingle_sets(norms: list[str]) -> list[np.ndarray]:
+            for _, texts in portions(batch.column(0)):
+                _, _, norms, items = lines_of(texts)
+                fresh = np.flatnonzero(seen.fresh(items))
+                if len(fresh):
+                    for at, keys in band_keys(*shingle_hashes([norms[k] for k in fresh.tolist()])):
+                        yield from bands.add(items[fresh[at]], keys)
+        yield from bands.rest()
+
+    return rows.select("text").mapInArrow(work, neardup.BANDED)
+
+
+def shingle_sets(norms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each line."""
-    values, sizes = minhash.distinct(*shingle_hashes(norms))
-    return np.split(values, np.cumsum(sizes)[:-1])
+    return minhash.distinct(*shingle_hashes(norms.to_pylist()))
 
 
-def shingle_set(norm: str) -> set[str]:
-    """The shingles themselves of one line."""
-    return {norm[k : k + SHINGLE] for k in range(max(1, len(norm) - SHINGLE + 1))}
+def numbered(rows: DataFrame) -> DataFrame:
+    """(doc, row, text) -> (doc, row, line, item, norm) of every compared line; norm is null where the task had the item before."""
+    kind = T.StructType([rows.schema["doc"], rows.schema["row"], T.StructField("line", T.IntegerType()), T.StructField("item", T.LongType()), T.StructField("norm", T.StringType())])
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+        for batch in batches:
+            for start, texts in portions(batch.column(2)):
+                owner, number, norms, items = lines_of(texts)
+                at = pa.array(np.array(owner, dtype=np.int64) + start)
+                given = pa.array(norms, pa.string(), mask=~seen.fresh(items))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(items), given], ["doc", "row", "line", "item", "norm"])
 
-def lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc, line, norm, item) of every line that is compared."""
-    each = docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "raw"))
-    each = each.select("doc", "line", normalised(F.col("raw")).alias("norm")).where("norm <> ''")
-    return each.withColumn("item", F.xxhash64("norm"))
+    return rows.select("doc", "row", "text").mapInArrow(work, kind)
 
 
-def line_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc, line, item, first: struct<doc, line>): every compared line with the line that stays for it."""
-    all_lines = lines(docs, text, doc_id)
-    slim = checkpointed(all_lines.select("doc", "line", "item"))
-    members = neardup.buckets(banded(all_lines).select("item", F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("band")))
-    wanted = members.select("item").distinct()
-    norms = neardup.maybe_wanted(all_lines.select("item", "norm"), wanted, "item").join(wanted, "item")  # a semi-join would be pushed below the filter
-    payload = norms.groupBy("item").agg(F.first("norm").alias("shingles")).withColumn("copies", F.lit(1).cast("long"))
-    links = checkpointed(neardup.verified(members, payload, THRESHOLD, unpack=shingle_sets, as_set=shingle_set))
-    roots = components(links.where("b IS NOT NULL")).select(F.col("node").alias("item"), "root")
-    place = slim.groupBy("item").agg(F.min(F.struct("doc", "line")).alias("first"))
-    rooted = place.join(roots, "item")
-    best = rooted.groupBy("root").agg(F.min("first").alias("best"))
-    better = rooted.join(best, "root").select("item", "best")
-    classes = checkpointed(place.join(better, "item", "left").select("item", F.coalesce("best", "first").alias("first")))
-    return slim.join(classes, "item")
+def row_key(doc_id: str, text: str) -> Column:
+    """What a row is known by."""
+    return F.xxhash64(F.lit("row"), F.col(doc_id), F.col(text))
 
 
-def _is_first() -> F.Column:
-    return F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.line") == F.col("line"))
+def line_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (doc, row, text): every compared line (doc, row, line, item), and those that go, with the one that stays (first)."""
+    members = neardup.buckets(banded(rows))
+    found = neardup.maybe_wanted(numbered(rows), members.select("item").distinct(), "item", "wanted")
+    lines = stored(found.select("doc", "row", "line", "item", F.when(F.col("wanted"), F.col("norm")).alias("norm")), "lines")
+    payload = lines.where("norm IS NOT NULL").groupBy("item").agg(F.first("norm").alias("shingles")).withColumn("copies", F.lit(1).cast("long"))
+    links = checkpointed(neardup.verified(members, payload, THRESHOLD, shingle_sets))
+    roots = components(links.where("b IS NOT NULL")).select(F.col("node").alias("item"), "root")
+    place = lines.groupBy("item").agg(F.min(F.struct("doc", "line", "row")).alias("first"), F.count("*").alias("n"))
+    several = checkpointed(place.join(roots, "item", "left").where("root IS NOT NULL OR n > 1").drop("n"))
+    best = several.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("best"))
+    linked = several.where("root IS NOT NULL").join(spread(best), "root").select("item", F.col("best").alias("first"))
+    classes = linked.unionByName(several.where("root IS NULL").select("item", "first"))
+    gone = lines.select("doc", "row", "line", "item").join(spread(classes), "item").where("NOT (first.row = row AND first.line = line)")
+    return lines.select("doc", "row", "line", "item"), gone
 
 
-def _once(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """`docs` with one of each group of rows that have the same doc_id and text, if it has a line that is compared."""
-    again = docs.groupBy(doc_id).agg(F.count("*").alias("_n")).where(F.col(doc_id).isNotNull() & (F.col("_n") > 1)).select(doc_id)
+def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row for each distinct row of `docs`: compared lines, lines that stay, and (line, kept doc, kept line) of each that goes."""
+    rows = docs.select(F.col(doc_id).alias("doc"), row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
+    lines, gone = line_links(rows)
+    ids = rows.groupBy("row", "doc").agg(F.count("*").alias("copies"))
+    per = lines.groupBy("row").agg(F.count("*").alias("n"))
+    removed = gone.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("line", F.col("first.doc").alias("kept_doc"), F.col("first.line").alias("kept_line")))).alias("removed"))
+    out = ids.join(per, "row", "left").join(removed, "row", "left")
+    n = F.coalesce(F.expr("n div copies"), F.lit(0)).cast("long")
+    none = F.array().cast(removed.schema["removed"].dataType)
+    return out.select(F.col("doc").alias(doc_id), n.alias("n_lines"), (n - F.size(F.coalesce("removed", none))).cast("long").alias("n_kept"), F.coalesce("removed", none).alias("removed"))
+
+
+def _once(rows: DataFrame, text: str) -> DataFrame:
+    """One of each group of rows with the same key, if it has a line that is compared."""
+    again = rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row")
     if again.isEmpty():
-        return docs
+        return rows
     again = checkpointed(again)
     has_line = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    several = docs.join(again, doc_id, "left_semi").select(*docs.columns)
-    alone = docs.join(again, doc_id, "left_anti").select(*docs.columns)
-    return alone.unionByName(several.where(has_line).dropDuplicates([doc_id, text])).unionByName(several.where(~has_line))
-
-
-def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per doc_id: compared lines, lines that stay, and (line, kept doc, kept line) of each that goes."""
-    docs = _once(docs.select(doc_id, text), text, doc_id)
-    links = line_links(docs, text, doc_id)
-    gone = F.when(~_is_first(), F.struct("line", F.col("first.doc").alias("kept_doc"), F.col("first.line").alias("kept_line")))
-    per = links.groupBy("doc").agg(F.count("*").alias("n_lines"), F.count(F.when(_is_first(), 1)).alias("n_kept"), F.sort_array(F.collect_list(gone)).alias("removed"))
-    ids = docs.select(F.col(doc_id).alias("doc")).distinct()
-    out = ids.join(per.withColumn("_k", F.lit(1)), ids["doc"].eqNullSafe(per["doc"]), "left").select(ids["doc"].alias(doc_id), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_kept", F.lit(0)).alias("n_kept"), F.coalesce("removed", F.array().cast("array<struct<line:int,kept_doc:bigint,kept_line:int>>")).alias("removed"))
-    return out
+    several = rows.join(spread(again), "row", "left_semi").select(*rows.columns)
+    alone = rows.join(spread(again), "row", "left_anti").select(*rows.columns)
+    one = several.where(has_line).groupBy("row").agg(F.min_by(F.struct(*rows.columns), F.xxhash64(*rows.columns)).alias("one")).select("one.*")
+    return alone.unionByName(one).unionByName(several.where(~has_line))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """`docs` with only the lines that stay; documents that lose their last line go, those that never had one stay.
 
-    Of repeated rows (same doc_id and text) one stays, unless they have no line.
+    Of repeated rows (same doc_id and text) one stays, unless they have no line. A column `n_chars` is counted anew.
     """
-    docs = _once(docs, text, doc_id)
-    links = line_links(docs, text, doc_id)
-    gone = links.where(~_is_first()).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_gone"))
+    names = Aside(docs)
+    body = names(text)
+    rows = _once(names.rows.withColumn("row", row_key(names(doc_id), body)), body)
+    _, gone = line_links(rows.select(F.col(names(doc_id)).alias("doc"), "row", F.col(body).alias("text")))
+    lost = gone.groupBy("row").agg(F.collect_set("line").alias("gone"))
     # The places that stay, by a hashed difference; the split text is bound once, as a lambda would split it for each place.
-    stay = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    parts = F.array(F.split(F.col(text), "\n"))
+    stay = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
+    parts = F.array(F.split(F.col(body), "\n"))
     joined = F.get(F.transform(parts, lambda p: F.array_join(F.transform(stay(p), lambda i: F.get(p, i)), "\n")), F.lit(0))
-    out = docs.join(gone, F.col(doc_id) == F.col("_doc"), "left")
-    out = out.withColumn("_new", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(joined))
-    out = out.where(F.col("_gone").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
-    columns = [F.col("_new").alias(c) if c == text else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    out = rows.join(spread(lost), "row", "left")
+    out = out.withColumn("new", F.when(F.col("gone").isNull(), F.col(body)).otherwise(joined))
+    out = out.where(F.col("gone").isNull() | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
+    changed = {body: F.col("new")}
+    if "n_chars" in docs.columns:
+        changed[names("n_chars")] = F.when(F.col("gone").isNull(), F.col(names("n_chars"))).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))
+    return names.back(out.withColumns(changed))

@@ -30,12 +30,15 @@ def coefficients(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 def distinct(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's values sorted and without repeats, with the new sizes."""
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((values, rows))
-    values, rows = values[order], rows[order]
-    first = np.ones(len(values), dtype=bool)
-    first[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
-    return values[first], np.bincount(rows[first], minlength=len(sizes))
+    out = values.copy()
+    ends = np.cumsum(sizes)
+    for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        out[a:b].sort()
+    first = np.ones(len(out), dtype=bool)
+    first[1:] = out[1:] != out[:-1]
+    first[(ends - sizes)[sizes > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(first)])
+    return out[first], kept[ends] - kept[ends - sizes]
 
 
 def signatures(values: np.ndarray, sizes: np.ndarray, n: int, seed: int) -> np.ndarray:
