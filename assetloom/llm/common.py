@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,6 +56,52 @@ class Aside:
         return rows.select(*out, *results)
 
 
+def with_results(df: DataFrame, results: dict[str, Column]) -> DataFrame:
+    """`df` with columns computed from it. A column of `df` named like one (in any case) is kept as `<name>_input`."""
+    names = Aside(df)
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    return names.back(df.select(*quoted, *results.values()).toDF(*names.rows.columns, *results), list(results))
+
+
+#: Rows and bytes of the batches that Python workers get, where the session doesn't say otherwise.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get small batches from here on. These are settings of the session; only their defaults are lowered."""
+    for name, least, value in (("maxRecordsPerBatch", 10_000, BATCH_ROWS), ("maxBytesPerBatch", 1 << 25, BATCH_BYTES)):
+        try:
+            if int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")) >= least:
+                spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
+        except PySparkException:  # this version of Spark has no such setting
+            pass
+
+
+def trimmed(results: Iterator) -> Iterator:
+    """The results of a task; afterwards its worker, which others use again, gives back the memory that it took."""
+    yield from results
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """`df.mapInArrow(work, schema)` in small batches and with `trimmed` workers."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(lambda batches: trimmed(work(batches)), schema)
+
+
+def portions(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts in portions of a bounded number of bytes, each with the place where it begins; a longer text is one."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start, n = 0, len(texts)
+    while start < n:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield start, texts.slice(start, stop - start).to_pylist()
+        start = stop
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; one of its own only where none is set on a single machine."""
     sc = spark.sparkContext
@@ -69,11 +121,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: columns that a later step lacks aren't read."""
+def written(df: DataFrame, name: str) -> str:
+    """Write a table to the shared folder; its path."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it again: columns that a later step lacks aren't read."""
+    return df.sparkSession.read.parquet(written(df, name))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that `written` made and nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

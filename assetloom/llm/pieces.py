@@ -12,7 +12,7 @@ keeps the encodings of runs: it changes the time, never the result.
 
 Cases: null is encoded as the empty text, with no ids, and decodes to the empty text; characters that the
 vocabulary lacks become the bytes of their UTF-8; very long texts and very long runs are encoded whole; an
-empty table gives an empty result; extra columns pass through.
+empty table gives an empty result; extra columns pass through, those named like a result as `<name>_input`.
 """
 
 from __future__ import annotations
@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import Aside, mapped, portions, with_results
+
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Entries of a worker's caches: two generations of runs, of which the older one goes when the newer is full, and one of pairs.
 CACHED_RUNS, CACHED_PAIRS = 150_000, 200_000
-#: Texts that a worker holds at once with their ids.
-ROWS_AT_ONCE = 256
 
 
 class Pieces:
@@ -206,26 +206,28 @@ def load(path: str | None = None) -> Pieces:
 
 def encoded(docs: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of `docs` (all where None), with the `ids` of the text (array<int>) and what they decode to (`decoded`)."""
-    keep = docs.columns if keep is None else keep
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    kept = docs.select(*(docs.columns if keep is None else keep))
+    names = Aside(kept)
+    rows = docs.select(*kept.columns, F.coalesce(F.col(text), F.lit(""))).toDF(*names.rows.columns, "body")
+    schema = T.StructType([*names.rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    width, columns = len(kept.columns), schema.names
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(start, ROWS_AT_ONCE)
-                ids = [np.frombuffer(model.encode_bytes(t), dtype=np.int32) for t in part.column(len(keep)).to_pylist()]
+            for start, texts in portions(batch.column(width)):
+                ids = [np.frombuffer(model.encode_bytes(t), dtype=np.int32) for t in texts]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists, pa.array([model.decode(x) for x in ids], pa.string())], [*keep, "ids", "decoded"])
+                decoded = pa.array([model.decode(x) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns[:width], lists, decoded], columns)
 
-    return rows.mapInArrow(work, schema)
+    return names.back(mapped(rows, work, schema), ["ids", "decoded"])
 
 
 def digests(rows: DataFrame) -> DataFrame:
     """`rows` of `encoded` with the ids' number and hash and the decoded text's hash."""
-    return rows.withColumns({
+    return with_results(rows, {
         "n_tokens": F.size("ids").cast("long"),
         "ids_sha256": F.sha2(F.array_join(F.col("ids"), ","), 256),
         "decoded_sha256": F.sha2(F.col("decoded"), 256),
