@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash, neardup
-from .common import WS, Aside, checkpointed, spread
+from .common import WS, Aside, checkpointed, mapped, spread
 from .components import components
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
@@ -137,7 +137,7 @@ def banded(rows: DataFrame) -> DataFrame:
                 yield from bands.add(part.column(0).to_numpy(), minhash.bands(minhash.signatures(values, sizes, BANDS * ROWS, SEED), ROWS))
         yield from bands.rest()
 
-    return rows.select("item", "words").mapInArrow(work, neardup.BANDED)
+    return mapped(rows.select("item", "words"), work, neardup.BANDED)
 
 
 def _payload(rows: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def _payload(rows: DataFrame) -> DataFrame:
             shingles = [values[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(shingles, pa.binary()), pa.array([s.tobytes() for s in signature], pa.binary())], ["item", "copies", "shingles", "signature"])
 
-    return rows.select("item", "words", "copies").mapInArrow(work, "item long, copies long, shingles binary, signature binary")
+    return mapped(rows.select("item", "words", "copies"), work, "item long, copies long, shingles binary, signature binary")
 
 
 def items(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

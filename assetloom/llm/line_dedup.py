@@ -28,37 +28,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import minhash, neardup
-from .common import Aside, checkpointed, spread, stored
+from .common import Aside, checkpointed, mapped, portions, spread, stored
 from .components import components
 
 #: The shingle's length is a power of two.
 SHINGLE, THRESHOLD, BANDS, ROWS = 8, 0.8, 12, 4
 #: Distinct shingles below which a line's bins don't do (at 75, one permutation has the recall of independent values).
 FEW = 80
-#: Items that a task remembers to have seen, and characters that it works on at once (a longer text is taken whole).
-REMEMBERED, AT_ONCE = 100_000, 1 << 20
+#: Items that a task remembers to have seen.
+REMEMBERED = 100_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = " \t\n\x0b\x0c\r"
 
 
-def portions(texts: pa.Array, most: int = AT_ONCE) -> Iterator[tuple[int, list[str | None]]]:
-    """The texts in portions of a bounded number of bytes, each with the place where it begins."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    start, n = 0, len(texts)
-    while start < n:
-        before = int(ends[start - 1]) if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
-        yield start, texts.slice(start, stop - start).to_pylist()
-        start = stop
-
-
 def lines_of(texts: list[str | None]) -> tuple[list[int], list[int], list[str], np.ndarray]:
     """Of all compared lines of the texts: the text's place, the line's number, the line as it is compared, and its hash."""
     owner, number, norms = [], [], []
@@ -174,7 +162,7 @@ def banded(rows: DataFrame) -> DataFrame:
                         yield from bands.add(items[fresh[at]], keys)
         yield from bands.rest()
 
-    return rows.select("text").mapInArrow(work, neardup.BANDED)
+    return mapped(rows.select("text"), work, neardup.BANDED)
 
 
 def shingle_sets(norms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +183,7 @@ def numbered(rows: DataFrame) -> DataFrame:
                 given = pa.array(norms, pa.string(), mask=~seen.fresh(items))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(items), given], ["doc", "row", "line", "item", "norm"])
 
-    return rows.select("doc", "row", "text").mapInArrow(work, kind)
+    return mapped(rows.select("doc", "row", "text"), work, kind)
 
 
 def row_key(doc_id: str, text: str) -> Column:

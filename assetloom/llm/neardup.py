@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import checkpointed, spread
+from .common import checkpointed, mapped, spread
 
 #: Rows and bytes of a block. Rows of a group that is compared pair by pair. Items whose bands are looked at together.
 BLOCK, BLOCK_BYTES, FEW_ROWS, TOGETHER = 512, 16 << 20, 16, 16_384
@@ -131,7 +131,7 @@ def verified(members: DataFrame, payload: DataFrame, threshold: float, sets: Cal
             _compare(part, key, threshold, sets, prune, found)
             yield from found.rows()
 
-    return rows.mapInArrow(work, "a long, b long, links long")
+    return mapped(rows, work, "a long, b long, links long")
 
 
 class Found:
@@ -159,7 +159,18 @@ class Found:
         """Links between rows x and y."""
         np.add.at(self.links, x, self.copies[y])
         np.add.at(self.links, y, self.copies[x])
-        self.join(self.item[x], self.item[y])
+        # The smallest row that each one is connected to, so that few edges are left to be joined one by one.
+        rows, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+        a, b = place[: len(x)], place[len(x) :]
+        least = np.arange(len(rows))
+        while len(a):
+            low = np.minimum(least[a], least[b])
+            np.minimum.at(least, a, low)
+            np.minimum.at(least, b, low)
+            least = least[least]
+            a, b = a[least[a] != least[b]], b[least[a] != least[b]]
+        tied = np.flatnonzero(least != np.arange(len(rows)))
+        self.join(self.item[rows[least[tied]]], self.item[rows[tied]])
 
     def matrix(self, at: int, linked: np.ndarray) -> None:
         """Links among the rows from `at`, as a symmetric matrix."""
