@@ -7,30 +7,32 @@ message of the conversation whose own words hold it: as a whole, as a run betwee
 a line. A passage of several lines that no earlier message holds so may quote parts of one: its original is the first
 message that holds each of its paragraphs, as a paragraph or else line by line. A message replies to the original of its least nested linked passage, of several the latest; following
 replies up gives the head of its thread. Conversations are ordered by the head's turn and then by turn, so
-that every reply stands after what it answers, and hold own words only.
+that every reply stands after what it answers, and hold own words only. `conversations` assembles them as arrays of
+at most `BLOCK` messages, so that a row is bounded however long a conversation is.
 
 Originals are reduced to one row a conversation and passage before the join, so no join multiplies rows. Quotes of
 parts are looked up once for each distinct passage, among distinct messages that hold the rarest of its pieces.
-Heads are found by pointer doubling over the replies. Positions are prefix sums over blocks of turns, so that a
-long conversation isn't ordered in one task.
+Heads are found by pointer doubling over the replies. Positions come from ranges of the order (`common.running`), so
+that no conversation or thread is ordered in one task, nor are the rows without a conversation or turn. Messages are
+parsed once, to a table in the shared folder.
 
 Cases: a null or empty text is an empty message; a message that only quotes has an empty body; a passage found
 in no earlier message stays unlinked and is dropped from the body all the same; rows without a conv_id or turn
 link with nothing (positions count among their like); repeated rows get a row each; an empty table gives an
-empty result; extra columns pass through.
+empty result; extra columns pass through, those named like a result as `<name>_input`.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import Aside, checkpointed, running, spread, stored
 
 _MARKS = r"^(?:[ \t]*>)+"
 _SEP = "\x01"
 _GAP = r"\n\s*\n"
+#: Messages in a row of `conversations`.
 BLOCK = 1024
 
 
@@ -86,33 +88,51 @@ def _in_parts(missing: DataFrame, holders: DataFrame) -> DataFrame:
     return have.join(wanted, ["c", "h", "v"]).where(holds).groupBy("c", "h").agg(F.min("m").alias("also"))
 
 
+RESULTS = ["body", "n_quoted", "n_linked", "reply_to", "thread", "position"]
+
+
 def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """`messages` with body, n_quoted, n_linked, reply_to and thread (turns), and position in the conversation."""
-    rows = messages.withColumn("_p", passages(F.col(text)))
-    own = F.filter("_p", lambda x: x["level"] == 0)
-    bodies = F.transform(own, lambda x: x["body"])
-    rows = rows.withColumn("body", F.array_join(bodies, "\n"))
-    parsed = rows.select(F.col(conv).alias("c"), F.col(turn).alias("t"), "body", bodies.alias("runs"), F.filter("_p", lambda x: x["level"] > 0).alias("quoted"))
-    quoted = parsed.where((F.size("quoted") > 0) & F.col("c").isNotNull() & F.col("t").isNotNull()).select("c", "t", F.explode("quoted").alias("q"))
+    names = Aside(messages)
+    rows = names.rows.withColumns({"c": F.col(names(conv)), "t": F.col(names(turn)), "p": passages(F.col(names(text)))})
+    runs = F.transform(F.filter("p", lambda x: x["level"] == 0), lambda x: x["body"])
+    rows = rows.withColumns({"body": F.array_join(runs, "\n"), "runs": runs, "quoted": F.filter("p", lambda x: x["level"] > 0), "row": F.monotonically_increasing_id()}).drop("p")
+    rows = stored(rows, "messages")  # the row's number holds from here on
+    placed = rows.where(F.col("c").isNotNull() & F.col("t").isNotNull())
+    quoted = placed.where(F.size("quoted") > 0).select("c", "t", F.explode("quoted").alias("q"))
     quoted = quoted.select("c", "t", F.col("q.level").alias("level"), _key(F.col("q.body")).alias("h"), F.col("q.body").alias("q"))
-    quoted = quoted.groupBy("c", "t", "level", "h").agg(F.collect_set("q").alias("q"))  # their lines may be cut differently
+    quoted = checkpointed(quoted.groupBy("c", "t", "level", "h").agg(F.collect_set("q").alias("q")))  # their lines may be cut differently
     parts = F.flatten(F.array(F.array("body"), F.col("runs"), F.split("body", _GAP), F.split("body", "\n")))
     keys = F.array_distinct(_keys(parts))
-    originals = parsed.where(F.col("c").isNotNull() & F.col("t").isNotNull()).select("c", "t", F.explode(keys).alias("h")).groupBy("c", "h").agg(F.min("t").alias("first"))
-    found = quoted.join(originals, ["c", "h"], "left").withColumn("first", F.when(F.col("first") < F.col("t"), F.col("first")))
+    quoting = placed.join(spread(quoted.select("c").distinct()), "c", "left_semi")  # other conversations have nothing to link
+    originals = quoting.select("c", "t", F.explode(keys).alias("h")).groupBy("c", "h").agg(F.min("t").alias("first"))
+    found = quoted.join(spread(originals), ["c", "h"], "left").withColumn("first", F.when(F.col("first") < F.col("t"), F.col("first")))
     found = checkpointed(found.withColumn("q", F.when(F.col("first").isNull(), F.filter("q", lambda x: x.contains("\n")))))
     missing = found.select("c", "h", F.explode("q").alias("q")).distinct()
     if not missing.isEmpty():
-        whole = parsed.where(F.col("c").isNotNull() & F.col("t").isNotNull()).groupBy("c", "body", "runs").agg(F.min("t").alias("m"))
+        whole = quoting.groupBy("c", "body", "runs").agg(F.min("t").alias("m"))
         holders = whole.select("c", "m", F.explode(keys).alias("k")).distinct()
-        found = found.join(_in_parts(missing, holders), ["c", "h"], "left").withColumn("first", F.coalesce("first", F.when(F.col("also") < F.col("t"), F.col("also"))))
+        found = found.join(spread(_in_parts(missing, holders)), ["c", "h"], "left").withColumn("first", F.coalesce("first", F.when(F.col("also") < F.col("t"), F.col("also"))))
     nearest = F.min(F.when(F.col("first").isNotNull(), F.struct(F.col("level"), (-F.col("first")).alias("late"))))
     replies = checkpointed(found.groupBy("c", "t").agg(F.count("*").alias("n_quoted"), F.count("first").alias("n_linked"), nearest.alias("best")).select("c", "t", "n_quoted", "n_linked", (-F.col("best.late")).alias("reply_to")))
     heads = _heads(replies.where("reply_to IS NOT NULL").select("c", "t", F.col("reply_to").alias("head")))
-    per = replies.join(heads, ["c", "t"], "left").select(F.col("c").alias("_c"), F.col("t").alias("_t"), "n_quoted", "n_linked", "reply_to", "head")
-    out = rows.join(per, (F.col(conv) == F.col("_c")) & (F.col(turn) == F.col("_t")), "left")
-    out = out.select(*messages.columns, "body", F.coalesce("n_quoted", F.lit(0)).cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "reply_to", F.coalesce("head", turn).alias("thread"))
-    return _positioned(out, conv, turn)
+    per = replies.join(heads, ["c", "t"], "left").select(F.col("c").alias("of_c"), F.col("t").alias("of_t"), "n_quoted", "n_linked", "reply_to", "head")
+    state = rows.select("row", "c", "t", F.xxhash64("body").alias("h")).join(spread(per), (F.col("c") == F.col("of_c")) & (F.col("t") == F.col("of_t")), "left")
+    thread = F.coalesce("head", "t")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    state = checkpointed(state.select("row", "c", "t", "h", count("n_quoted"), count("n_linked"), "reply_to", thread.alias("thread"), thread.isNull().cast("int").alias("none")))
+    state = running(state, ["c"], ["none", "thread", "t", "h", "row"], F.lit(1).cast("long"), "position")
+    out = rows.select(*names.rows.columns, "body", "row").join(state.select("row", "n_quoted", "n_linked", "reply_to", "thread", "position"), "row")
+    return names.back(out, RESULTS)
+
+
+def conversations(messages: DataFrame, conv: str = "conv_id", role: str = "role", block: int = BLOCK) -> DataFrame:
+    """Rows of `linked` as (conv_id, block, messages): arrays of (position, role, body) in reply order, of at most `block` messages.
+
+    A conversation is the concatenation of its blocks in order. Rows without a conversation are left out.
+    """
+    rows = messages.where(F.col(conv).isNotNull()).select(F.col(conv).alias("conv_id"), F.floor(F.col("position") / block).alias("block"), F.struct("position", F.col(role).alias("role"), "body").alias("m"))
+    return rows.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list("m")).alias("messages"))
 
 
 def _heads(links: DataFrame) -> DataFrame:
@@ -126,19 +146,6 @@ def _heads(links: DataFrame) -> DataFrame:
         now = moved.select("c", "t", F.coalesce("further", "head").alias("head"))
 
 
-def _positioned(rows: DataFrame, conv: str, turn: str) -> DataFrame:
-    """`rows` with `position`, from 0, in the order of (thread, turn); rows without a turn are last."""
-    rows = rows.withColumns({"_none": F.col("thread").isNull().cast("int"), "_block": F.floor(F.coalesce("thread", F.lit(0)) / BLOCK)})
-    cell = ["_none", "_block"]
-    counts = rows.groupBy(F.col(conv).alias("_c"), *[F.col(c).alias(f"{c}2") for c in cell]).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("_c").orderBy("_none2", "_block2").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("_before", before).drop("_n")
-    within = W.partitionBy(conv, *cell).orderBy(F.col("thread"), F.col(turn), F.xxhash64("body"))
-    rows = rows.withColumn("_rank", F.row_number().over(within) - 1)
-    same = F.col(conv).eqNullSafe(F.col("_c")) & (F.col("_none") == F.col("_none2")) & (F.col("_block") == F.col("_block2"))
-    return rows.join(counts, same).withColumn("position", (F.col("_before") + F.col("_rank")).cast("long")).drop("_none", "_block", "_none2", "_block2", "_c", "_rank", "_before")
-
-
 def formatted(role: Column, body: Column) -> Column:
     """One message as chat text."""
     return F.concat(F.lit("<|"), F.coalesce(role, F.lit("user")), F.lit("|>\n"), body, F.lit("\n"))
