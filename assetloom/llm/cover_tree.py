@@ -1,20 +1,26 @@
 """Operator 6: embedding near-duplicates by dual traversal of cover trees.
 
 Vectors of one label are compared by cosine; on the unit sphere a cosine of t is a chord of sqrt(2 - 2t), so
-links are the pairs within that radius of a metric. A cover tree holds nested levels of centres whose radii
-halve; a node pair whose centres are further apart than the radius plus both covering radii holds no link and
-is dropped, else it is opened into the pairs of its children.
-
-The uppermost level is distributed: pivots from a bounded sample (`SAMPLE` vectors) cut a label into cells,
-every vector is put into the cell of its nearest pivot, the cells' covering radii are taken over all their
-vectors, and pairs of cells are pruned by the same bound. A cell is cut into blocks of `BLOCK` vectors, so
-that a label or cell of any size spreads over tasks. In each pair of blocks a tree is built on either side and
-both are traversed together; the pairs that reach the leaves are verified in double precision. The sample
-decides where cells lie, never which pairs are found.
+links are the pairs within that radius of a metric. A cover tree holds nested levels of centres: the root covers all
+within 2, the largest chord, and the radii halve from level to level; a centre of a level is one of the level below.
+A node pair whose centres are further apart than the radius plus both covering radii holds no link and is dropped, else
+it is opened into the pairs of its children.
+
+The upper levels are shared by the whole cluster: a tree over a bounded sample (`SAMPLE` vectors) is cut at the lowest
+level that has no more nodes than a label needs, one for about `CELL` vectors. Every vector goes to the nearest of these
+nodes, the nodes' covering radii are taken over all vectors that they got, and dual traversal of the upper levels tells
+which pairs of cells are left. The lower levels are local: a cell is cut into blocks of `SPREAD` vectors, so that a
+label or cell of any size spreads over tasks, and for each pair of blocks left a task builds trees over parts of `BLOCK`
+vectors once and traverses each two of them together. Pairs that reach the leaves are verified in double precision. The
+sample decides where cells lie, never which pairs are found.
+
+How much the bounds prune depends on the vectors: where most are nearly orthogonal, as random ones of many dimensions
+are, no centre covers anything but copies, and nearly all pairs of centres are measured, by products of matrices.
 
 Cases: a vector that is null, zero, or holds a null or non-finite component, and one without a label, links
-with nothing; vectors of other lengths are never linked; equal vectors of a label are one item with copies;
-repeated vec_ids are separate rows of the same name; an empty table gives an empty result; extra columns are dropped.
+with nothing; vectors of other lengths are never linked; components of any size are scaled first, so that no norm
+overflows; equal vectors of a label are one item with copies; repeated vec_ids are separate rows of the same name; an
+empty table gives an empty result; extra columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,14 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup
-from .common import checkpointed
+from .common import checkpointed, mapped, spread
 from .components import components
 
-COSINE, SAMPLE, CELL, MOST_CELLS, BLOCK = 0.98, 4096, 2000, 64, 2048
+COSINE, SAMPLE, CELL, SPREAD, BLOCK = 0.98, 4096, 2000, 8192, 2048
+#: The radii of the levels, from the finest; the root's, 2, covers whatever there is.
+RADII = tuple(2.0 ** -k for k in range(4, -1, -1))
 
 
 def unit(v: np.ndarray) -> np.ndarray:
     v = np.asarray(v, dtype=np.float64)
+    v = v / np.abs(v).max(axis=-1, keepdims=True)
     return v / np.sqrt((v * v).sum(axis=-1, keepdims=True))
 
 
@@ -45,20 +54,19 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class CoverTree:
-    """Levels of (centres, parent of each centre, covering radius of each centre); the last level is the points."""
+    """Levels of (centres, parent of each centre, covering radius of each centre), the points first and the root last."""
 
-    def __init__(self, points: np.ndarray, radius: float = 1.0, least: float = 0.05) -> None:
+    def __init__(self, points: np.ndarray) -> None:
         self.points = points
         n = len(points)
-        #: The net that covers all points at each radius, from the finest; a centre of a level is one of the level below.
         nets, parents = [np.arange(n)], []
-        r = least
-        while r <= radius and len(nets[-1]) > 1:
-            own, up = self._net(nets[-1], r)
-            if len(own) < len(nets[-1]):
-                nets.append(own)
-                parents.append(up)
-            r *= 2
+        least = self._closest()
+        for r in RADII:
+            if r >= least and len(nets[-1]) > 1:  # below, no point covers another
+                own, up = self._net(nets[-1], r)
+                if len(own) < len(nets[-1]):
+                    nets.append(own)
+                    parents.append(up)
         nets.append(nets[-1][:1])  # the root
         parents.append(np.zeros(len(nets[-2]), dtype=np.int64))
         self.nets, self.parents = nets, parents
@@ -71,6 +79,15 @@ class CoverTree:
             np.maximum.at(out, leaf, d)
             self.radii.append(out + 1e-9)
 
+    def _closest(self) -> float:
+        """The smallest distance of two points."""
+        least = 2.0
+        for at in range(0, len(self.points), 512):
+            d = distances(self.points[at : at + 512], self.points)
+            d[np.arange(len(d)), at + np.arange(len(d))] = 2.0
+            least = min(least, float(d.min()))
+        return least
+
     def _net(self, ids: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
         """A greedy net: each point is covered by an earlier centre within r, or becomes one."""
         x = self.points[ids]
@@ -88,6 +105,8 @@ class CoverTree:
                     covered |= close[k]
             base = len(centres)
             centres += head[fresh].tolist()
+            up[head[fresh]] = base + np.arange(len(fresh))
+            left = left[up[left] < 0]
             d = distances(x[left], x[head[fresh]])
             near = d.argmin(axis=1)
             inside = d[np.arange(len(left)), near] <= r
@@ -95,10 +114,21 @@ class CoverTree:
             left = left[~inside]
         return ids[np.array(centres)], up
 
+    def above(self, level: int, radii: np.ndarray) -> CoverTree:
+        """The levels from `level` up, whose nodes there cover whatever lies within `radii` of them."""
+        out = object.__new__(CoverTree)
+        out.points, out.nets, out.parents = self.points, self.nets[level:], self.parents[level:]
+        out.radii = [radii]
+        for k, up in enumerate(out.parents):
+            d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (self.points[out.nets[k]] * self.points[out.nets[k + 1][up]]).sum(axis=1)))
+            wide = np.zeros(len(out.nets[k + 1]))
+            np.maximum.at(wide, up, d + out.radii[k])
+            out.radii.append(wide + 1e-9)
+        return out
 
 
 def near_pairs(a: CoverTree, b: CoverTree, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Dual traversal: all (i, j) with points within the radius, and maybe a few just beyond it.
+    """Dual traversal: all (i, j) of lowest nodes that may hold points within the radius of each other.
 
     Both trees are opened level by level. The node pairs of a level are a matrix of what is still open; only rows
     and columns with an open pair are measured, as a product of matrices, or pair by pair where few are open.
@@ -142,120 +172,117 @@ def _valid(v: F.Column) -> F.Column:
     return v.isNotNull() & (F.size(v) > 0) & F.forall(v, finite) & F.exists(v, lambda x: x != 0)
 
 
-def _pivots(items: DataFrame, n: int, sample: int) -> dict[tuple[object, int], np.ndarray]:
-    """Pivots of each (label, length) of the sample: far from each other, one for about `CELL` vectors."""
+def _tops(items: DataFrame, n: int, sample: int, cell: int) -> dict[tuple[object, int], tuple[CoverTree, int]]:
+    """For labels of the sample that are to have several cells: a tree over it, and the level whose nodes the cells are."""
     rows = items.orderBy(F.xxhash64("item"), "item").limit(sample).select("label", "vector").collect()
     held: dict[tuple[object, int], list] = {}
     for r in rows:
         held.setdefault((r["label"], len(r["vector"])), []).append(r["vector"])
     out = {}
     for key, vs in held.items():
-        x = unit(np.array(vs))
-        want = min(MOST_CELLS, len(x), math.ceil(n * len(x) / max(1, len(rows)) / CELL))
-        chosen, d = [0], distances(x, x[:1])[:, 0]
-        while len(chosen) < want:
-            chosen.append(int(d.argmax()))
-            d = np.minimum(d, distances(x, x[chosen[-1:]])[:, 0])
-        out[key] = x[chosen]
+        want = math.ceil(n * len(vs) / len(rows) / cell)
+        if want > 1:
+            tree = CoverTree(unit(np.array(vs)))
+            level = next(k for k, net in enumerate(tree.nets) if len(net) <= want)
+            if len(tree.nets[level]) > 1:
+                out[key] = (tree, level)
     return out
 
 
-def links(items: DataFrame, label_type: str, cosine: float = COSINE, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def links(items: DataFrame, label_type: str, cosine: float = COSINE, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK, wide: int = SPREAD) -> DataFrame:
     """Edges and link counts (as `neardup.verified`) of items (item, copies, label, vector)."""
     radius = math.sqrt(2 - 2 * cosine)
-    pivots = _pivots(items, items.count(), sample)
+    tops = _tops(items, items.count(), sample, cell)
+    pivots = {key: tree.points[tree.nets[level]] for key, (tree, level) in tops.items()}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, vectors = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            cell, far = [0] * len(labels), [2.0] * len(labels)
+            labels, vectors = batch.column(2).to_pylist(), batch.column(3)
+            ends, values = vectors.offsets.to_numpy(), vectors.values.to_numpy()
+            width = np.diff(ends)
             where: dict = {}
-            for k, (label, v) in enumerate(zip(labels, vectors, strict=True)):
-                where.setdefault((label, len(v)), []).append(k)
+            for k, key in enumerate(zip(labels, width.tolist(), strict=True)):
+                where.setdefault(key, []).append(k)
+            chosen, far = np.zeros(len(labels), dtype=np.int32), np.full(len(labels), 2.0)
             for key, ks in where.items():
                 if key in pivots:
-                    d = distances(unit(np.array([vectors[k] for k in ks])), pivots[key])
+                    d = distances(unit(np.stack([values[ends[k] : ends[k + 1]] for k in ks])), pivots[key])
                     best = d.argmin(axis=1)
-                    for k, c, r in zip(ks, best.tolist(), d[np.arange(len(ks)), best].tolist(), strict=True):
-                        cell[k], far[k] = c, r
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(v) for v in vectors], pa.int32()), pa.array(cell, pa.int32()), pa.array(far)], ["item", "copies", "label", "vector", "width", "cell", "far"])
+                    chosen[ks], far[ks] = best, d[np.arange(len(ks)), best]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(width, pa.int32()), pa.array(chosen), pa.array(far)], ["item", "copies", "label", "vector", "width", "cell", "far"])
 
-    placed = checkpointed(items.select("item", "copies", "label", "vector").mapInArrow(assign, f"item long, copies long, label {label_type}, vector array<double>, width int, cell int, far double"))
+    placed = checkpointed(mapped(items.select("item", "copies", "label", "vector"), assign, f"item long, copies long, label {label_type}, vector array<double>, width int, cell int, far double"))
     cells = checkpointed(placed.groupBy("label", "width", "cell").agg(F.max("far").alias("r"), F.count("*").alias("n")))
-    # Cells with pivots are bounded in number by the sample; a label without one has the single cell 0.
-    apart = [(label, width, i, j, float(d)) for (label, width), x in pivots.items() for i, row in enumerate(distances(x, x)) for j, d in enumerate(row)]
-    schema = f"label {label_type}, width int, cell int, other int, d double"
-    apart_df = items.sparkSession.createDataFrame(apart, schema) if apart else items.sparkSession.createDataFrame([], schema)
-    theirs = cells.select("label", "width", F.col("cell").alias("other"), F.col("r").alias("other_r"), F.col("n").alias("other_n"))
-    pairs = cells.join(theirs, ["label", "width"]).join(apart_df, ["label", "width", "cell", "other"], "left")
-    pairs = pairs.where(F.coalesce(F.col("d"), F.lit(0.0)) - F.col("r") - F.col("other_r") <= radius + 1e-7)
-    pairs = checkpointed(pairs.select("label", "width", "cell", "other", F.ceil(F.col("n") / block).cast("int").alias("k"), F.ceil(F.col("other_n") / block).cast("int").alias("other_k")))
-    rows = placed.join(pairs, ["label", "width", "cell"])
+    # Cells of labels with several of them are bounded in number by the sample; other labels have the single cell 0.
+    radii: dict[tuple[object, int], np.ndarray] = {key: np.full(len(x), -4.0) for key, x in pivots.items()}  # what has no vector is near nothing
+    several = cells.join(F.broadcast(items.sparkSession.createDataFrame([*pivots], f"label {label_type}, width int")), ["label", "width"], "left_semi").collect() if pivots else []
+    for r in several:
+        radii[r["label"], r["width"]][r["cell"]] = r["r"] + 1e-9
+    left: list[tuple] = []
+    for key, (tree, level) in tops.items():
+        upper = tree.above(level, radii[key])
+        left += [(*key, i, j) for i, j in zip(*(x.tolist() for x in near_pairs(upper, upper, radius)), strict=True)]
+    near = items.sparkSession.createDataFrame(left, f"label {label_type}, width int, cell int, other int")
+    sizes = cells.select("label", "width", F.col("cell").alias("other"), F.ceil(F.col("n") / wide).cast("int").alias("other_k"))
+    pairs = cells.join(F.broadcast(near), ["label", "width", "cell"], "left").withColumn("other", F.coalesce("other", "cell")).join(sizes, ["label", "width", "other"])
+    pairs = checkpointed(pairs.select("label", "width", "cell", "other", F.ceil(F.col("n") / wide).cast("int").alias("k"), "other_k"))
+    rows = placed.join(spread(pairs), ["label", "width", "cell"])
     mine = F.pmod(F.xxhash64("item"), F.col("k")).cast("int")
     rows = rows.withColumn("mine", F.struct(F.col("cell").alias("c"), mine.alias("b"))).withColumn("b2", F.explode(F.sequence(F.lit(0), F.col("other_k") - 1)))
     rows = rows.withColumn("theirs", F.struct(F.col("other").alias("c"), F.col("b2").alias("b")))
-    rows = rows.select("label", "width", F.least("mine", "theirs").alias("i"), F.greatest("mine", "theirs").alias("j"), (F.col("mine") <= F.col("theirs")).alias("left"), "item", "copies", "vector")
-    keys = ("label", "width", "i", "j")
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+    i, j = F.least("mine", "theirs"), F.greatest("mine", "theirs")
+    key = ("label", "width", "ic", "ib", "jc", "jb")
+    flat = rows.select("label", "width", i["c"].alias("ic"), i["b"].alias("ib"), j["c"].alias("jc"), j["b"].alias("jb"), (F.col("mine") <= F.col("theirs")).alias("left"), "item", "copies", "vector")
+    flat = flat.repartition(*key).sortWithinPartitions(*key)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in neardup.groups(batches, keys_flat):
-            yield from neardup.emitted(_compare(g, cosine, radius))
-
-    keys_flat = ("label", "width", "ic", "ib", "jc", "jb")
-    flat = rows.select("label", "width", F.col("i.c").alias("ic"), F.col("i.b").alias("ib"), F.col("j.c").alias("jc"), F.col("j.b").alias("jb"), "left", "item", "copies", "vector")
-    return flat.mapInArrow(work, "a long, b long, links long")
-
-
-_TREES: dict[tuple, CoverTree] = {}
-
-
-def _tree(rows: list[dict]) -> CoverTree:
-    """The tree of a block; the last few are kept, as a block meets one block after another."""
-    rows.sort(key=lambda r: r["item"])
-    x = np.array([r["vector"] for r in rows], dtype=np.float64)
-    key = (x.shape, hash(x.tobytes()))
-    if key not in _TREES:
-        while len(_TREES) > 3:
-            del _TREES[next(iter(_TREES))]
-        _TREES[key] = CoverTree(unit(x))
-    return _TREES[key]
-
-
-def _compare(rows: list[dict], cosine: float, radius: float) -> tuple[list, list, list] | None:
-    same = (rows[0]["ic"], rows[0]["ib"]) == (rows[0]["jc"], rows[0]["jb"])
-    left = [r for r in rows if r["left"]]
-    right = left if same else [r for r in rows if not r["left"]]
-    if not left or not right or (same and len(left) < 2):
-        return None
-    a = _tree(left)
-    b = a if same else _tree(right)
-    n = len(left) if same else len(left) + len(right)
-    sym = np.zeros((n, n), dtype=bool)
-    p, q = near_pairs(a, b, radius)
-    for k in range(0, len(p), 8192):  # verified in double precision
-        x, y = p[k : k + 8192], q[k : k + 8192]
-        ok = np.einsum("ij,ij->i", a.points[x], b.points[y]) >= cosine
-        sym[x[ok], y[ok] + (0 if same else len(left))] = True
-    sym |= sym.T
-    np.fill_diagonal(sym, False)
-    if not sym.any():
-        return None
-    both = left if same else left + right
-    return neardup.forest(sym, [r["item"] for r in both], np.array([r["copies"] for r in both], dtype=np.int64))
-
-
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+        for part in neardup.whole_groups(batches, key):
+            starts = [*np.flatnonzero(neardup._changes(part, key)).tolist(), part.num_rows]
+            for at, end in zip(starts, starts[1:], strict=False):
+                yield from _compare(part.slice(at, end - at), cosine, radius, block)
+
+    return mapped(flat, work, "a long, b long, links long")
+
+
+def _compare(group: pa.RecordBatch, cosine: float, radius: float, block: int) -> Iterator[pa.RecordBatch]:
+    """Links of one pair of blocks: trees over parts of either, and each two parts together."""
+    ids, copies, side = group.column("item").to_numpy(), group.column("copies").to_numpy(), group.column("left").to_numpy(zero_copy_only=False)
+    same = group.column("ic")[0] == group.column("jc")[0] and group.column("ib")[0] == group.column("jb")[0]
+    vectors = group.column("vector")
+    ends = vectors.offsets.to_numpy()
+    x = unit(vectors.values.to_numpy()[ends[0] : ends[-1]].reshape(len(ids), -1))
+    parts = [rows[at : at + block] for rows in ((np.arange(len(ids)),) if same else (np.flatnonzero(side), np.flatnonzero(~side))) for at in range(0, len(rows), block)]
+    trees = [CoverTree(x[rows]) for rows in parts]
+    found = neardup.Found(ids, copies)
+    for i, a in enumerate(trees):
+        for j in range(i, len(trees)):
+            if not same and side[parts[i][0]] == side[parts[j][0]]:
+                continue
+            b = trees[j]
+            p, q = near_pairs(a, b, radius)
+            for k in range(0, len(p), 8192):  # verified in double precision
+                u, v = p[k : k + 8192], q[k : k + 8192]
+                ok = np.einsum("ij,ij->i", a.points[u], b.points[v]) >= cosine
+                if i == j:
+                    ok &= u < v
+                found.pairs(parts[i][u[ok]], parts[j][v[ok]])
+    yield from found.rows()
+
+
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK, wide: int = SPREAD) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id and kept."""
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
-    rows = rows.withColumn("key", F.when(F.col("label").isNotNull() & _valid(F.col("vector")), F.xxhash64("label", "vector")))
-    full = rows.where("key IS NOT NULL")
-    items = checkpointed(full.groupBy("key").agg(F.min("vec_id").alias("item"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector")))
-    found = checkpointed(links(items, dict(rows.dtypes)["label"], cosine, sample, block))
+    rows = rows.withColumn("item", F.when(F.col("label").isNotNull() & _valid(F.col("vector")), F.xxhash64("label", "vector")))
+    full = rows.where("item IS NOT NULL")
+    items = checkpointed(full.groupBy("item").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector")))
+    found = checkpointed(links(items, dict(rows.dtypes)["label"], cosine, sample, cell, block, wide))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("item")).agg(F.sum("links").alias("links"))
     roots = components(found.where("b IS NOT NULL")).select(F.col("node").alias("item"), "root")
-    per = items.select("key", "item", "copies").join(counts, "item", "left").join(roots, "item", "left")
-    per = per.select(F.col("key").alias("_key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "item").alias("component_id"))
-    out = rows.select("vec_id", "key").join(per, F.col("key") == F.col("_key"), "left")
+    rooted = checkpointed(items.select("item", "first_id").join(roots, "item"))
+    best = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    better = rooted.join(spread(best), "root").select("item", "component_id")
+    per = items.select("item", "first_id", "copies").join(counts, "item", "left").join(better, "item", "left")
+    per = checkpointed(per.select(F.col("item").alias("key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id")))
+    out = rows.select("vec_id", "item").join(spread(per), F.col("item") == F.col("key"), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
