@@ -35,7 +35,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each message in reply order without its quotes, with the message that it answers."""
-    out = quotes.linked(table(spark, sf_dir, "conversations"))
+    out = quotes.linked(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return out.select("conv_id", "turn", "role", "position", "thread", "reply_to", "n_quoted", "n_linked", "body", quotes.formatted(F.col("role"), F.col("body")).alias("formatted"))
 
 
@@ -99,10 +99,7 @@ ORACLE["op10_mixing"] = r"""
 WITH docs AS (
   SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS k, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM documents),
-keyed AS (
-  SELECT *, length(CAST(size AS VARCHAR)) * 100 + CAST(substr(rpad(CAST(size AS VARCHAR), 2, '0'), 1, 2) AS INT) AS c,
-         h % greatest(64, CAST(ceil((SELECT count(*) FROM docs) / 200000.0) AS BIGINT)) AS salt FROM docs),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY none, k ORDER BY c, salt, size, h, doc_id) AS r FROM keyed),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY none, k ORDER BY size, h, doc_id) AS r FROM docs),
 per AS (
   SELECT none, k, sum(size)::DOUBLE AS source_size, CASE (row_number() OVER (ORDER BY none, k) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM docs GROUP BY none, k),
 ratio AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / w AS ratio FROM per),
@@ -178,20 +175,19 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract 7: counts and digest of the base spans, and all spans with those that the field adds."""
+    """Contract 7: counts and digest of the base spans, and all spans with those that the field adds; has_pii where there is any."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = pii.tagged(docs, pii.learn(docs), keep=["doc_id"])
     base = F.filter("spans", lambda x: x["base"])
     count = lambda kind: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
-    return rows.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    return rows.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), (F.size("spans") > 0).alias("has_pii"))
 
 
 @_query
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document from two co-trained views; kept where it is 0.5 or more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    model = cotraining.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
-    out = cotraining.scored(docs, model)
+    out = cotraining.learned_and_scored(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "content_score", "metadata_score", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).alias("kept"))
 
 
