@@ -6,20 +6,22 @@ gets the weight of its heaviest entry; words inside an exception phrase get none
 function of the summed weight and of that weight normalised by length.
 
 Learning reads labels of training rows only, on a bounded sample (`MAX_TOXIC`, `MAX_CLEAN` rows, taken by a
-hash of the id): entries common in toxic and rare in clean documents are candidates, and a greedy cover keeps
+hash of the id, one text for each id); nothing else is bounded. Entries common in toxic and rare in clean documents are candidates, and a greedy cover keeps
 those that explain toxic documents not yet explained, so that words which merely stand beside a toxic one in
 copied texts stay out; entries nearly as common as those of the cover join it. Exceptions are two-word phrases around an entry that the sample shows mostly in clean
 documents. Scoring reads every whole text of the table.
 
 Cases: null and empty texts hold no word and get the lowest score; without toxic or clean training rows the
 lexicon is empty and every score is the share of toxic training rows (0 without any); repeated label rows
-count once, the larger label holding; repeated documents get a row each; extra columns pass through.
+count once, the larger label holding; repeated documents get a row each; an empty table gives an empty result; extra
+columns pass through, those named like a result as `<name>_input`.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -27,13 +29,14 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import Aside, checkpointed, portions, small_batches, trimmed
 
-#: Bounds of the labelled sample, of candidates carried on, and of the lexicon.
-MAX_TOXIC, MAX_CLEAN, MAX_CANDIDATES, MAX_ENTRIES = 3_000, 9_000, 20_000, 400
+#: Bounds of the labelled sample.
+MAX_TOXIC, MAX_CLEAN = 3_000, 9_000
 LEAST_DOCS, LEAST_RATIO, LEAST_STEM, MOST_STEM = 3, 20.0, 4, 7
 #: Entries in so large a share of the documents of the commonest one join the cover.
 ENTRY_SHARE = 0.15
@@ -86,9 +89,14 @@ def matched(text: str, automaton: ahocorasick.Automaton | None) -> dict[int, flo
             spans.append((start, end))
         elif weight > hits.get(start, -math.inf):
             hits[start] = weight
-    for a, b in spans:
-        for at in [x for x in hits if a <= x < b]:
-            del hits[at]
+    if spans and hits:
+        starts, past = sorted(hits), 0  # a phrase that begins before the last one's end goes on from there
+        for a, b in sorted(spans):
+            k = max(past, bisect_left(starts, a))
+            while k < len(starts) and starts[k] < b:
+                del hits[starts[k]]
+                k += 1
+            past = k
     return hits
 
 
@@ -110,8 +118,9 @@ def _sample(docs: DataFrame, labels: DataFrame, train: Column, max_toxic: int, m
     one = labels.where(train & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     part = lambda y, n: one.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = part(1, max_toxic).unionByName(part(0, max_clean))
-    # Of bounded size by the two limits, so it may be broadcast.
-    return checkpointed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "y"))
+    # Of bounded size by the two limits, so it may be broadcast; one text for each id bounds what comes of the join.
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return checkpointed(texts.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y"))
 
 
 def _counted(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
@@ -137,11 +146,11 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, max_toxic: int = MA
     if not n_toxic or not n_clean:
         return Lexicon(base=base)
     least = max(LEAST_DOCS, n_toxic // 500)
-    often = _counted(sample.where("y = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(MAX_CANDIDATES)
+    often = _counted(sample.where("y = 1"), None).where(F.col("n") >= least)
     toxic = {r["entry"]: r["n"] for r in often.collect()}
     clean = {r["entry"]: r["n"] for r in _counted(sample.where("y = 0"), frozenset(toxic)).collect()}
     odds = lambda e: math.log((toxic[e] + 0.5) / (n_toxic + 1)) - math.log((clean.get(e, 0) + 0.5) / (n_clean + 1))
-    pure = sorted((e for e in toxic if toxic[e] / n_toxic >= LEAST_RATIO * clean.get(e, 0) / n_clean and odds(e) > 1), key=lambda e: (-toxic[e] * odds(e), e))[:MAX_ENTRIES * 5]
+    pure = sorted((e for e in toxic if toxic[e] / n_toxic >= LEAST_RATIO * clean.get(e, 0) / n_clean and odds(e) > 1), key=lambda e: (-toxic[e] * odds(e), e))
     number = {e: k for k, e in enumerate(pure)}
 
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, max_toxic: int = MA
     chosen = [pure[k] for k in _cover(rows, pure)]
     common = ENTRY_SHARE * max((toxic[e] for e in chosen), default=0)
     for e in sorted(pure, key=lambda e: (-toxic[e], -len(e), e)):  # words that stand beside others in every toxic document
-        if toxic[e] >= max(common, 2 * LEAST_DOCS) and len(chosen) < MAX_ENTRIES and not any(e.startswith(c.rstrip()) or c.startswith(e.rstrip()) for c in chosen):
+        if toxic[e] >= max(common, 2 * LEAST_DOCS) and not any(e.startswith(c.rstrip()) or c.startswith(e.rstrip()) for c in chosen):
             chosen.append(e)
     weights = {e: odds(e) for e in chosen}
     exceptions = _exceptions(sample, weights)
@@ -175,7 +184,7 @@ def _cover(rows: Iterable[tuple[int, list[int]]], names: list[str]) -> list[int]
         for k in has:
             where.setdefault(k, [set(), set()])[y].add(i)
     chosen: list[int] = []
-    while where and len(chosen) < MAX_ENTRIES:
+    while where:
         best = max(where, key=lambda k: (len(where[k][1]) - 3 * len(where[k][0]), not names[k].endswith(" "), len(names[k]), names[k]))
         clean, toxic = where.pop(best)
         if len(toxic) - 3 * len(clean) < 2:
@@ -206,7 +215,7 @@ def _exceptions(sample: DataFrame, weights: dict[str, float]) -> tuple[str, ...]
     if not weights:
         return ()
     both = sample.select("text", "y").mapInPandas(phrases, "phrase string, y int, n long").groupBy("phrase").agg(*[F.sum(F.when(F.col("y") == v, F.col("n")).otherwise(0)).alias(c) for v, c in ((0, "clean"), (1, "toxic"))])
-    return tuple(r["phrase"] for r in both.where("clean >= 3 AND clean >= toxic").orderBy(F.desc("clean"), "phrase").limit(MAX_ENTRIES).collect())
+    return tuple(r["phrase"] for r in both.where("clean >= 3 AND clean >= toxic").orderBy(F.desc("clean"), "phrase").collect())
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
@@ -221,22 +230,46 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
-def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    """`docs` with `toxic_total` (summed weight), `toxic_words` (words seen) and `toxic_score` (0 to 1)."""
+def _totals(batches: Iterator[pa.Array], lexicon: Lexicon) -> Iterator[pa.Array]:
+    a = lexicon.automaton()
+    for batch in batches:
+        totals, words = [], []
+        for _, texts in portions(batch):
+            for f in map(folded, texts):
+                totals.append(float(sum(matched(f, a).values())))
+                words.append(f.count(" ") - 1)
+        yield pa.StructArray.from_arrays([pa.array(totals, pa.float64()), pa.array(words, pa.int32())], ["total", "words"])
+
+
+RESULTS = ["toxic_total", "toxic_words", "toxic_score"]
+
+
+def _scored(names: Aside, lexicon: Lexicon, text: str) -> DataFrame:
     if not lexicon.weights:
-        return docs.withColumns({"toxic_total": F.lit(0.0), "toxic_words": F.lit(0), "toxic_score": F.lit(float(lexicon.base))})
+        return names.rows.withColumns(dict(zip(RESULTS, (F.lit(0.0), F.lit(0), F.lit(float(lexicon.base))), strict=True)))
+    small_batches(names.rows.sparkSession)
 
-    @F.pandas_udf("total double, words int")
-    def totals(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        a = lexicon.automaton()
-        for texts in batches:
-            rows = [(sum(matched(f, a).values()), f.count(" ") - 1) for f in map(folded, texts)]
-            yield pd.DataFrame(rows, columns=["total", "words"])
+    @F.arrow_udf("struct<total:double,words:int>")
+    def totals(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return trimmed(_totals(batches, lexicon))
 
-    out = docs.withColumn("_toxic", totals(F.coalesce(F.col(text), F.lit(""))))
-    c, total, words = lexicon.coefficients, F.col("_toxic.total"), F.col("_toxic.words")
+    out = names.rows.withColumn("toxic", totals(F.coalesce(F.col(names(text)), F.lit(""))))
+    out = out.withColumns({"toxic_total": F.col("toxic.total"), "toxic_words": F.col("toxic.words")})
+    c, total, words = lexicon.coefficients, F.col("toxic_total"), F.col("toxic_words")
     z = F.lit(c[0]) + F.lit(c[1]) * F.log1p(total) + F.lit(c[2]) * F.log1p(100 * total / (words + 20))
-    return out.withColumns({"toxic_total": total, "toxic_words": words, "toxic_score": 1 / (1 + F.exp(-z))}).drop("_toxic")
+    return out.withColumn("toxic_score", 1 / (1 + F.exp(-z)))
+
+
+def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
+    """`docs` with `toxic_total` (summed weight), `toxic_words` (words seen) and `toxic_score` (0 to 1)."""
+    names = Aside(docs)
+    return names.back(_scored(names, lexicon, text), RESULTS)
+
+
+def accepted(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
+    """The rows of `docs` that the lexicon doesn't reject."""
+    names = Aside(docs)
+    return names.back(_scored(names, lexicon, text).where(rejected(F.col("toxic_score")) == 0))
 
 
 def held_out(doc_id: Column) -> Column:
