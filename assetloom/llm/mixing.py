@@ -1,107 +1,81 @@
 """Operator 10: mix sources to target weights by systematic sampling (native DataFrame operations only).
 
 Every document of a source expects `target / source_size` copies. Documents are laid in a fixed order within
-their source, the expected copies are prefix-summed, one offset per source is added, and a document is emitted
-once per integer boundary its interval crosses.
+their source (by size, so that neighbours are alike, then by a hash of the id), the expected copies are prefix-summed,
+one offset per source is added, and a document is emitted once per integer boundary its interval crosses.
 
-No source is ever ordered in one task. The order is (size class, salt, size, hash), and a prefix sum is made of
-three parts: classes before this one (a table of at most a few hundred rows a source), salts before this one
-within the class, and the rank within (source, class, salt), whose rows are few whatever the skew, as the
-number of salts grows with the table. Neighbours in the order have like sizes, so the words taken stay within
-a few documents of the target.
+No source is ever ordered in one task, nor are all sources: ranks and sums come from ranges of the order
+(`common.running`), whatever the number of rows of a source or of sources. What is drawn depends on the documents
+alone, not on the size of the cluster or the number of partitions.
 
 Cases: a null text has size 0; a null source is a source of its own, ordered last; a source without words has
 target 0 and is not taken; repeated rows are separate documents; an empty table gives an empty result; extra
-columns pass through, and own columns use a `_mix_` prefix inside.
+columns pass through, those named like a result as `<name>_input`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, n_words
+from .common import Aside, checkpointed, n_words, running, spread, stored
 
 SHARE, CAP, WEIGHTS, SEED = 1.5, 2.0, (5, 2, 1), "mix-1"
-#: A salt for so many rows of the table, and at least so many salts.
-ROWS_A_SALT, LEAST_SALTS = 200_000, 64
 
 
-def _hash32(text: F.Column) -> F.Column:
+def _hash32(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def _size_class(size: F.Column) -> F.Column:
-    """Digits and the two leading ones: monotone in the size, at most 90 classes a power of ten."""
-    s = size.cast("string")
-    return (F.length(s) * 100 + F.substring(F.rpad(s, 2, "0"), 1, 2).cast("int")).cast("int")
-
-
-def source_targets(sized: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """One row per source: its size and target.
+def source_targets(sizes: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """(none, key, source_size) -> the same with `target`; one row per source.
 
     Targets split `share` of all sizes by weight and stop at `cap` times the source's size. The excess is shared
     again by weight until none is above: sources sorted by cap over weight saturate in that order, so the level
     is the first one that the next source's own ratio is not below.
     """
-    per = sized.groupBy("_mix_none", "_mix_key").agg(F.sum("_mix_size").alias("_mix_source_size"))
-    ordered = W.orderBy("_mix_none", "_mix_key")
-    case = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(ordered) - 1) % len(weights) + 1).cast("int"))
-    per = per.withColumn("_mix_w", case).withColumn("_mix_cap", F.col("_mix_source_size") * F.lit(float(cap)))
-    per = per.withColumn("_mix_ratio", F.col("_mix_cap") / F.col("_mix_w"))
-    rising = W.orderBy("_mix_ratio", "_mix_none", "_mix_key").rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy(F.lit(1))
-    per = (
-        per.withColumn("_mix_caps_before", F.coalesce(F.sum("_mix_cap").over(rising), F.lit(0.0)))
-        .withColumn("_mix_w_before", F.coalesce(F.sum("_mix_w").over(rising), F.lit(0.0)))
-        .withColumn("_mix_all", F.sum("_mix_source_size").over(everything) * F.lit(float(share)))
-        .withColumn("_mix_w_all", F.sum("_mix_w").over(everything))
-        .withColumn("_mix_level", (F.col("_mix_all") - F.col("_mix_caps_before")) / (F.col("_mix_w_all") - F.col("_mix_w_before")))
-    )
-    level = F.max(F.when(F.col("_mix_level") <= F.col("_mix_ratio"), F.col("_mix_level"))).over(everything)
-    return per.select(
-        "_mix_none", "_mix_key", "_mix_source_size",
-        F.least(F.col("_mix_cap"), F.coalesce(F.col("_mix_w") * level, F.col("_mix_cap"))).alias("_mix_target"),
-    )
-
-
-def mix(docs: DataFrame, size: F.Column, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """`docs` with `mix_size`, `mix_source_size`, `mix_target` and `mix_copies` (how often the mix takes the row).
-
-    What is ordered on depends on the row alone, so a task that runs again gives the same copies.
-    """
-    n = docs.count()
-    salts = max(LEAST_SALTS, -(-n // ROWS_A_SALT))
-    rows = docs.withColumns({
-        "_mix_none": F.col(source).isNull().cast("int"),
-        "_mix_key": F.coalesce(F.col(source), F.lit("")),
-        "_mix_size": size,
-        "_mix_hash": _hash32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))),
-    }).withColumns({"_mix_class": _size_class(F.col("_mix_size")), "_mix_salt": (F.col("_mix_hash") % salts).cast("int")})
-    cell, wide = ["_mix_none", "_mix_key", "_mix_class", "_mix_salt"], ["_mix_none", "_mix_key", "_mix_class"]
-    cells = checkpointed(rows.groupBy(cell).agg(F.count("*").alias("_mix_n"), F.sum("_mix_size").alias("_mix_size")))
-    before = lambda w: F.coalesce(F.sum("_mix_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    classes = cells.groupBy(wide).agg(F.sum("_mix_n").alias("_mix_n"))
-    classes = classes.withColumn("_mix_classes_before", before(W.partitionBy("_mix_none", "_mix_key").orderBy("_mix_class"))).drop("_mix_n")
-    classes = classes.join(source_targets(cells, share, cap, weights), ["_mix_none", "_mix_key"])
-    cells = cells.withColumn("_mix_salts_before", before(W.partitionBy(wide).orderBy("_mix_salt"))).drop("_mix_n", "_mix_size").join(classes, wide)
-    within = W.partitionBy(cell).orderBy("_mix_size", "_mix_hash", F.col(doc_id), F.xxhash64(*docs.columns))
-    e = F.when(F.col("_mix_source_size") > 0, F.least(F.lit(float(cap)), F.col("_mix_target") / F.col("_mix_source_size"))).otherwise(F.lit(0.0))
-    ranked = rows.withColumn("_mix_rank", F.row_number().over(within)).join(cells, cell)
-    u = _hash32(F.concat(F.lit(f"{seed}:"), F.col("_mix_none").cast("string"), F.lit(":"), F.col("_mix_key"))) / F.lit(4294967296.0)
-    rank = F.col("_mix_classes_before") + F.col("_mix_salts_before") + F.col("_mix_rank")
-    ranked = ranked.withColumns({"_mix_e": e, "_mix_u": u, "_mix_rank": rank})
-    return ranked.select(
-        *docs.columns,
-        F.col("_mix_size").alias("mix_size"),
-        F.col("_mix_source_size").cast("long").alias("mix_source_size"),
-        F.col("_mix_target").alias("mix_target"),
-        (F.floor(F.col("_mix_e") * F.col("_mix_rank") + F.col("_mix_u")) - F.floor(F.col("_mix_e") * (F.col("_mix_rank") - 1) + F.col("_mix_u"))).cast("long").alias("mix_copies"),
-    )
-
-
-def emitted(docs: DataFrame, **options: object) -> DataFrame:
+    per = running(sizes, [], ["none", "key"], F.lit(1).cast("long"), "place")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    per = per.withColumns({"w": weight, "cap": F.col("source_size") * F.lit(float(cap))}).withColumn("ratio", F.col("cap") / F.col("w"))
+    per = running(per, [], ["ratio", "none", "key"], F.col("cap"), "caps_before")
+    per = checkpointed(running(per, [], ["ratio", "none", "key"], F.col("w"), "w_before"))
+    totals = per.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    all_, w_all = float(totals["size"] or 0) * share, float(totals["w"] or 0)
+    level = (F.lit(all_) - F.col("caps_before")) / (F.lit(w_all) - F.col("w_before"))
+    found = per.agg(F.max(F.when(level <= F.col("ratio"), level)).alias("level")).first()["level"]
+    target = F.col("cap") if found is None else F.least(F.col("cap"), F.col("w") * F.lit(float(found)))
+    return per.select("none", "key", "source_size", target.alias("target"))
+
+
+def _mixed(docs: DataFrame, size: Column, share: float, cap: float, weights: tuple[int, ...], seed: str, source: str, doc_id: str) -> tuple[Aside, DataFrame]:
+    """`docs` under names aside, with size, source_size, target and copies."""
+    names = Aside(docs)
+    rows = docs.select(*["`" + c.replace("`", "``") + "`" for c in docs.columns], size.cast("long")).toDF(*names.rows.columns, "size")
+    source_at, id_at = F.col(names(source)), F.col(names(doc_id))
+    rows = rows.withColumns({
+        "none": source_at.isNull().cast("int"), "key": F.coalesce(source_at.cast("string"), F.lit("")), "doc": id_at,
+        "h": _hash32(F.coalesce(id_at.cast("string"), F.lit(""))), "row": F.monotonically_increasing_id(),
+    })
+    rows = stored(rows, "mix")  # the row's number holds from here on
+    targets = source_targets(rows.groupBy("none", "key").agg(F.sum("size").alias("source_size")), share, cap, weights)
+    ranked = running(rows.select("row", "none", "key", "size", "h", "doc"), ["none", "key"], ["size", "h", "doc", "row"], F.lit(1).cast("long"), "before")
+    e = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
+    u = _hash32(F.concat(F.lit(f"{seed}:"), F.col("none").cast("string"), F.lit(":"), F.col("key"))) / F.lit(4294967296.0)
+    copies = F.floor(F.col("e") * (F.col("before") + 1) + F.col("u")) - F.floor(F.col("e") * F.col("before") + F.col("u"))
+    drawn = ranked.join(spread(targets), ["none", "key"]).withColumns({"e": e, "u": u})
+    drawn = drawn.select("row", F.col("source_size").cast("long").alias("source_size"), "target", copies.cast("long").alias("copies"))
+    return names, rows.select(*names.rows.columns, "size", "row").join(drawn, "row")
+
+
+def mix(docs: DataFrame, size: Column, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """`docs` with `mix_size`, `mix_source_size`, `mix_target` and `mix_copies` (how often the mix takes the row)."""
+    names, rows = _mixed(docs, size, share, cap, weights, seed, source, doc_id)
+    results = {f"mix_{c}": F.col(c) for c in ("size", "source_size", "target", "copies")}
+    return names.back(rows.withColumns(results), list(results))
+
+
+def emitted(docs: DataFrame, text: str = "text", share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """The mix itself: each row as often as it is taken, with the columns of `docs`."""
-    taken = mix(docs, n_words(F.col("text")), **options).where("mix_copies > 0")
-    return taken.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    names, rows = _mixed(docs, n_words(F.col(text)), share, cap, weights, seed, source, doc_id)
+    taken = rows.where("copies > 0")
+    return names.back(taken.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))))
