@@ -1,7 +1,9 @@
 """From raw documents to token ids: toxic documents go, repeated lines go, one of each group of near-copies stays,
 sources are mixed to their weights, and the mix is encoded.
 
-Each stage works on all that its predecessor kept. Stages but the last return the columns of documents.
+Each stage works on all that its predecessor kept, and is judged on that: lines that repeat go before near copies are
+looked for, so of a near copy only the lines that differ may be left by then, and it stays with these. Stages but the
+last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -10,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetloom.llm import jaccard_join, line_dedup, mixing, pieces, toxicity
-from assetloom.llm.common import stored, table
+from assetloom.llm.common import discard, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned lexicon doesn't reject."""
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
-    return toxicity.scored(docs, lexicon).where(toxicity.rejected(F.col("toxic_score")) == 0).select(*docs.columns)
+    return toxicity.accepted(docs, lexicon)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +50,15 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: SQL can't express the merges of stages 2 and 5; tests hold operators against brute force, but not yet the five stages.
+#: SQL can't express the merges of stages 2 and 5; a test holds the five stages against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        last, path = path, written(stage(spark, docs, sf_dir), name)
+        docs = spark.read.parquet(path)
+        if last is not None:  # nothing reads it any more
+            discard(spark, last)
     return STAGES[-1][1](spark, docs, sf_dir)
