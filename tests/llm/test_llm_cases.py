@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assetloom.llm import cotraining, cover_tree, jaccard_join, line_dedup, minhash, mixing, pieces, pii, quality_rules, quotes, toxicity
+from assetloom.llm.common import running
 from assetloom.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, item long, spans string, band long, key string, n_words string"
@@ -33,6 +34,26 @@ def test_quality_rules(docs, nothing):
     assert quality_rules.ablations(quality_rules.ledger(quality_rules.measured(nothing))).count() == 0
 
 
+def test_stored_ledgers_under_new_policies(spark, docs, nothing):
+    entries = quality_rules.ledger(quality_rules.measured(docs.drop("n_words")))
+    policies = quality_rules.policy_table(spark, 1).unionByName(quality_rules.policy_table(spark, 2, {"v1": ("symbols",)}))
+    out = quality_rules.verdicts(entries, policies).where("doc_id = 3 AND policy = 'v1'").collect()
+    assert {r["policy_version"]: r["kept"] for r in out} == {1: False, 2: True}
+    older = entries.withColumn("rule_set", F.lit(0))
+    assert quality_rules.verdicts(older, policies).where("kept IS NOT NULL").count() == 0
+    assert quality_rules.verdicts(nothing.drop("n_words").withColumns({"fail_bits": F.lit(0), "rule_set": F.lit(1)}), policies.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="unknown rule"):
+        quality_rules.verdicts(entries, quality_rules.policy_table(spark, 1, {"x": ("none such",)}))
+
+
+def test_running_sums(spark):
+    rows = [(k % 3 if k % 7 else None, k // 2, k) for k in range(200)]
+    df = spark.createDataFrame(rows, "g int, o int, v long")
+    got = {(r["g"], r["v"]): r["s"] for r in running(df, ["g"], ["o", "v"], F.col("v"), "s").collect()}
+    assert got == {(g, v): sum(w for h, p, w in rows if h == g and (p, w) < (o, v)) for g, o, v in rows}
+    assert running(df.limit(0), [], ["v"], F.col("v"), "s").count() == 0
+
+
 def test_mixing(docs, nothing):
     out = mixing.mix(docs, F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != ""))).collect()
     assert len(out) == 11 and all(r["mix_copies"] <= 2 for r in out)
@@ -100,6 +121,16 @@ def test_line_dedup_of_repeated_rows(spark):
     assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == [(1, rows[0][1]), (2, "its own"), (3, ""), (3, ""), (4, " \n"), (4, " \n")]
 
 
+def test_lines_of_rows_with_one_id_are_kept_apart(spark):
+    rows = [(0, "A"), (1, "a unique first line\nA"), (1, "keep me, I am a unique line\nkeep me too, I am the second one"), (None, "w\nA"), (None, "x\ny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in line_dedup.deduplicated(df).collect())
+    assert kept == [(-1, "w\nA"), (-1, "x\ny"), (1, "a unique first line"), (1, rows[2][1])]
+    texts = spark.createDataFrame([("b", "same line here"), ("a", "Same line here")], "doc_id string, text string")
+    out = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in line_dedup.report(texts).collect()}
+    assert out == {"a": [], "b": [(0, "a", 0)]}
+
+
 def test_few_distinct_shingles():
     values, sizes = line_dedup.shingle_hashes(["x" * 500, "ab" * 300, "".join(chr(200 + k) for k in range(107)), "".join(chr(200 + k) for k in range(106)), "short"])
     assert line_dedup.fewer_distinct(values, sizes, 100).tolist() == [True, True, False, True, True]
@@ -161,8 +192,32 @@ def test_cover_tree_blocks_equal_brute_force(spark):
     df = spark.createDataFrame([(k, 0, v.tolist()) for k, v in enumerate(x)], "vec_id long, label int, embedding array<float>")
     unit = cover_tree.unit(x.astype(np.float64))
     wanted = ((unit @ unit.T) >= 0.98).sum(axis=1) - 1
-    got = {r["vec_id"]: r["n_links"] for r in cover_tree.near_duplicates(df, sample=40, block=32).collect()}
-    assert [got[k] for k in range(300)] == wanted.tolist() and wanted.max() > 50
+    for options in ({"sample": 40, "block": 16, "wide": 32}, {"sample": 300, "cell": 10, "block": 16, "wide": 32}):
+        got = {r["vec_id"]: r["n_links"] for r in cover_tree.near_duplicates(df, **options).collect()}
+        assert [got[k] for k in range(300)] == wanted.tolist() and wanted.max() > 50
+
+
+def test_cover_tree_of_clusters_prunes(spark):
+    """Upper levels tell clusters apart: cells of far clusters never meet, and no link is lost."""
+    rng = np.random.default_rng(7)
+    centres = cover_tree.unit(rng.normal(size=(12, 32)))
+    x = np.concatenate([c + 0.02 * rng.normal(size=(40, 32)) for c in centres])
+    df = spark.createDataFrame([(k, "a", v.tolist()) for k, v in enumerate(x)], "vec_id long, label string, embedding array<double>")
+    unit = cover_tree.unit(x)
+    wanted = ((unit @ unit.T) >= 0.98).sum(axis=1) - 1
+    tree = cover_tree.CoverTree(unit)
+    assert [len(n) for n in tree.nets][-1] == 1 and 12 in [len(n) for n in tree.nets]
+    p, q = cover_tree.near_pairs(tree, tree, 0.2)
+    assert len(p) < 0.2 * len(x) ** 2
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cover_tree.near_duplicates(df, sample=200, cell=40).collect()}
+    assert [got[k][0] for k in range(len(x))] == wanted.tolist()
+
+
+def test_cover_tree_of_any_size_of_numbers(spark):
+    rows = [(1, 0, [1e200, 1e200]), (2, 0, [1e-200, 1e-200]), (3, 0, [1e300, -1e300]), (4, 0, [5e-324, 0.0]), (5, 0, [1.0, 1.0]), (5, 0, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in cover_tree.near_duplicates(df).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 2, 1)]
 
 
 def test_pii(docs, nothing):
@@ -173,6 +228,110 @@ def test_pii(docs, nothing):
     assert pii.tagged(nothing.drop("spans"), field).count() == 0
 
 
+def test_best_segments_equal_brute_force():
+    """The dynamic program against all choices of segments and kinds of a short zone."""
+    dice = random.Random(11)
+    for _ in range(60):
+        n = dice.randint(1, 5)
+        spans = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + 3) + 1) if dice.random() < 0.6]
+        weights = {f"{i}-{j}": [dice.uniform(-3, 3) for _ in pii.KINDS] for i, j in spans}
+        weights |= {f"after:{s}": [dice.uniform(-2, 2) for _ in pii.KINDS] for s in pii._STATES}
+        field = pii.Field(weights)
+
+        def total(chosen, weights=weights):
+            score, state, at = 0.0, 0, 0
+            for i, j, k in chosen:
+                for _ in range(i - at):
+                    state = pii._AFTER[state]
+                score += weights[f"{i}-{j}"][k] - pii.LEAST_SCORE + weights[f"after:{pii._STATES[state]}"][k]
+                state, at = pii._TO[k], j
+            return score
+
+        def choices(at, spans=spans):
+            yield []
+            for i, j in spans:
+                if i >= at:
+                    for k in range(len(pii.KINDS)):
+                        for rest in choices(j):
+                            yield [(i, j, k), *rest]
+
+        got = field.best(n, [(i, j, [f"{i}-{j}"]) for i, j in spans])
+        assert abs(total(got) - max(total(c) for c in choices(0))) < 1e-9
+
+
+def test_learning_raises_the_likelihood_of_the_gold_segments():
+    candidates, gold = [(0, 1, ["a"]), (2, 3, ["b"]), (1, 3, ["c"])], [(0, 1, 2), (2, 3, 4)]
+    field = pii.trained([(4, candidates, gold)] * 10, 6, 0.5, random.Random(1))
+    assert field.best(4, candidates) == gold
+    assert field.transitions()[pii._STATES.index("card:1"), 4] > 0  # a secret right after a card
+
+
+def test_gradients_equal_differences_of_the_likelihood():
+    """Forward-backward against sums over all choices of segments."""
+    dice, n = random.Random(4), 4
+    candidates = [(i, j, [f"{i}-{j}"]) for i in range(n) for j in range(i + 1, n + 1) if dice.random() < 0.7]
+    index = {}
+    gold = [(*candidates[1][:2], 3)]
+    zone = pii._Zone(n, candidates, gold, index)
+    scores = np.array([[dice.uniform(-1, 1) for _ in pii.KINDS] for _ in candidates])
+    into = np.array([[dice.uniform(-1, 1) for _ in pii.KINDS] for _ in pii._STATES])
+
+    def choices(at):
+        yield []
+        for x, (i, j, _) in enumerate(candidates):
+            if i >= at:
+                for k in range(len(pii.KINDS)):
+                    for rest in choices(j):
+                        yield [(x, k), *rest]
+
+    def parts(chosen):
+        state, at, out = 0, 0, []
+        for x, k in chosen:
+            i, j, _ = candidates[x]
+            for _ in range(i - at):
+                state = pii._AFTER[state]
+            out.append((x, k, state))
+            state, at = pii._TO[k], j
+        return out
+
+    every = [parts(c) for c in choices(0)]
+    weight = np.array([math.exp(sum(scores[x, k] + into[s, k] for x, k, s in c)) for c in every])
+    seen, states = np.zeros_like(scores), np.zeros_like(into)
+    for c, w in zip(every, weight / weight.sum(), strict=True):
+        for x, k, s in c:
+            seen[x, k] += w
+            states[s, k] += w
+    g, t = zone.gradients(scores, into)
+    assert np.allclose(g, zone.gold - seen) and np.allclose(t, zone.before - states)
+
+
+def test_field_finds_forms_it_has_not_seen():
+    """Precision and recall on planted spans, with one form of each kind held out of learning."""
+    dice = random.Random(3)
+    held = {"email": " [at] ", "ip": "(.)", "card": "/", "phone": "3.3.4", "secret": "upper"}
+    words = lambda n: " ".join(dice.choice(["of", "the", "lorem", "ipsum", "in", "und"]) for _ in range(n))
+
+    def card():
+        while not pii.luhn(d := "".join(dice.choice("0123456789") for _ in range(16))):
+            pass
+        return d
+
+    spans = [lambda: f"{dice.choice(['an', 'bo'])}.{dice.randint(1, 99)}@mail{dice.randint(1, 9)}.example.com", lambda: ".".join(str(dice.randint(0, 255)) for _ in range(4)), card, lambda: f"+1 ({dice.randint(200, 999)}) 555-{dice.randint(1000, 9999)}", lambda: f'token = "{"".join(dice.choice("0123456789abcdef") for _ in range(40))}"']
+    text = lambda: f"{words(6)} {dice.choice(spans)()} {words(5)} {dice.choice(pii.DECOYS)(dice)} {words(4)}"
+    field = pii.learn_from([text() for _ in range(150)], forms={k: {n: f for n, f in v.items() if n != held[k]} for k, v in pii.FORMS.items()})
+    hit = planted = wrong = 0
+    for _ in range(150):
+        body, gold = (x := text()) and pii.rewritten(x, pii.annotated(x), dice, {k: {held[k]: pii.FORMS[k][held[k]]} for k in held})
+        base = pii.base_spans(body)
+        found = {*pii.extra_spans(body, field, base), *base}
+        planted += len(gold)
+        hit += sum(g in found for g in gold)
+        wrong += len(found - set(gold) - set(base))
+    assert planted > 100 and hit >= 0.8 * planted and wrong <= 0.1 * planted, (hit, planted, wrong)
+    clean = [f"{words(8)} {dice.choice(pii.DECOYS)(dice)} {words(8)}" for _ in range(150)]
+    assert sum(bool(pii.extra_spans(t, field, pii.base_spans(t))) for t in clean) <= 5
+
+
 def test_field_finds_unseen_secrets():
     dice = random.Random(2)
     code = lambda n: "".join(dice.choice("0123456789abcdef") for _ in range(n))
@@ -243,3 +402,13 @@ def test_quotes(spark):
     assert sorted(range(6), key=lambda k: got[1, k]["position"]) == [0, 1, 3, 4, 2, 5]
     assert got[1, 1]["body"] == "Fine, thanks.\n\nAnd you?" and got[1, 4]["n_linked"] == 3 and got[3, None]["body"] == ""
     assert quotes.linked(df).count() == 10 and quotes.linked(df.limit(0)).count() == 0
+
+
+def test_conversations_in_blocks(spark):
+    texts = ["start", *[f"> start\nreply {k}" for k in range(40)]]
+    df = spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)] + [(None, 3, "user", "alone")], "conv_id long, turn long, role string, text string")
+    rows = quotes.linked(df)
+    assert sorted(r["position"] for r in rows.where("conv_id = 1 AND thread = 0").collect()) == list(range(41))
+    out = quotes.conversations(rows, block=16).orderBy("conv_id", "block").collect()
+    assert [len(r["messages"]) for r in out] == [16, 16, 9]
+    assert [m["body"] for r in out for m in r["messages"]] == ["start", *[f"reply {k}" for k in range(40)]]

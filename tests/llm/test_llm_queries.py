@@ -1,6 +1,8 @@
 """Each query over whole small tables, against SQL or brute force."""
 
 import hashlib
+import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -126,7 +128,89 @@ def test_mix_meets_targets(spark):
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.count() > 0 and {"doc_id", "ids", "n_tokens"} <= set(out.columns)
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Five stages over a small corpus with copies, shared lines, toxic rows, nulls and several sources, row by row."""
+    import public_tokenizers
+    import sentencepiece
+    from pyspark.sql import functions as F
+
+    from assetloom.llm import toxicity
+
+    dice = random.Random(8)
+    line = lambda n: " ".join("".join(dice.choice("abcdefghijklmno") for _ in range(dice.randint(2, 8))) for _ in range(n))
+    shared, long = [line(9) for _ in range(4)], line(60)
+    texts = [None, "", " \n ", *["\n".join([line(dice.randint(4, 14)) for _ in range(3)]) for _ in range(24)]]
+    texts += [f"{line(6)}\n{dice.choice(shared)}\n{line(7)}" for _ in range(12)] + [f"{line(5)} you idiot {line(4)}" for _ in range(12)]
+    words = long.split()
+    for k in range(6):  # near copies of one line: some above, some below the threshold of either stage
+        texts.append(" ".join([*words[: 60 - 2 * k], *line(k).split()]))
+    texts += [texts[5], texts[30].upper(), f"{texts[5]} {line(1)}"]
+    rows = [(k, t, "en", None if k % 11 == 0 else f"s{k % 3}", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    marks = [(k, 1, int("idiot" in (t or ""))) for k, t in enumerate(texts)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    lexicon = toxicity.learn(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet")), ~toxicity.held_out(F.col("doc_id")))
+    automaton, now = lexicon.automaton(), []
+    for k, t, _, source, _ in rows:
+        f = toxicity.folded(t or "")
+        total, n = sum(toxicity.matched(f, automaton).values()), f.count(" ") - 1
+        z = lexicon.coefficients[0] + lexicon.coefficients[1] * math.log1p(total) + lexicon.coefficients[2] * math.log1p(100 * total / (n + 20))
+        if z < 0:
+            now.append((k, t, source))
+    assert 0 < len(now) < len(rows)
+
+    first = {}
+    for k, t, _ in now:
+        for i, raw in enumerate((t or "").split("\n")):
+            if norm := raw.strip(" \t\n\v\f\r").lower():
+                first.setdefault(norm, (k, i))
+    sets = {first[n]: {n[i : i + 8] for i in range(max(1, len(n) - 7))} for n in first}
+    stays = {n: root for n in first for root in [classes(sets, 0.8)[first[n]][1]]}
+    after = []
+    for k, t, source in now:
+        lines = (t or "").split("\n")
+        norms = [x.strip(" \t\n\v\f\r").lower() for x in lines]
+        left = [x for i, (x, n) in enumerate(zip(lines, norms, strict=True)) if not n or stays[n] == (k, i)]
+        if len(left) == len(lines):
+            after.append((k, t, source))
+        elif any(x.strip(" \t\n\v\f\r") for x in left):
+            after.append((k, "\n".join(left), source))
+    assert len(after) < len(now)
+
+    shingles = {}
+    for k, t, _ in after:
+        w = WORD.findall(t or "")
+        shingles[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    found = classes(shingles, 0.8)
+    unique = [x for x in after if found[x[0]][1] == x[0]]
+
+    size = {k: len(WORD.findall(t or "")) for k, t, _ in unique}
+    h = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:8], 16)
+    sources = sorted({s for _, _, s in unique}, key=lambda s: (s is None, s or ""))
+    per = {s: sum(size[k] for k, _, z in unique if z == s) for s in sources}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    target, open_, left = {}, set(sources), 1.5 * sum(per.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * level > 2 * per[s]}
+        if not full:
+            target |= {s: weight[s] * level for s in open_}
+            break
+        target |= {s: 2.0 * per[s] for s in full}
+        left -= sum(2.0 * per[s] for s in full)
+        open_ -= full
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    wanted = []
+    for s in sources:
+        e = min(2.0, target[s] / per[s]) if per[s] else 0.0
+        u = h(f"mix-1:{int(s is None)}:{s or ''}") / 4294967296
+        for r, (k, t, _) in enumerate(sorted((x for x in unique if x[2] == s), key=lambda x: (size[x[0]], h(str(x[0])), x[0]))):
+            wanted += [(k, tuple(sp.encode(t or "")))] * (math.floor(e * (r + 1) + u) - math.floor(e * r + u))
+    got = [(r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(wanted) and len(wanted) > 20
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, DATA)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns, name
