@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,11 +20,43 @@ def indexed(rows: DataFrame, partition: list[str], order: str) -> DataFrame:
     return rows.withColumn("index", F.row_number().over(W.partitionBy(*partition).orderBy(order)).cast("long"))
 
 
+def shared_folder(spark: SparkSession) -> None:
+    """The folder the cluster names in spark.checkpoint.dir; one of its own only where none is set on a single machine."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="assetloom-"))
+
+
+def running(rows: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """`rows` with the sum of `value` over those before them in their group.
+
+    Rows are dealt by ranges of (group, order), and each range starts from the sum of those before it, so that a group of
+    any size spreads over tasks.
+    """
+    shared_folder(rows.sparkSession)
+    part, before = f"{name}_part", f"{name}_before"
+    ranges = rows.withColumn(name, value).repartitionByRange(*group, *order).withColumn(part, F.spark_partition_id()).checkpoint()
+    sums = ranges.groupBy(*group, part).agg(F.sum(name).alias("total"))
+    earlier = W.partitionBy(*group) if group else W.partitionBy(F.lit(1))
+    sums = sums.withColumn(before, F.coalesce(F.sum("total").over(earlier.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    sums = sums.select(F.col(part).alias("p"), before, *[F.col(g).alias(f"g{k}") for k, g in enumerate(group)])
+    same = F.col(part) == F.col("p")
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"g{k}"))
+    out = ranges.withColumn(name, F.coalesce(F.sum(name).over(W.partitionBy(*group, part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return out.join(sums, same).withColumn(name, F.col(name) + F.col(before)).select(*rows.columns, name)
+
+
 def progress(rows: DataFrame, partition: str, order: str, size: str) -> DataFrame:
-    """WIN-05, WIN-06: what is done after each row, its share of all, and the highest share so far."""
-    w = W.partitionBy(partition).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = rows.withColumn("done", F.sum(size).over(w)).withColumn("_all", F.sum(size).over(W.partitionBy(partition)))
-    return out.withColumn("share", F.bround(F.col("done") / F.greatest(F.col("_all"), F.lit(1)), 6)).withColumn("shown", F.max("share").over(w)).drop("_all")
+    """WIN-05, WIN-06: what is done after each row, its share of all, and the share shown, which never falls as no size is below 0."""
+    total = rows.groupBy(F.col(partition).alias("of")).agg(F.sum(F.greatest(F.col(size), F.lit(0))).alias("all"))
+    out = running(rows, [partition], [F.col(order)], F.greatest(F.col(size), F.lit(0)), "done").withColumn("done", F.col("done") + F.greatest(F.col(size), F.lit(0)))
+    out = out.join(total.hint("rebalance"), F.col(partition).eqNullSafe(F.col("of")))
+    share = F.bround(F.col("done") / F.greatest(F.col("all"), F.lit(1)), 6)
+    return out.select(*rows.columns, "done", share.alias("share"), share.alias("shown"))
 
 
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -43,10 +77,12 @@ def upper_median(x: str) -> Column:
 
 
 def exact_upper_median(rows: DataFrame, key: str, x: str) -> DataFrame:
-    """AGG-12 for groups of any size: the row of the middle rank, no group in one array."""
-    w = W.partitionBy(key).orderBy(x)
-    ranked = rows.select(key, x, F.row_number().over(w).alias("_r"), F.count("*").over(W.partitionBy(key)).alias("_n"))
-    return ranked.where(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(key, F.col(x).alias("upper_median"))
+    """AGG-12 for groups of any size: equal values are counted first, and the middle is where their running sum passes half."""
+    values = rows.where(F.col(x).isNotNull()).groupBy(key, x).agg(F.count("*").alias("n"))
+    total = values.groupBy(F.col(key).alias("of")).agg(F.sum("n").alias("all"))
+    placed = running(values, [key], [F.col(x)], F.col("n"), "before").join(total.hint("rebalance"), F.col(key).eqNullSafe(F.col("of")))
+    middle = F.floor(F.col("all") / 2)
+    return placed.where((F.col("before") <= middle) & (middle < F.col("before") + F.col("n"))).select(key, F.col(x).alias("upper_median"))
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

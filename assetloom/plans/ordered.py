@@ -90,13 +90,9 @@ def library_sort_modes(spark, sf_dir):
 
 
 def ranked(rows, by, key, name):
-    """Places of a whole table: rows are range-partitioned in order, and each partition starts after those before it."""
-    from pyspark.sql import Window as W
-
-    spread = rows.repartitionByRange(*by).withColumn("_p", F.spark_partition_id()).persist()
-    counts = spread.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = F.row_number().over(W.partitionBy("_p").orderBy(*by))
-    return spread.withColumn("_r", within).join(F.broadcast(counts), "_p").select(key, (F.col("_r") + F.col("_before")).cast("long").alias(name))
+    """Places of a whole table, from ranges of the order."""
+    out = O.running(rows, [], by, F.lit(1).cast("long"), "place")
+    return out.select(key, (F.col("place") + 1).alias(name))
 
 
 @query("""SELECT n_nationkey AS source, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders, count(DISTINCT c_mktsegment) AS segments, coalesce(min(c_name), '') AS first_name

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetloom.functions import bits, numbers
 from assetloom.operators import identity
 from assetloom.operators import similarity as S
+from assetloom.operators.ordered import shared_folder
 
 from .registry import ORACLE, query, table
 
@@ -26,13 +25,7 @@ def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.hamming_pairs(_hashes(spark, sf_dir), "vec_id", "dhash", DISTANCE, DISTANCE + 2).withColumn("distance", F.col("distance").cast("long"))
-
-
-def _shared_folder(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="assetloom-"))
+    return S.hamming_pairs(_hashes(spark, sf_dir), "vec_id", "dhash", DISTANCE).withColumn("distance", F.col("distance").cast("long"))
 
 
 @query(f"WITH {_H} SELECT vec_id, dhash FROM h")
@@ -74,7 +67,7 @@ def ignored_pair_antijoin(spark, sf_dir):
 r AS (SELECT DISTINCT x AS n, x AS m FROM e UNION SELECT r.n, e.y FROM r JOIN e ON e.x = r.m) SELECT n AS vec_id, min(m) AS component FROM r GROUP BY n""")
 def duplicate_components(spark, sf_dir):
     """ITR-01, JON-09, JON-10: components of the similar pairs."""
-    _shared_folder(spark)
+    shared_folder(spark)
     p = _pairs(spark, sf_dir).checkpoint()
     nodes = p.select(F.col("a").alias("vec_id")).unionByName(p.select(F.col("b").alias("vec_id"))).distinct()
     return S.components(p, nodes, "vec_id")
@@ -83,7 +76,7 @@ def duplicate_components(spark, sf_dir):
 @query()
 def star_groups(spark, sf_dir):
     """ITR-02, ITR-03: groups around the member of the highest id, within the components."""
-    _shared_folder(spark)
+    shared_folder(spark)
     p = _pairs(spark, sf_dir).checkpoint()
     nodes = p.select(F.col("a").alias("vec_id")).unionByName(p.select(F.col("b").alias("vec_id"))).distinct()
     members = S.components(p, nodes, "vec_id").select("component", F.col("vec_id").alias("item"), F.col("vec_id").alias("quality"), F.col("vec_id").alias("order"))

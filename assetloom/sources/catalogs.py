@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,13 +80,43 @@ def source_variant(family: DataFrame) -> DataFrame:
 
 
 def committed(rows: DataFrame, root: str, expected: int) -> str:
-    """SNK-01: a new snapshot `rev=N+1`; refused where that revision is there already, as another writer was first."""
-    path = f"{root}/rev={expected + 1}"
-    rows.write.mode("errorifexists").json(path)
-    return path
+    """SNK-01: a new snapshot `rev=N+1`, written aside and then renamed; refused where that revision is there already.
+
+    Of two writers one renames first; the other one's rename finds the folder and is refused.
+    """
+    jvm, conf = rows.sparkSession.sparkContext._jvm, rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    final, staged = (jvm.org.apache.hadoop.fs.Path(root, name) for name in (f"rev={expected + 1}", f"_staged-{uuid.uuid4().hex}"))
+    files = final.getFileSystem(conf)
+    if files.exists(final):
+        raise FileExistsError(f"PATH_ALREADY_EXISTS: {final.toString()}")
+    rows.write.json(staged.toString())
+    if rows.sparkSession.read.schema(rows.schema).json(staged.toString()).count() != rows.count():
+        files.delete(staged, True)
+        raise ValueError("the snapshot can't be read as it was written")
+    if files.exists(final) or not files.rename(staged, final):
+        files.delete(staged, True)
+        raise FileExistsError(f"PATH_ALREADY_EXISTS: {final.toString()}")
+    return final.toString()
+
+
+def latest(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
+    """SRC-11: the newest snapshot that `committed` wrote and that can be read, with its revision."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    names = [f.getPath().getName() for f in folder.getFileSystem(conf).listStatus(folder)]
+    for revision in sorted((int(n[4:]) for n in names if n.startswith("rev=") and n[4:].isdigit()), reverse=True):
+        rows = read_manifest(spark, f"{root}/rev={revision}")
+        if not rows.where("_corrupt IS NULL AND schema_version = 1").isEmpty():
+            return rows, revision
+    raise ValueError(f"{root} holds no readable snapshot")
 
 
 def stored_by_hash(blobs: DataFrame, path: str) -> None:
-    """SNK-02: content-addressed rows (sha256, content), in folders by the first two digits; a hash is written once."""
+    """SNK-02: content-addressed rows (sha256, content), in folders by the first two digits; a hash that is there isn't written again."""
     once = blobs.dropDuplicates(["sha256"]).withColumn("prefix", F.substring("sha256", 1, 2))
+    try:
+        there = blobs.sparkSession.read.schema("sha256 string, prefix string").parquet(path).select("sha256")
+        once = once.join(there, "sha256", "left_anti")
+    except AnalysisException:  # nothing stored yet
+        pass
     once.write.mode("append").partitionBy("prefix").parquet(path)

@@ -11,6 +11,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -52,9 +53,32 @@ def target_of(owner: str, target: str) -> str:
     return target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join(posixpath.dirname(owner), target))
 
 
+#: Bytes that a member of XML may have unpacked.
+MOST_XML = 64 << 20
+
+
+def _xml(z: zipfile.ZipFile, name: str) -> ElementTree.Element:
+    """A member's root element; entities that a document declares itself are refused, as is what unpacks without bound."""
+    with z.open(name) as f:
+        data = f.read(MOST_XML + 1)
+    if len(data) > MOST_XML:
+        raise ValueError(f"{name} is larger than {MOST_XML} bytes")
+    if b"<!DOCTYPE" in data or b"<!ENTITY" in data:
+        raise ValueError(f"{name} declares entities")
+    return ElementTree.fromstring(data)
+
+
+def _hashed(z: zipfile.ZipFile, name: str) -> str:
+    h = hashlib.sha256()
+    with z.open(name) as f:
+        while part := f.read(1 << 20):
+            h.update(part)
+    return h.hexdigest()
+
+
 def _scan(read: Callable[[zipfile.ZipFile], Iterator[tuple]], schema: str) -> Callable:
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
     arrow = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +88,7 @@ def _scan(read: Callable[[zipfile.ZipFile], Iterator[tuple]], schema: str) -> Ca
                 try:
                     with zipfile.ZipFile(io.BytesIO(batch.column(1)[k].as_py())) as z:
                         rows = [(package, *r, None) for r in read(z)]
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, NotImplementedError) as e:
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, NotImplementedError, RuntimeError, EOFError, OSError, zlib.error) as e:
                     rows = [(package, *[None] * (len(names) - 2), f"{type(e).__name__}: {e}")]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
 
@@ -74,7 +98,7 @@ def _scan(read: Callable[[zipfile.ZipFile], Iterator[tuple]], schema: str) -> Ca
 def _members(z: zipfile.ZipFile) -> Iterator[tuple]:
     for i in z.infolist():
         if not i.is_dir():
-            yield i.filename, i.file_size, i.compress_size or i.file_size, i.CRC, hashlib.sha256(z.read(i)).hexdigest()
+            yield i.filename, i.file_size, i.compress_size or i.file_size, i.CRC, _hashed(z, i.filename)
 
 
 def members(rows: DataFrame) -> DataFrame:
@@ -86,7 +110,7 @@ def _relationships(z: zipfile.ZipFile) -> Iterator[tuple]:
     for name in z.namelist():
         if name.endswith(".rels"):
             owner = owner_of(name)
-            for r in ElementTree.fromstring(z.read(name)):
+            for r in _xml(z, name):
                 external = r.get("TargetMode") == "External"
                 target = r.get("Target", "")
                 yield owner, r.get("Id"), r.get("Type", "").rpartition("/")[2], target if external else target_of(owner, target), external
@@ -114,8 +138,8 @@ def _slide_order(z: zipfile.ZipFile) -> list[str]:
     names = [n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)]
     by_number = sorted(names, key=lambda n: int(re.findall(r"\d+", n)[-1]))
     try:
-        rels = {r.get("Id"): target_of("ppt/presentation.xml", r.get("Target", "")) for r in ElementTree.fromstring(z.read("ppt/_rels/presentation.xml.rels"))}
-        listed = [rels[s.get(f"{_R}id")] for s in ElementTree.fromstring(z.read("ppt/presentation.xml")).iter(f"{_P}sldId")]
+        rels = {r.get("Id"): target_of("ppt/presentation.xml", r.get("Target", "")) for r in _xml(z, "ppt/_rels/presentation.xml.rels")}
+        listed = [rels[s.get(f"{_R}id")] for s in _xml(z, "ppt/presentation.xml").iter(f"{_P}sldId")]
     except KeyError:
         return by_number
     return [n for n in listed if n in set(names)] or by_number
@@ -124,11 +148,11 @@ def _slide_order(z: zipfile.ZipFile) -> list[str]:
 def _occurrences(z: zipfile.ZipFile) -> Iterator[tuple]:
     width = height = 0
     if "ppt/presentation.xml" in z.namelist():
-        size = ElementTree.fromstring(z.read("ppt/presentation.xml")).find(f"{_P}sldSz")
+        size = _xml(z, "ppt/presentation.xml").find(f"{_P}sldSz")
         if size is not None:
             width, height = int(size.get("cx", 0)), int(size.get("cy", 0))
     for number, slide in enumerate(_slide_order(z), 1):
-        root = ElementTree.fromstring(z.read(slide))
+        root = _xml(z, slide)
         hidden = root.get("show") == "0"
         for pic in root.iter(f"{_P}pic"):
             named = next(pic.iter(f"{_P}cNvPr"), None)
@@ -175,3 +199,149 @@ def same_structure(before: DataFrame, after: DataFrame) -> DataFrame:
     """JON-18, SET-05: members that one side lacks or that differ in size or checksum; none where all is kept."""
     a, b = (x.select("member", F.col("size").alias(f"size_{k}"), F.col("crc").alias(f"crc_{k}")) for k, x in (("before", before), ("after", after)))
     return a.join(b, "member", "full_outer").where(~(F.col("size_before").eqNullSafe(F.col("size_after")) & F.col("crc_before").eqNullSafe(F.col("crc_after"))))
+
+
+PLACED = "package string, sheet string, drawing string, media string, cx long, cy long, area_ratio double, error string"
+# Namespaces of drawings, and EMU of a printable page (A4 without margins of an inch).
+_W = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
+_X = "{http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing}"
+_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+PAGE = (5_731_510, 8_863_330)
+
+
+def _targets(z: zipfile.ZipFile, owner: str) -> dict[str, str]:
+    """Internal targets of a part's relationships by id."""
+    folder, name = posixpath.split(owner)
+    rels = posixpath.join(folder, "_rels", f"{name}.rels")
+    if rels not in z.namelist():
+        return {}
+    return {r.get("Id"): target_of(owner, r.get("Target", "")) for r in _xml(z, rels) if r.get("TargetMode") != "External"}
+
+
+def _sheet_images(z: zipfile.ZipFile) -> Iterator[tuple]:
+    """Workbook -> sheet -> drawing -> anchor -> picture."""
+    book = _targets(z, "xl/workbook.xml")
+    for sheet in _xml(z, "xl/workbook.xml").iter(f"{_S}sheet"):
+        part = book.get(sheet.get(f"{_R}id"))
+        if part is None:
+            continue
+        drawings = _targets(z, part)
+        for d in _xml(z, part).iter(f"{_S}drawing"):
+            drawing = drawings.get(d.get(f"{_R}id"))
+            if drawing is None:
+                continue
+            media = _targets(z, drawing)
+            for anchor in _xml(z, drawing):
+                ext = next(iter([*anchor.iter(f"{_A}ext"), *anchor.iter(f"{_X}ext")]), None)
+                cx, cy = (int(ext.get(k, 0)) if ext is not None else 0 for k in ("cx", "cy"))
+                for blip in anchor.iter(f"{_A}blip"):
+                    if (m := media.get(blip.get(f"{_R}embed"))) is not None:
+                        yield sheet.get("name"), drawing, m, cx, cy, min(1.0, cx / PAGE[0]) * min(1.0, cy / PAGE[1])
+
+
+def sheet_images(rows: DataFrame) -> DataFrame:
+    """SRC-06: pictures of workbooks by sheet, with their share of a printable page."""
+    return rows.mapInArrow(_scan(_sheet_images, PLACED), PLACED)
+
+
+def _text_images(z: zipfile.ZipFile) -> Iterator[tuple]:
+    if any(n.lower().startswith("_xmlsignatures/") for n in z.namelist()):
+        raise ValueError("the package is signed")
+    for part in sorted(n for n in z.namelist() if re.fullmatch(r"word/(document|header\d*|footer\d*|footnotes|endnotes)\.xml", n)):
+        media = _targets(z, part)
+        for holder in (e for e in _xml(z, part).iter() if e.tag in (f"{_W}inline", f"{_W}anchor")):
+            ext = next(holder.iter(f"{_W}extent"), None)
+            for blip in holder.iter(f"{_A}blip"):
+                if (m := media.get(blip.get(f"{_R}embed"))) is not None:
+                    yield part, None, m, int(ext.get("cx", 0)) if ext is not None else 0, int(ext.get("cy", 0)) if ext is not None else 0, 1.0
+
+
+def text_images(rows: DataFrame) -> DataFrame:
+    """SRC-05: pictures of text documents; their share of a page counts as whole. Signed packages give an error."""
+    return rows.mapInArrow(_scan(_text_images, PLACED), PLACED)
+
+
+FIDELITY = "package string, audio long, linked long, grouped long, unsupported long, in_masters long, error string"
+
+
+def _fidelity(z: zipfile.ZipFile) -> Iterator[tuple]:
+    audio = linked = grouped = unsupported = masters = 0
+    for name in z.namelist():
+        if re.fullmatch(r"ppt/(slides|slideMasters|slideLayouts)/[^/]+\.xml", name):
+            root = _xml(z, name)
+            media = [e for e in root.iter() if e.tag in (f"{_A}audioFile", f"{_A}videoFile", f"{_A}wavAudioFile")]
+            audio += sum(e.tag != f"{_A}videoFile" for e in media)
+            grouped += sum(e.tag == f"{_A}videoFile" for g in root.iter(f"{_P}grpSp") for e in g.iter())
+            masters += 0 if name.startswith("ppt/slides/") else len(media)
+        elif name.endswith(".rels"):
+            for r in _xml(z, name):
+                kind = r.get("Type", "").rpartition("/")[2]
+                linked += kind in ("video", "audio", "media") and r.get("TargetMode") == "External"
+                unsupported += kind == "video" and r.get("TargetMode") != "External" and not re.search(r"\.(mp4|m4v|mov|wmv|avi|mkv|webm|mpg|mpeg)$", r.get("Target", "").lower())
+    yield audio, linked, grouped, unsupported, masters
+
+
+def fidelity(rows: DataFrame) -> DataFrame:
+    """SRC-18: what a rewrite of a deck may lose: sounds, linked, grouped and unsupported media, and media of masters."""
+    return rows.mapInArrow(_scan(_fidelity, FIDELITY), FIDELITY)
+
+
+PROBE = "streams array<struct<codec_type:string,codec_name:string,width:int,height:int,duration:string,nb_frames:string,avg_frame_rate:string,bit_rate:string>>, format struct<duration:string,bit_rate:string,size:string>"
+
+
+def probed(rows: DataFrame, json: str = "probe") -> DataFrame:
+    """SRC-09: media metadata from a probe's JSON; what can't be read is told in `probe_error`, not raised."""
+    from assetloom.functions.numbers import frame_rate
+
+    p = F.from_json(json, PROBE)
+    first = lambda kind: F.get(F.filter(F.col("p.streams"), lambda s: s["codec_type"] == kind), F.lit(0))
+    out = rows.withColumn("p", p).withColumns({"v": first("video"), "a": first("audio")})
+    seconds = F.coalesce(F.col("v.duration").try_cast("double"), F.col("p.format.duration").try_cast("double"))
+    error = F.when(F.col("p.streams").isNull(), "unreadable").when(F.col("v").isNull(), "no_video").when(F.coalesce(seconds, F.lit(0.0)) <= 0, "no_duration").otherwise("")
+    out = out.withColumns({
+        "width": F.col("v.width"), "height": F.col("v.height"), "duration_sec": F.coalesce(seconds, F.lit(0.0)), "bitrate_kbps": F.floor(F.coalesce(F.col("p.format.bit_rate").try_cast("double"), F.lit(0.0)) / 1000).cast("int"), "video_codec": F.col("v.codec_name"),
+        "audio_codec": F.coalesce("a.codec_name", F.lit("")), "has_audio": F.col("a").isNotNull(), "fps": frame_rate(F.coalesce("v.avg_frame_rate", F.lit(""))), "probe_error": error,
+    })
+    return out.drop("p", "v", "a")
+
+
+HEADERS = "path string, format string, width int, height int, sha256 string, error string"
+
+
+def _header(data: bytes) -> tuple[str, int, int]:
+    """Format and size of a picture from its first bytes."""
+    big = lambda a, b: int.from_bytes(data[a:b], "big")
+    little = lambda a, b: int.from_bytes(data[a:b], "little")
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return "PNG", big(16, 20), big(20, 24)
+    if data[:6] in (b"GIF87a", b"GIF89a"):
+        return "GIF", little(6, 8), little(8, 10)
+    if data[:2] == b"BM":
+        return "BMP", little(18, 22), abs(int.from_bytes(data[22:26], "little", signed=True))
+    if data[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 < len(data):
+            marker, size = data[at + 1], big(at + 2, at + 4)
+            if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                return "JPEG", big(at + 7, at + 9), big(at + 5, at + 7)
+            at += 2 + size
+    raise ValueError("not a picture of a known format")
+
+
+def image_headers(rows: DataFrame) -> DataFrame:
+    """SRC-08, SRC-10: format, size and hash of standalone pictures (path, content), without decoding them."""
+    names = ["path", "format", "width", "height", "sha256", "error"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    kind, width, height = _header(data or b"")
+                    out.append((path, kind, width, height, hashlib.sha256(data).hexdigest(), None))
+                except ValueError as e:
+                    out.append((path, None, None, None, None, str(e)))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return rows.select("path", "content").mapInArrow(work, HEADERS)
