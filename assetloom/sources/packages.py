@@ -23,7 +23,8 @@ MEMBERS = "package string, member string, size long, compressed long, crc long,
 RELATIONSHIPS = "package string, owner string, rel_id string, kind string, target string, external boolean, error string"
 OCCURRENCES = "package string, slide string, number int, shape_id string, shape_name string, rel_id string, x long, y long, cx long, cy long, slide_cx long, slide_cy long, hidden boolean, error string"
 
-# The namespaces of the formats.
+# Folders that tools write, and the namespaces of the formats.
+IGNORED_FOLDERS = (".git", ".venv", "build", "dist", "__pycache__")
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -36,11 +37,22 @@ def packages(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("pptx"
 
 
 def crawl(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SRC-12: path, size and time of every file; contents aren't read."""
+    """SRC-12: path, size and time of every file that isn't empty (Spark's reader skips those); contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     return files.select("path", F.col("length").alias("size_bytes"), "modificationTime")
 
 
+def public_files(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-21: the files of a tree but those in folders that tools write, with whether each is text. Spark's reader skips empty files."""
+    from assetloom.functions.media import is_text
+
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    inside = F.split(F.element_at(F.split("path", F.lit(f"\\Q{root}/\\E"), 2), -1), "/")
+    return files.where(~F.arrays_overlap(F.slice(inside, 1, F.size(inside) - 1), F.array(*[F.lit(d) for d in IGNORED_FOLDERS]))).select("path", F.col("length").alias("size_bytes"), is_text(F.col("path"), F.col("content")).alias("is_text"))
+
+
 def owner_of(rels: str) -> str:
     """SCL-07: the part that a relationship member belongs to."""
     folder, name = posixpath.split(rels)
@@ -286,7 +298,7 @@ def fidelity(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(_scan(_fidelity, FIDELITY), FIDELITY)
 
 
-PROBE = "streams array<struct<codec_type:string,codec_name:string,width:int,height:int,duration:string,nb_frames:string,avg_frame_rate:string,bit_rate:string>>, format struct<duration:string,bit_rate:string,size:string>"
+PROBE = "streams array<struct<codec_type:string,codec_name:string,width:int,height:int,duration:string,nb_frames:string,avg_frame_rate:string,r_frame_rate:string,bit_rate:string>>, format struct<duration:string,bit_rate:string,size:string>"
 
 
 def probed(rows: DataFrame, json: str = "probe") -> DataFrame:
@@ -305,6 +317,27 @@ def probed(rows: DataFrame, json: str = "probe") -> DataFrame:
     return out.drop("p", "v", "a")
 
 
+def transcode_source(rows: DataFrame, json: str = "probe") -> DataFrame:
+    """SUP-18: a probe and `size_bytes` as the inputs of `budget.profile_plan`: sizes, rates that are known or follow from the
+    bytes, frames a second and seconds. A file without a picture's size has `width` 0 and keeps its own rates."""
+    from assetloom.functions.numbers import frame_rate
+
+    p = F.from_json(json, PROBE)
+    first = lambda kind: F.get(F.filter(F.col("p.streams"), lambda s: s["codec_type"] == kind), F.lit(0))
+    positive = lambda c, kind: F.when(F.col(c).try_cast(kind) > 0, F.col(c).try_cast(kind))
+    rate = lambda c: F.nullif(frame_rate(F.coalesce(c, F.lit(""))), F.lit(0.0))
+    out = rows.withColumn("p", p).withColumns({"v": first("video"), "a": first("audio")})
+    out = out.withColumns({
+        "width": F.coalesce(F.greatest(F.col("v.width"), F.lit(0)), F.lit(0)), "height": F.coalesce(F.greatest(F.col("v.height"), F.lit(0)), F.lit(0)), "fps": F.coalesce(rate("v.avg_frame_rate"), rate("v.r_frame_rate")),
+        "seconds": F.greatest(F.lit(0.1), F.coalesce(positive("v.duration", "double"), positive("p.format.duration", "double"), F.lit(0.1))),
+        "has_audio": positive("a.bit_rate", "long").isNotNull(), "audio_source_kbps": F.floor(F.coalesce(positive("a.bit_rate", "long"), F.lit(0)) / 1000),
+        "_video": F.floor(F.coalesce(positive("v.bit_rate", "long"), positive("p.format.bit_rate", "long"), F.lit(0)) / 1000),
+    })
+    out = out.withColumn("total_kbps", F.greatest(F.col("_video") + F.col("audio_source_kbps"), F.floor(F.col("size_bytes") * 8 / F.col("seconds") / 1000), F.lit(1)))
+    known = F.when(F.col("_video") > 0, F.col("_video"))
+    return out.withColumn("video_kbps", F.greatest(F.lit(1), F.coalesce(known, F.col("total_kbps") - F.col("audio_source_kbps")))).drop("p", "v", "a", "_video")
+
+
 HEADERS = "path string, format string, width int, height int, sha256 string, error string"
 
 

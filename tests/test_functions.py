@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from assetloom.functions import bits, names, numbers
+from assetloom.functions import bits, media, names, numbers
 from assetloom.operators import budget, catalog, health, identity
 
 
@@ -118,3 +118,9 @@ def test_merge_families(spark):
     v, h, a = catalog.merged_families(variants, hashes, assets, "B", "A")
     assert sorted((r["id"], r["family_id"]) for r in v.collect()) == [("v1", "A"), ("v3", "A")]
     assert h.count() == 2 and sorted((r["family_id"], r["variant_id"]) for r in a.collect()) == [("A", "v1"), ("A", "v3")]
+
+
+def test_sensitive_paths(spark):
+    wanted = {"a/.netrc": True, "x/.npmrc": True, "home/.ollama/model": True, "docs/.env.example": False, "a/.env.local": True, "k/server.PEM": True, ".ssh": False, "src/main.py": False}
+    got = spark.createDataFrame([(p,) for p in wanted], "p string").select("p", media.sensitive(F.col("p")).alias("s")).collect()
+    assert {r["p"]: r["s"] for r in got} == wanted

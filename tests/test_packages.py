@@ -55,3 +55,25 @@ def test_snapshots_and_blobs(spark, tmp_path):
     for _ in range(2):
         catalogs.stored_by_hash(blobs, str(tmp_path / "blobs"))
     assert spark.read.parquet(str(tmp_path / "blobs")).count() == 2
+
+
+def test_public_files(spark, tmp_path):
+    cut = "a" * 8191 + "é"
+    for name, data in {"a.PY": b"\xff", "README": b"\xff", "b.bin": b"a\0b", "c.dat": "é".encode(), "d.dat": b"\xff", "cut.dat": cut.encode(), "empty": b"", "build": b"x", "dist/x.py": b"x", "k/.git/y": b"x"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[1]: r["is_text"] for r in packages.public_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.PY": True, "README": True, "b.bin": False, "c.dat": True, "d.dat": False, "cut.dat": False, "build": True}  # empty files aren't listed
+
+
+def test_transcode_source(spark):
+    probes = [
+        (1, 1_000_000, '{"streams":[{"codec_type":"video","width":640,"height":360,"avg_frame_rate":"0/0","r_frame_rate":"25/1","duration":"4"},{"codec_type":"audio","bit_rate":"128500"}],"format":{"duration":"5"}}'),
+        (2, 1_000_000, '{"streams":[{"codec_type":"video","width":640,"height":360,"bit_rate":"900000"}],"format":{"duration":"8"}}'),
+        (3, 100, "broken"),
+    ]
+    got = {r["k"]: r for r in packages.transcode_source(spark.createDataFrame(probes, "k int, size_bytes long, probe string")).collect()}
+    one, two, three = got[1], got[2], got[3]
+    assert (one["fps"], one["seconds"], one["has_audio"], one["audio_source_kbps"], one["total_kbps"], one["video_kbps"]) == (25.0, 4.0, True, 128, 2000, 1872)
+    assert (two["fps"], two["seconds"], two["has_audio"], two["total_kbps"], two["video_kbps"]) == (None, 8.0, False, 1000, 900)
+    assert (three["width"], three["height"], three["video_kbps"]) == (0, 0, 8)
