@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assetloom.functions import media as M
 from assetloom.operators import budget as B
 from assetloom.operators import reports as R
+from assetloom.sources import rewrites as W
 
 from .registry import query, table
 
@@ -79,3 +80,18 @@ def quality_plan(spark, sf_dir):
         (F.col("video_kbps") + 160).alias("total_kbps"), "seconds", N.priority(a, F.col("video_kbps") * 100, F.col("video_kbps"), F.col("seconds"), F.lit(250_000), F.lit(2500)).alias("weight"), F.lit(15_000_000).cast("long").alias("target"),
     )
     return B.quality_plan(rows, "l_orderkey", "l_linenumber")
+
+
+@query("""WITH h AS (SELECT sha256(CAST(c_custkey AS VARCHAR)) AS s, c_nationkey AS k FROM customer)
+SELECT o_orderkey, CASE WHEN k < 3 THEN 'ambiguous' WHEN k < 10 THEN 'existing' WHEN k < 15 THEN 'matched' ELSE 'new' END AS how,
+CASE WHEN k < 3 THEN NULL WHEN k < 10 THEN 'f' || CAST(k AS VARCHAR) WHEN k < 15 THEN 'm' || CAST(k AS VARCHAR) ELSE 'family-' || left(sha256(CAST(o_custkey AS VARCHAR)), 16) END AS family_id
+FROM orders LEFT JOIN h ON s = sha256(CAST(o_custkey AS VARCHAR))""")
+def archived_media(spark, sf_dir):
+    """SNK-03: an order is a medium, its status the deck, its customer the content; nations tell what the library knows."""
+    sha = lambda c: F.sha2(F.col(c).cast("string"), 256).alias("sha256")
+    c, k = table(spark, sf_dir, "customer"), F.col("c_nationkey").cast("string")
+    media = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("package"), F.concat(F.lit("ppt/media/"), F.col("o_orderkey").cast("string")).alias("media"), sha("o_custkey"), (F.col("o_orderkey") % 1000).alias("size_bytes"))
+    hashes = c.where("c_nationkey < 10").select(sha("c_custkey"), F.concat(F.lit("f"), k).alias("family_id"))
+    hashes = hashes.unionByName(c.where("c_nationkey < 3").select(sha("c_custkey"), F.lit("other").alias("family_id")))
+    matches = c.where("c_nationkey BETWEEN 10 AND 14").select(sha("c_custkey"), F.concat(F.lit("m"), k).alias("family_id"))
+    return W.archived(media, hashes, matches)[0].select("o_orderkey", "how", "family_id")
