@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, cover_tree, jaccard_join, line_dedup, mixing, pieces, pii, quality_rules, quotes, toxicity
+from . import cotraining, cover_tree, importance, jaccard_join, line_dedup, mixing, phrases, pieces, pii, prefix_counts, quality_rules, quotes, toxicity
 from .common import n_words, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,6 +199,82 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, lexicon).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), toxicity.rejected(F.col("toxic_score")).alias("predicted"))
 
 
+@_query
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract 11: each document's features, weight and score, and its rank where it is drawn."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resampled(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# Checksums are folded from the bytes of a feature over the table of 256 entries, which is derived from the polynomial.
+ORACLE["op11_importance"] = r"""
+WITH RECURSIVE bit AS (
+  SELECT i AS b, i AS v, 0 AS step FROM range(256) t(i)
+  UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM bit WHERE step < 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM bit WHERE step = 8),
+texts AS (SELECT 's' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark),
+words AS (
+  SELECT side, row_number() OVER () AS row, id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+feature AS (
+  SELECT side, row, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM feature)),
+bucketed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT)),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM hexed, crc),
+hits AS (SELECT side, row, bucket FROM feature JOIN bucketed USING (f)),
+sums AS (SELECT bucket, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM hits GROUP BY bucket),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS g FROM sums),
+weighed AS (SELECT row, count(*) AS n, CAST(sum(g) AS BIGINT) AS total FROM hits JOIN gain USING (bucket) WHERE side = 's' GROUP BY row),
+doc AS (
+  SELECT words.id AS doc_id, words.row, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features,
+         CAST(coalesce(CASE WHEN total >= 0 THEN total // n ELSE -((-total + n - 1) // n) END, 0) AS BIGINT) AS weight,
+         ('0x' || substr(sha256('7:' || words.id), 1, 8))::BIGINT AS h
+  FROM words LEFT JOIN weighed ON weighed.row = words.row WHERE side = 's'),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score, n_words >= 20 AS able FROM doc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id, row) AS r, count(*) OVER (PARTITION BY able) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND r <= 25 * n // 100 THEN CAST(r AS BIGINT) END AS rank FROM ranked
+"""
+
+
+@_query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract 12: bytes and tokens of each text, and the most characters that the limit leaves of it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = prefix_counts.longest_within(prefix_counts.prefixes(docs, keep=["doc_id"]), F.lit(prefix_counts.LIMIT), "chars_within")
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > prefix_counts.LIMIT).alias("over_limit"), "chars_within")
+
+
+@_query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract 13: the best collocations of two to four words of each language."""
+    return phrases.mined(table(spark, sf_dir, "documents").select("lang", "text")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+ORACLE["op13_phrases"] = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+gram AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i : i + k - 1])) AS g FROM words, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+f AS (SELECT lang, k, g, array_to_string(g, ' ') AS phrase, count(*) AS f FROM gram GROUP BY lang, k, g HAVING count(*) >= 30),
+part AS (SELECT lang, k, f, g, unnest(range(2, k)) AS m FROM f WHERE k > 2),
+inner_part AS (SELECT lang, f, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(g[i : i + m - 1], ' '))) AS phrase FROM part),
+around AS (SELECT lang, phrase, max(f) AS around FROM inner_part GROUP BY lang, phrase),
+free AS (SELECT f.* FROM f LEFT JOIN around USING (lang, phrase) WHERE k > 1 AND (around IS NULL OR 100 * around::HUGEINT < 80 * f::HUGEINT)),
+cut AS (SELECT lang, phrase, f AS a, g, k, unnest(range(1, k)) AS c FROM free),
+sided AS (
+  SELECT cut.lang, cut.phrase, a, c, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT) AS score FROM cut
+  JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(cut.g[1 : c], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(cut.g[c + 1 : cut.k], ' ')),
+worst AS (SELECT * FROM sided QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM worst JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
