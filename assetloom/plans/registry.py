@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import budgets, columns, facts, identity, media, ordered, similarity, texts  # noqa: F401
+    from . import budgets, columns, facts, families, identity, media, ordered, similarity, texts  # noqa: F401
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:

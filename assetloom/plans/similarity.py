@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetloom.functions import bits, numbers
-from assetloom.operators import identity
 from assetloom.operators import similarity as S
 from assetloom.operators.ordered import shared_folder
 
 from .registry import ORACLE, query, table
 
-#: Wide enough for some pairs in the driver's tables.
-DISTANCE = 14
+#: The published bound.
+DISTANCE = 10
 _PLACES = [r * 8 + c for r in range(8) for c in range(7)]
 _HASH = " + ".join(f"CASE WHEN embedding[{p + 1}] > embedding[{p + 2}] THEN {1 << (55 - k)} ELSE 0 END" for k, p in enumerate(_PLACES))
 _H = f"h AS (SELECT vec_id, label, CAST({_HASH} AS BIGINT) AS dhash FROM embeddings)"
@@ -73,41 +72,35 @@ def duplicate_components(spark, sf_dir):
     return S.components(p, nodes, "vec_id")
 
 
-@query()
-def star_groups(spark, sf_dir):
-    """ITR-02, ITR-03: groups around the member of the highest id, within the components."""
-    shared_folder(spark)
-    p = _pairs(spark, sf_dir).checkpoint()
-    nodes = p.select(F.col("a").alias("vec_id")).unionByName(p.select(F.col("b").alias("vec_id"))).distinct()
-    members = S.components(p, nodes, "vec_id").select("component", F.col("vec_id").alias("item"), F.col("vec_id").alias("quality"), F.col("vec_id").alias("order"))
-    return S.star_groups(p.select("a", "b"), members)
-
-
-def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fingerprint of each vector: five frames from parts of its hash, brightness from its components."""
-    h = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", bits.difference_hash(F.col("embedding")).alias("dhash"))
-    frames = F.array(*[F.lpad(F.lower(F.hex(F.shiftrightunsigned("dhash", 11 * k).bitwiseAND(F.lit(2047).cast("long")))), 16, "0") for k in range(5)])
-    luma = F.array(*[F.floor((F.get("embedding", F.lit(k)) + 1) * 20).cast("int") for k in range(5)])
-    return h.select("vec_id", F.struct((F.col("label") * 100).cast("long").alias("duration_ms"), F.lit(1_777_778).cast("long").alias("aspect_ppm"), frames.alias("frames"), luma.alias("luma"), F.when(F.col("label") > 2, F.col("label") > 5).alias("has_audio"), frames[0].alias("audio_hash")).alias("fp"), "label")
-
+#: A wider bound for the stars, so that they have more than two members.
+WIDE = 14
 
 
-
-@query(f"""WITH {_H}, f AS (SELECT h.vec_id, label, [(dhash >> (11 * k)) & 2047 FOR k IN range(5)] AS frames, [CAST(floor((e.embedding[k + 1] + 1) * 20) AS INT) FOR k IN range(5)] AS luma,
-  CASE WHEN label > 2 THEN label > 5 END AS audio FROM h JOIN (SELECT vec_id, embedding FROM embeddings) e USING (vec_id)),
-p AS (SELECT x.vec_id AS a, y.vec_id AS b, x.audio AS xa, y.audio AS ya, x.frames[1] AS xf, y.frames[1] AS yf,
-  [CAST(bit_count(xor(x.frames[k], y.frames[k])) AS INT) FOR k IN range(1, 6)] AS d, [abs(x.luma[k] - y.luma[k]) FOR k IN range(1, 6)] AS l
-  FROM f x JOIN f y ON x.vec_id < y.vec_id AND x.label = y.label),
-m AS (SELECT a, b, xa, ya, xf, yf, (list_max(d) <= 6 AND list_sum(d) <= 20 AND list_max(l) <= 10) OR (list_max(list_sort(d)[1:4]) <= 4 AND list_sum(list_sort(d)[1:4]) <= 12 AND list_max(list_sort(l)[1:4]) <= 10) AS same FROM p)
-SELECT a, b FROM m WHERE same AND ((xa IS NULL AND ya IS NULL) OR (coalesce(xa, false) = coalesce(ya, false) AND (NOT coalesce(xa, false) OR bit_count(xor(xf, yf)) <= 13)))""")
-def fingerprint_pairs(spark, sf_dir):
-    """FLT-15, JON-09, SCL-41: content fingerprints that match, blocked by length."""
-    f = _fingerprints(spark, sf_dir)
-    a, b = f.select(F.col("vec_id").alias("a"), F.col("fp").alias("fa"), "label"), f.select(F.col("vec_id").alias("b"), F.col("fp").alias("fb"), "label")
-    return a.join(b, "label").where((F.col("a") < F.col("b")) & bits.fingerprints_match(F.col("fa"), F.col("fb"))).select("a", "b")
-
-
-@query(f"""SELECT b AS vec_id, count(DISTINCT a) AS n_candidates, CASE WHEN count(DISTINCT a) = 1 THEN min(a) END AS match FROM ({ORACLE["fingerprint_pairs"]}) GROUP BY b""")
-def fingerprint_unique_match(spark, sf_dir):
-    """JON-05: vectors whose fingerprint matches earlier ones, with the match where there is exactly one."""
-    return identity.unique_candidate(fingerprint_pairs(spark, sf_dir), "b", "a").withColumnRenamed("b", "vec_id")
+@query(f"""WITH RECURSIVE {_PAIRS.replace(f"<= {DISTANCE}", f"<= {WIDE}")}, e AS (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs),
+v AS (SELECT x, list(y) AS near, row_number() OVER (ORDER BY x % 7 DESC, x) AS k FROM e GROUP BY x),
+walk AS (SELECT 0::BIGINT AS k, CAST([] AS BIGINT[]) AS anchors UNION ALL SELECT v.k, CASE WHEN len(list_intersect(walk.anchors, v.near)) = 0 THEN list_append(walk.anchors, v.x) ELSE walk.anchors END FROM walk JOIN v ON v.k = walk.k + 1),
+chosen AS (SELECT unnest(anchors) AS anchor FROM (SELECT anchors FROM walk ORDER BY k DESC LIMIT 1)),
+own AS (SELECT e.x AS item, arg_min(anchor, a.k) AS anchor FROM e JOIN chosen ON anchor = y JOIN v a ON a.x = anchor WHERE e.x NOT IN (SELECT anchor FROM chosen) GROUP BY e.x)
+SELECT anchor, item FROM own UNION SELECT anchor, anchor FROM own""")
+def star_groups(spark, sf_dir):
+    """ITR-02: groups around the best member, of equal quality the first, by direct links."""
+    shared_folder(spark)
+    p = S.hamming_pairs(_hashes(spark, sf_dir), "vec_id", "dhash", WIDE).checkpoint()
+    items = p.select(F.explode(F.array("a", "b")).alias("item")).distinct()
+    return S.star_groups(S.cliques_of(p), items.select("item", (F.col("item") % 7).alias("quality"), F.col("item").alias("order")))
+
+
+@query(f"""WITH {_PAIRS}, r AS (SELECT vec_id, (label + 10)::DOUBLE / 10 AS ratio FROM h),
+near AS (SELECT a, b, distance, abs(x.ratio - y.ratio) / greatest(x.ratio, y.ratio, 0.001::DOUBLE) AS ratio_diff FROM pairs JOIN r x ON x.vec_id = a JOIN r y ON y.vec_id = b),
+kept AS (SELECT * FROM near WHERE ratio_diff <= 0.08 AND NOT (a % 10 = 3 OR b % 10 = 3)), two AS (SELECT a AS probe, b AS match, distance, ratio_diff FROM kept UNION ALL SELECT b, a, distance, ratio_diff FROM kept)
+SELECT probe, match, distance, round_even(greatest(0.0::DOUBLE, 100.0::DOUBLE - 8 * distance - 100 * ratio_diff), 1) AS score, row_number() OVER (PARTITION BY probe ORDER BY distance, ratio_diff, match) AS rank FROM two QUALIFY rank <= 12""")
+def similar_images(spark, sf_dir):
+    """JON-08, DML-17, SRT-02: for each picture those of near hash and shape, without pairs that are ignored (every one with an id that ends with 3)."""
+    h = _hashes(spark, sf_dir)
+    assets = h.select(F.col("vec_id").alias("id"), F.col("vec_id").cast("string").alias("sha256"), "dhash", ((F.col("label") + 10) / 10).alias("width"), F.lit(1.0).alias("height"))
+    shared_folder(spark)
+    pairs = _pairs(spark, sf_dir).checkpoint()
+    ignored = pairs.where("a % 10 = 3 OR b % 10 = 3").select(bits.pair_key(F.col("a").cast("string"), F.col("b").cast("string")).alias("pair"))
+    found = S.both_ways(S.similar_images(assets, ignored, DISTANCE)).withColumn("distance", F.col("distance").cast("long"))
+    score = numbers.similarity_score(F.col("distance"), F.col("ratio_diff"))
+    return S.top_k(found.select("probe", "match", "distance", score.alias("score"), "ratio_diff"), "probe", [F.col("distance"), F.col("ratio_diff"), F.col("match")], 12).drop("ratio_diff")
