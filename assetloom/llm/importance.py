@@ -153,20 +153,20 @@ def noise(doc_id: Column, seed: int = SEED) -> Column:
     return F.floor(F.lit(-float(SCALE)) * F.log(-F.log((h.cast("double") + F.lit(0.5)) / F.lit(4294967296.0)))).cast("long")
 
 
-def resampled(docs: DataFrame, target: DataFrame, share: int = SHARE, least_words: int = LEAST_WORDS, seed: int = SEED, buckets: int = BUCKETS, text: str = "text", doc_id: str = "doc_id", target_text: str = "text") -> DataFrame:
-    """`docs` with `n_features`, `weight`, `score` and `rank`: 1, 2, 3... for the `share` in a hundred that is drawn."""
-    names = Aside(docs)
-    held = names.rows.withColumn("key", F.sha2(F.coalesce(F.col(names(text)), F.lit("")), 256))
-    spark = docs.sparkSession
+def resampled(docs: DataFrame, target: DataFrame, share: int = SHARE, least_words: int = LEAST_WORDS, seed: int = SEED, buckets: int = BUCKETS, text: str = "text", doc_id: str = "doc_id", target_text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of `docs` (all where None) with `n_features`, `weight`, `score` and `rank`: 1, 2, 3... for the `share` in a hundred that is drawn."""
+    kept = docs.select(*("`" + c.replace("`", "``") + "`" for c in (docs.columns if keep is None else keep)))
+    names, spark = Aside(kept), docs.sparkSession
+    held = docs.select(*("`" + c.replace("`", "``") + "`" for c in kept.columns), F.col(doc_id), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).toDF(*names.rows.columns, "id", "key")
     path = written(distinct_texts(docs.select(text), text, buckets), "importance")
     distinct = spark.read.parquet(path)
     gain = gains(histogram(distinct, buckets), histogram(distinct_texts(target, target_text, buckets), buckets))
     weights = text_weights(distinct, gain)
     scored = held.join(spread(weights), "key").drop("key")
-    scored = stored(scored.withColumn("score", F.col("weight") + noise(F.col(names(doc_id)), seed)).withColumn("row", F.monotonically_increasing_id()), "importance-scores")
+    scored = stored(scored.withColumn("score", F.col("weight") + noise(F.col("id"), seed)).withColumn("row", F.monotonically_increasing_id()), "importance-scores")
     discard(spark, path)
     taken = scored.where(F.col("n_words") >= least_words).count() * share // 100
-    slim = scored.where(F.col("n_words") >= least_words).select("row", (-F.col("score")).alias("falling"), F.col(names(doc_id)).isNull().alias("none"), F.col(names(doc_id)).alias("id"))
+    slim = scored.where(F.col("n_words") >= least_words).select("row", (-F.col("score")).alias("falling"), F.col("id").isNull().alias("none"), "id")
     ranks = running(slim, [], ["falling", "none", "id", "row"], F.lit(1).cast("long"), "before").where(F.col("before") < taken)
     out = scored.join(ranks.select("row", (F.col("before") + 1).alias("rank")), "row", "left")
     return names.back(out, ["n_features", "weight", "score", "rank"])

@@ -203,7 +203,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract 11: each document's features, weight and score, and its rank where it is drawn."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return importance.resampled(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+    return importance.resampled(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]).select("doc_id", "n_features", "weight", "score", "rank")
 
 
 # Checksums are folded from the bytes of a feature over the table of 256 entries, which is derived from the polynomial.
