@@ -61,7 +61,7 @@ class Pieces:
         self.automaton.make_automaton()
         several = [p for p in self.score if len(p) > 1]
         self.breaks = "\n" if not any("\n" in p for p in several) else ""
-        by_runs = not any(SPACE in p.lstrip(SPACE) for p in several)
+        self.by_runs = by_runs = not any(SPACE in p.lstrip(SPACE) for p in several)
         rest = f"[^{SPACE}{self.breaks}]"
         self.runs = re.compile((f"{self.breaks}|" if self.breaks else "") + f"{SPACE}*{rest}+|{SPACE}+") if by_runs else re.compile("(?s).+")
         self.encoded: dict[str, bytes] = {}

@@ -1,7 +1,7 @@
 """Operator 12: exact token counts at every prefix of a text, by dynamic programming over prefixes.
 
 The encoding of a prefix ends with exactly one piece: of those that end there it is the one that may follow the last
-piece of the prefix before it (`Pieces.fits`: joined and merged afresh, the two come out again). So the last piece and
+piece of the prefix before it (`may_follow`: joined and merged afresh, the two come out again). So the last piece and
 the count of every prefix follow from those of shorter ones, and one sweep over the text gives the exact count of each of
 its prefixes as if it were encoded alone. Pieces never span runs (see `pieces.py`), so prefixes are counted run by run,
 and a bounded cache keeps the counts of runs.
@@ -19,8 +19,10 @@ pass through, those named like a result as `<name>_input`.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,11 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Aside, mapped, portions, running
-from .pieces import CACHED_RUNS, SPACE, Pieces, load
+from .pieces import SPACE, Pieces, load
 
 LIMIT = 4096
-#: Characters of a run up to which its counts are cached.
-SHORT = 64
+#: Characters of a run up to which its counts are cached; entries of each of the two generations of runs, and of pairs of pieces whose compatibility is.
+SHORT, CACHED_RUNS, CACHED_PAIRS = 64, 250_000, 400_000
 
 
 class Prefixes:
@@ -42,34 +44,66 @@ class Prefixes:
         self.model = model
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.piece = {i: p for p, i in model.id.items()}
+        self.none = max(self.piece) + 1  # stands before the first piece, and for a character that the vocabulary lacks
+        self.piece[self.none] = ""
+        self.follows: dict[int, bool] = {}
+        # Letters from which no piece goes on to a mark: a word of them and the mark behind it are runs of their own.
+        bound = {c for p in model.id for c in re.findall(rf"([^\W\d_])[^\w{SPACE}]", p)}
+        letter = rf"[^\W\d_{re.escape(''.join(sorted(bound)))}]"
+        self.runs = re.compile(rf"{SPACE}*{letter}+(?=[^\w{SPACE}{model.breaks}])|{model.runs.pattern}") if model.by_runs else model.runs
+        self.automaton = ahocorasick.Automaton()
+        for p, i in model.id.items():
+            self.automaton.add_word(p, (len(p), i))
+        self.automaton.make_automaton()
+
+    def may_follow(self, before: int, piece: int) -> bool:
+        """Whether a piece may follow another one (or `none`). A character that the vocabulary lacks merges with nothing."""
+        key = before * (self.none + 1) + piece
+        found = self.follows.get(key)
+        if found is None:
+            if len(self.follows) >= CACHED_PAIRS:
+                self.follows.clear()
+            x, y = self.piece[before], self.piece[piece]
+            found = self.follows[key] = self.model.merged(x + y) == ([x, y] if x else [y])
+        return found
 
     def of_run(self, run: str) -> bytes:
         """The differences between the counts of a run's neighbouring prefixes."""
-        model, n = self.model, len(run)
-        sizes: list[list[int]] = [[1] for _ in range(n)]  # of the pieces that end at each place
-        for end, size in model.automaton.iter(run):
-            sizes[end].append(size)
-        ids, width = model.id, (lambda c: len(c.encode())) if model.byte_id else (lambda c: 1)
-        last, count = [""] * (n + 1), [0] * (n + 1)
-        known, fits = model.compatible.get, model.fits
-        for end in range(1, n + 1):
-            for size in sizes[end - 1]:
-                piece, before = run[end - size : end], last[end - size]
-                ok = known((before, piece))
-                if fits(before, piece) if ok is None else ok:
-                    last[end] = piece
-                    count[end] = count[end - size] + (1 if piece in ids else width(piece))
-                    break
-            else:
-                raise AssertionError("every prefix has an encoding")
-        return np.diff(np.array(count)).astype(np.int8).tobytes()
+        none, wide, known = self.none, self.none + 1, self.follows.get
+        last, count, done, steps = [none], [0], 0, bytearray()
+
+        def lacking(end: int) -> None:
+            """The characters up to `end` that no piece ends with."""
+            for c in run[done:end]:
+                n = len(c.encode()) if self.model.byte_id else 1
+                last.append(none)
+                count.append(count[-1] + n)
+                steps.append(n)
+
+        for at, (size, piece) in self.automaton.iter(run):  # at each place the longest piece that ends there comes first
+            if at < done:
+                continue
+            if at > done:
+                lacking(at)
+                done = at
+            before = last[at + 1 - size]
+            ok = known(before * wide + piece)
+            if self.may_follow(before, piece) if ok is None else ok:
+                n = count[at + 1 - size] + 1
+                steps.append((n - count[at]) & 255)
+                last.append(piece)
+                count.append(n)
+                done = at + 1
+        lacking(len(run))
+        return bytes(steps)
 
     def steps(self, text: str) -> bytes:
         """For each character the difference that it makes to the count of tokens."""
         if not text:
             return b""
         cache, older, out = self.cache, self.older, []
-        for run in self.model.runs.findall(SPACE + text.replace(" ", SPACE)):
+        for run in self.runs.findall(SPACE + text.replace(" ", SPACE)):
             got = cache.get(run)
             if got is None:
                 got = older.get(run) or self.of_run(run)
