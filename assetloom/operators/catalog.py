@@ -116,24 +116,3 @@ def recommended(candidates: DataFrame, least_ssim: float = 0.95) -> DataFrame:
     out = best.join(smallest, "group_id", "left")
     return out.select("group_id", "keep_best", "keep_original", "keep_smallest_close", (F.col("_n") >= 2).alias("unify_available"), (F.col("_all") - F.col("_kept")).alias("savings"))
 
-
-def merged_hash_catalog(known: dict[str, set[str]], incoming: list[set[str]], most_groups: int = 10_000, most_hashes: int = 100_000) -> dict[str, int]:
-    """DML-07, N8, SRT-08: the sequential fold: hashes that one group adds are anchors for the next.
-
-    An interchange file is bounded, so the fold runs on the driver; a larger file is refused as a whole.
-    """
-    if len(incoming) > most_groups or sum(map(len, incoming)) > most_hashes:
-        raise ValueError(f"the hash catalog holds more than {most_groups} groups or {most_hashes} hashes")
-    found = {"matched": 0, "added": 0, "skipped": 0, "conflicts": 0}
-    for hashes in incoming:
-        anchors = set().union(*(known.get(h, set()) for h in hashes))
-        if len(anchors) != 1:
-            found["conflicts" if anchors else "skipped"] += 1
-            continue
-        anchor = next(iter(anchors))
-        fresh = [h for h in hashes if anchor not in known.get(h, set())]
-        for h in fresh:
-            known.setdefault(h, set()).add(anchor)
-        found["matched"] += 1
-        found["added"] += len(fresh)
-    return found

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -30,6 +31,17 @@ def shared_folder(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="assetloom-"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """`df` as a table of its own in the shared folder: nothing of its plan is left, nor of what the plan implies.
+
+    A checkpoint keeps estimates and constraints, which grow with every round of a loop that joins its own results.
+    """
+    shared_folder(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def running(rows: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
     """`rows` with the sum of `value` over those before them in their group.
 

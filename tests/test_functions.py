@@ -93,11 +93,6 @@ def test_damaged_prefix_and_unique_candidate(spark):
     assert {tuple(r) for r in identity.unique_candidate(pairs, "k", "owner").collect()} == {(1, 1, "A"), (2, 2, None)}
 
 
-def test_hash_catalog_fold_is_sequential():
-    known = {"h1": {"A"}, "h2": {"B"}}
-    assert catalog.merged_hash_catalog(known, [{"h1", "n1"}, {"n1", "n2"}, {"zz"}, {"h1", "h2"}]) == {"matched": 2, "added": 2, "skipped": 1, "conflicts": 1}
-
-
 def test_recommendation(spark):
     rows = [(1, "o", 0, "original", 1080, 4000, 2_073_600, 10_000, 1.0, True), (1, "h", 1, "high", 1080, 1500, 2_073_600, 4000, 0.99, True), (1, "a", 2, "aggressive", 360, 300, 230_400, 1000, 0.97, True)]
     got = catalog.recommended(spark.createDataFrame(rows, "group_id int, variant_id string, ord int, profile string, height int, kbps int, pixels int, size_bytes int, ssim double, allowed boolean")).first()
