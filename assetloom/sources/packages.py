@@ -17,11 +17,15 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assetloom.functions import media as rules
+from assetloom.sources import geometry
+
 MEMBERS = "package string, member string, size long, compressed long, crc long, sha256 string, error string"
 RELATIONSHIPS = "package string, owner string, rel_id string, kind string, target string, external boolean, error string"
-OCCURRENCES = "package string, slide string, number int, shape_id string, shape_name string, rel_id string, x long, y long, cx long, cy long, slide_cx long, slide_cy long, hidden boolean, error string"
+OCCURRENCES = "package string, slide string, number int, shape_id string, shape_name string, rel_id string, x long, y long, cx long, cy long, slide_cx long, slide_cy long, hidden boolean, rotation double, flip_h boolean, flip_v boolean, crop_left double, crop_top double, crop_right double, crop_bottom double, placed_x double, placed_y double, placed_cx double, placed_cy double, placed_area double, error string"
 
 # Folders that tools write, and the namespaces of the formats.
 IGNORED_FOLDERS = (".git", ".venv", "build", "dist", "__pycache__")
@@ -166,22 +170,35 @@ def _occurrences(z: zipfile.ZipFile) -> Iterator[tuple]:
     for number, slide in enumerate(_slide_order(z), 1):
         root = _xml(z, slide)
         hidden = root.get("show") == "0"
-        for pic in root.iter(f"{_P}pic"):
-            named = next(pic.iter(f"{_P}cNvPr"), None)
-            off, ext = next(pic.iter(f"{_A}off"), None), next(pic.iter(f"{_A}ext"), None)
-            for tag, attribute in ((f"{_A}blip", "embed"), (f"{_A}videoFile", "link")):
-                for e in pic.iter(tag):
-                    if rel := e.get(f"{_R}{attribute}"):
-                        at = [int(o.get(c, 0)) if o is not None else 0 for o, c in ((off, "x"), (off, "y"), (ext, "cx"), (ext, "cy"))]
-                        yield slide, number, named.get("id") if named is not None else None, named.get("name") if named is not None else None, rel, *at, width, height, hidden
+        for pic, outer in geometry.pictures(root):
+            box = geometry.box_of(pic.find(f"{_P}spPr/{_A}xfrm"))
+            if box is None:
+                continue
+            named = pic.find(f"{_P}nvPicPr/{_P}cNvPr")
+            shape = (named.get("id"), named.get("name")) if named is not None else (None, None)
+            place = (box.x, box.y, box.cx, box.cy, width, height, hidden, box.rotation, box.flip_h, box.flip_v, *geometry.crop(pic), *geometry.placed(box, outer))
+            for rel in dict.fromkeys(r for _, r in geometry.media_ids(pic)):
+                yield slide, number, *shape, rel, *place
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """SRC-01, SRC-02, SRC-04, PRJ-02: pictures and videos on slides, with their share of the slide."""
+    """SRC-01, SRC-02, SRC-04, PRJ-02: pictures and videos on slides, with their share of the slide.
+
+    Shares are those of a picture's own extent; `placed_...` is what it covers once it is turned and the groups around it
+    are scaled, turned and mirrored, and `placed_ratio` the share of the slide of that. Pictures without an extent are none.
+    """
     found = rows.mapInArrow(_scan(_occurrences, OCCURRENCES), OCCURRENCES)
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     out = found.withColumns({"width_ratio": share("cx", "slide_cx"), "height_ratio": share("cy", "slide_cy")})
-    return out.withColumn("area_ratio", F.col("width_ratio") * F.col("height_ratio"))
+    slide = F.col("slide_cx").cast("double") * F.col("slide_cy")
+    return out.withColumns({"area_ratio": F.col("width_ratio") * F.col("height_ratio"), "placed_ratio": F.when(slide > 0, F.col("placed_area") / slide).otherwise(0.0)})
+
+
+def shown_only(found: DataFrame) -> DataFrame:
+    """SRC-02, SRC-19: occurrences on slides that aren't hidden, numbered without these."""
+    slides = found.select("package", "slide", "number", "hidden").distinct()
+    kept = slides.where("NOT hidden").withColumn("shown", F.row_number().over(W.partitionBy("package").orderBy("number")))
+    return found.join(kept.select("package", "slide", "shown"), ["package", "slide"]).withColumn("number", F.col("shown")).drop("shown")
 
 
 def placed_media(found: DataFrame, rels: DataFrame) -> DataFrame:
@@ -191,6 +208,22 @@ def placed_media(found: DataFrame, rels: DataFrame) -> DataFrame:
     return joined.groupBy("package", "media").agg(F.count("*").alias("n_occurrences"), F.sort_array(F.collect_set("number")).alias("slides"), F.max_by(F.struct("width_ratio", "height_ratio", "area_ratio"), place).alias("largest"))
 
 
+def plan_inputs(placed: DataFrame, parts: DataFrame, probes: DataFrame, render_height: int = 1080, overscan: float = 1.1) -> DataFrame:
+    """SRC-01, PRJ-02, PRJ-05: each video of a deck as `budget.profile_plan` takes it.
+
+    placed: of `placed_media`; parts: of `members`; probes: (package, media, probe), what a probe says of the file. Videos
+    that no slide shows are planned as the smallest (`referenced` false).
+    """
+    sized = parts.select("package", F.col("member").alias("media"), F.col("size").alias("size_bytes"))
+    videos = transcode_source(probes.join(sized, ["package", "media"]))
+    rows = videos.join(placed.withColumn("referenced", F.lit(True)), ["package", "media"], "left")
+    ratio = lambda c: F.coalesce(F.col(f"largest.{c}"), F.lit(0.0))
+    return rows.withColumns({
+        "area": ratio("area_ratio"), "width_ratio": ratio("width_ratio"), "height_ratio": ratio("height_ratio"), "display_px": rules.display_pixels(F.lit(render_height), ratio("height_ratio"), overscan),
+        "referenced": F.coalesce("referenced", F.lit(False)), "n_occurrences": F.coalesce("n_occurrences", F.lit(0)),
+    }).drop("largest")
+
+
 def fonts(rows: DataFrame) -> DataFrame:
     """SRC-17, SRT-09: distinct explicit typefaces of each package."""
 
@@ -214,11 +247,9 @@ def same_structure(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 PLACED = "package string, sheet string, drawing string, media string, cx long, cy long, area_ratio double, error string"
-# Namespaces of drawings, and EMU of a printable page (A4 without margins of an inch).
+# Namespaces of drawings.
 _W = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
-_X = "{http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-PAGE = (5_731_510, 8_863_330)
 
 
 def _targets(z: zipfile.ZipFile, owner: str) -> dict[str, str]:
@@ -237,18 +268,18 @@ def _sheet_images(z: zipfile.ZipFile) -> Iterator[tuple]:
         part = book.get(sheet.get(f"{_R}id"))
         if part is None:
             continue
-        drawings = _targets(z, part)
-        for d in _xml(z, part).iter(f"{_S}drawing"):
+        drawings, root = _targets(z, part), _xml(z, part)
+        width, height = geometry.page_pixels(root)
+        for d in root.iter(f"{_S}drawing"):
             drawing = drawings.get(d.get(f"{_R}id"))
             if drawing is None:
                 continue
             media = _targets(z, drawing)
             for anchor in _xml(z, drawing):
-                ext = next(iter([*anchor.iter(f"{_A}ext"), *anchor.iter(f"{_X}ext")]), None)
-                cx, cy = (int(ext.get(k, 0)) if ext is not None else 0 for k in ("cx", "cy"))
+                w, h = geometry.anchor_pixels(anchor)
                 for blip in anchor.iter(f"{_A}blip"):
                     if (m := media.get(blip.get(f"{_R}embed"))) is not None:
-                        yield sheet.get("name"), drawing, m, cx, cy, min(1.0, cx / PAGE[0]) * min(1.0, cy / PAGE[1])
+                        yield sheet.get("name"), drawing, m, w * geometry.EMU, h * geometry.EMU, min(1.0, w / width) * min(1.0, h / height)
 
 
 def sheet_images(rows: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def folder(tmp_path):
     pack("book.xlsx", {
         "xl/workbook.xml": f'<workbook {S}><sheets><sheet name="One" r:id="rId1"/><sheet name="Lost" r:id="rId9"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": rels(("worksheet", "worksheets/sheet1.xml", "")),
         "xl/worksheets/sheet1.xml": f'<worksheet {S}><drawing r:id="rId1"/></worksheet>', "xl/worksheets/_rels/sheet1.xml.rels": rels(("drawing", "../drawings/drawing1.xml", "")),
-        "xl/drawings/drawing1.xml": f'<xdr:wsDr {NS}><xdr:oneCellAnchor><xdr:ext cx="{packages.PAGE[0]}" cy="{packages.PAGE[1] // 2}"/><xdr:pic><a:blip r:embed="rId1"/></xdr:pic></xdr:oneCellAnchor></xdr:wsDr>', "xl/drawings/_rels/drawing1.xml.rels": rels(("image", "../media/i.png", "")),
+        "xl/drawings/drawing1.xml": f'<xdr:wsDr {NS}><xdr:oneCellAnchor><xdr:ext cx="{682 * 9525}" cy="{456 * 9525}"/><xdr:pic><a:blip r:embed="rId1"/></xdr:pic></xdr:oneCellAnchor></xdr:wsDr>', "xl/drawings/_rels/drawing1.xml.rels": rels(("image", "../media/i.png", "")),
     })
     document = {"word/document.xml": f'<w xmlns="x" {NS}><wp:inline><wp:extent cx="5" cy="6"/><a:blip r:embed="rId1"/></wp:inline><wp:anchor><a:blip r:embed="rId2"/></wp:anchor></w>', "word/_rels/document.xml.rels": rels(("image", "media/i.png", ""), ("image", "http://a/b.png", ' TargetMode="External"'))}
     pack("text.docx", document)
