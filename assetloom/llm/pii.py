@@ -15,8 +15,9 @@ side), annotated by the base patterns and by the patterns of secrets below. Each
 with the span rewritten in another form (`FORMS`), and beside look-alikes that are none (`DECOYS`: dates, prices, card
 numbers with a wrong check digit), so that the field finds what the patterns miss.
 
-Bounds of the method, not of the texts: a segment has at most `LONGEST` atoms (a card number, digit by digit, has 37 at
-most and is a base span), and of what stands before a zone `CONTEXT` characters are looked at.
+Zones are decoded atom by atom in bounded memory: a segment ends within `LONGEST` atoms, so no more columns of values are
+held, and what all paths agree on is given out. Bounds of the method, not of the texts: a segment has at most `LONGEST`
+atoms (a card number, digit by digit, has 37 at most and is a base span) and `WIDEST` characters, and of what stands before a zone `CONTEXT` characters are looked at.
 
 Cases: null is the empty text and has no spans; spans count code points; an added span never overlaps a base
 span; repeated rows get a row each; without any annotated zone nothing is added; an empty table gives an empty
@@ -29,7 +30,7 @@ import math
 import random
 import re
 from bisect import bisect_right
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -42,7 +43,9 @@ from .common import Aside, mapped, portions
 
 #: In the order of the digests.
 KINDS = ("email", "ip", "card", "phone", "secret")
-SAMPLE, WINDOWS, REACH, LONGEST, CONTEXT, AROUND = 300, 8, 200, 24, 120, 2
+SAMPLE, WINDOWS, REACH, LONGEST, WIDEST, CONTEXT, AROUND = 300, 8, 200, 24, 400, 120, 2
+#: Atoms after which what is settled is given out.
+FLUSH = 512
 ROUNDS, RATE, SHRINK = 6, 0.3, 0.002
 #: What a segment must score beyond nothing.
 LEAST_SCORE = 0.5
@@ -57,6 +60,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SECRETS = (re.compile(r"\bAKIA[0-9A-Z]{16}\b"), re.compile(r"(?i)\b(?:password|passwd|token|secret|api_?key)\s?[:=]\s?\"?([A-Za-z0-9]{8,})"))
 
 Span = tuple[str, int, int]
+Item = tuple[int, int]
 
 
 def luhn(digits: str) -> bool:
@@ -175,28 +179,51 @@ def atoms_of(text: str, zone: tuple[int, int]) -> list[tuple[int, int]]:
     return [m.span() for m in _ATOM.finditer(text, *zone)]
 
 
-def segments(text: str, atoms: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[str]]]:
-    """Each candidate segment as (first atom, atom after the last, features), one after another."""
-    if not atoms:
-        return
-    at, end = atoms[0][0], atoms[-1][1]
-    marked = bytearray(end - at)
-    for m in _TRIGGER.finditer(text, at, end):
-        marked[m.start() - at] = 1
-    held = [1 in marked[a - at : b - at] for a, b in atoms]
-    edge = [text[a].isascii() and (text[a].isalnum() or text[a] in "+(") for a, _ in atoms]
-    final = [text[a].isascii() and text[a].isalnum() for a, _ in atoms]
-    last = ""  # the word before the atom
-    for i, (a, b) in enumerate(atoms):
-        found = False
-        for j in range(i, min(i + LONGEST, len(atoms)) if edge[i] else i):
-            if text[atoms[j][0]] == "\n":
-                break
-            found = found or held[j]
-            if found and final[j]:
-                yield i, j + 1, _features(text, a, atoms[j][1], last)
+def _told(text: str, zone: tuple[int, int]) -> Iterator[tuple[int, int, bool, bool, bool]]:
+    """Atoms one after another: start, end, whether a trigger begins in it, and whether a segment may begin or end with it."""
+    marks = _TRIGGER.finditer(text, *zone)
+    mark = next(marks, None)
+    for m in _ATOM.finditer(text, *zone):
+        a, b = m.span()
+        held = False
+        while mark is not None and mark.start() < b:
+            held, mark = True, next(marks, None)
+        c = text[a]
+        plain = c.isascii() and c.isalnum()
+        yield a, b, held, plain or c in "+(", plain
+
+
+def steps(text: str, zone: tuple[int, int]) -> Iterator[list[tuple[int, tuple[int, int], list[str]]]]:
+    """For each atom of a zone the candidate segments that begin with it: number of atoms, span, features.
+
+    No more than `LONGEST` atoms are held at a time, whatever the zone's length.
+    """
+    source, ahead, last = _told(text, zone), deque(), ""  # last: the word before the atom
+    while True:
+        while len(ahead) < LONGEST and (atom := next(source, None)) is not None:
+            ahead.append(atom)
+        if not ahead:
+            return
+        a, b, _, edge, _ = ahead[0]
+        out, found = [], False
+        if edge:
+            for size, (c, d, held, _, final) in enumerate(ahead, 1):
+                if text[c] == "\n" or d - a > WIDEST:
+                    break
+                found = found or held
+                if found and final:
+                    out.append((size, (a, d), _features(text, a, d, last)))
+        yield out
         if text[a].isalpha():
             last = text[a:b].lower() if b - a <= 12 else "long"
+        ahead.popleft()
+
+
+def segments(text: str, zone: tuple[int, int]) -> Iterator[tuple[int, int, list[str]]]:
+    """Each candidate segment as (first atom, atom after the last, features), one after another."""
+    for i, found in enumerate(steps(text, zone)):
+        for size, _, features in found:
+            yield i, i + size, features
 
 
 #: States between segments: nothing yet, or the kind of the last segment and how many atoms ago it ended (0, 1, more).
@@ -225,36 +252,91 @@ class Field:
         """Weights of a segment's kind after each state."""
         return np.array([self.weights.get(f"after:{s}", [0.0] * len(KINDS)) for s in _STATES])
 
-    def best(self, n: int, candidates: Iterable[tuple[int, int, list[str]]]) -> list[tuple[int, int, int]]:
-        """The highest-scoring choice of segments (first, after, kind); atoms outside of them score 0."""
+    def decoded(self, zone: Iterable[list[tuple[int, Item, list[str]]]]) -> Iterator[tuple[Item, int]]:
+        """The highest-scoring choice of segments (item, kind) of a zone, given as the candidates (atoms, item, features) of
+        each atom; atoms outside of segments score 0.
+
+        Only the columns of values that a segment may still end at are held. Every `FLUSH` atoms paths that no continuation
+        can bring back are dropped, and the segments that all others share are given out.
+        """
         into = self.transitions()
         # What a segment can gain from the one before it, and the next one from it, at most.
         most = into.max(axis=0)
         onward = [max(0.0, float((into[t : t + _GAPS] - into.min(axis=0)).max())) for t in _TO]
-        starts: dict[int, list[tuple[int, int, float]]] = {}
-        for i, j, f in candidates:
-            for k, s in enumerate(self.scores(f)):
-                if s - LEAST_SCORE + most[k] + onward[k] > 0:
-                    starts.setdefault(i, []).append((j, k, s - LEAST_SCORE))
-        if not starts:
-            return []
-        # value[i]: by state the best score of what ends before atom i, with how it came about.
-        value: list[dict[int, tuple[float, tuple | None]]] = [{} for _ in range(n + 1)]
-        value[0][0] = (0.0, None)
-        for i in range(n):
-            for state, (v, back) in value[i].items():
+        # By state the best score of what ends before an atom, with its last segment: [item, kind, the segment before].
+        columns: deque[dict[int, tuple[float, list | None]]] = deque([{0: (0.0, None)}])
+        for n, found in enumerate(zone, 1):
+            now = columns.popleft()
+            if not columns:
+                columns.append({})
+            column = columns[0]
+            for state, (v, back) in now.items():
                 after = _AFTER[state]
-                if after not in value[i + 1] or v > value[i + 1][after][0]:
-                    value[i + 1][after] = (v, back)
-            for j, k, s in starts.get(i, ()):
-                v, state = max((v + into[state, k], state) for state, (v, _) in value[i].items())
-                if _TO[k] not in value[j] or v + s > value[j][_TO[k]][0]:
-                    value[j][_TO[k]] = (v + s, (i, j, k, value[i][state][1]))
-        out, back = [], max(value[n].values(), key=lambda x: x[0])[1]
+                if after not in column or v > column[after][0]:
+                    column[after] = (v, back)
+            for size, item, f in found:
+                for k, s in enumerate(self.scores(f)):
+                    s -= LEAST_SCORE
+                    if s + most[k] + onward[k] > 0:
+                        v, state = max((v + into[state, k], state) for state, (v, _) in now.items())
+                        while len(columns) < size:
+                            columns.append({})
+                        column = columns[size - 1]
+                        if _TO[k] not in column or v + s > column[_TO[k]][0]:
+                            column[_TO[k]] = (v + s, [item, k, now[state][1]])
+            if n % FLUSH == 0:
+                _drop_beaten(columns[0], into)
+                yield from _shared_by_all(columns)
+        chain, back = [], max(columns[0].values(), key=lambda x: x[0])[1]
+        while back is not None:
+            chain.append((back[0], back[1]))
+            back = back[2]
+        yield from chain[::-1]
+
+    def best(self, n: int, candidates: Iterable[tuple[int, int, list[str]]]) -> list[tuple[int, int, int]]:
+        """The highest-scoring choice of segments (first, after, kind) of n atoms."""
+        by_first: list[list[tuple[int, tuple[int, int], list[str]]]] = [[] for _ in range(n)]
+        for i, j, f in candidates:
+            by_first[i].append((j - i, (i, j), f))
+        return [(i, j, k) for (i, j), k in self.decoded(by_first)]
+
+
+def _drop_beaten(column: dict[int, tuple[float, list | None]], into: np.ndarray) -> None:
+    """Drop states that another one beats whatever follows: by more than the next segment can prefer them, now or later."""
+
+    def least(one: int, other: int) -> float:
+        gain = 0.0
+        for _ in range(_GAPS):
+            gain = min(gain, float((into[one] - into[other]).min()))
+            one, other = _AFTER[one], _AFTER[other]
+        return gain
+
+    for other in sorted(column, key=lambda x: column[x][0]):
+        if any(one != other and column[one][0] + least(one, other) > column[other][0] for one in column):
+            del column[other]
+
+
+def _shared_by_all(columns: Iterable[dict[int, tuple[float, list | None]]]) -> Iterator[tuple[Item, int]]:
+    """Take the first segments that all paths have in common off them."""
+    heads = [(column, state) for column in columns for state in column]
+    chains = []
+    for column, state in heads:
+        chain, back = [], column[state][1]
         while back is not None:
-            out.append(back[:3])
-            back = back[3]
-        return out[::-1]
+            chain.append(back)
+            back = back[2]
+        chains.append(chain[::-1])
+    shortest, k = min(chains, key=len), 0
+    while k < len(shortest) and all(chain[k] is shortest[k] for chain in chains):
+        k += 1
+    if not k:
+        return
+    for (column, state), chain in zip(heads, chains, strict=True):
+        if len(chain) > k:
+            chain[k][2] = None
+        else:
+            column[state] = (column[state][0], None)
+    yield from [(item, kind) for item, kind, _ in shortest[:k]]
 
 
 def _logsum(x: np.ndarray) -> np.ndarray:
@@ -435,7 +517,7 @@ def learn_from(texts: list[str], rounds: int = ROUNDS, rate: float = RATE, seed:
         for body, marked in versions:
             for zone in zones(body):
                 atoms = atoms_of(body, zone)
-                candidates = list(segments(body, atoms))
+                candidates = list(segments(body, zone))
                 first, after = {a: i for i, (a, _) in enumerate(atoms)}, {b: i + 1 for i, (_, b) in enumerate(atoms)}
                 gold, end = [], 0
                 for k, a, b in sorted(marked, key=lambda x: x[1:]):
@@ -478,9 +560,7 @@ def extra_spans(text: str, field: Field, base: list[Span]) -> list[Span]:
     out: list[Span] = []
     starts, ends = _merged(base)
     for zone in zones(text):
-        atoms = atoms_of(text, zone)
-        for i, j, k in field.best(len(atoms), segments(text, atoms)):
-            a, b = atoms[i][0], atoms[j - 1][1]
+        for (a, b), k in field.decoded(steps(text, zone)):
             at = bisect_right(ends, a)  # the first stretch that ends after the start
             if at == len(starts) or starts[at] >= b:
                 out.append((KINDS[k], a, b))
