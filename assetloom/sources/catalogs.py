@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assetloom.sources.commits import create_once
+
 VARIANT = "struct<id:string,label:string,profile:string,path:string,sha256:string,size_bytes:bigint,mtime_ns:bigint,created_at:string,source_variant_id:string,width:int,height:int,duration_sec:double,bitrate_kbps:int,video_codec:string,audio_codec:string,has_audio:boolean,probe_error:string>"
 FINGERPRINT = "struct<duration_ms:bigint,aspect_ppm:bigint,frames:array<string>,luma:array<int>,has_audio:boolean,audio_hash:string,audio_luma:int>"
 FAMILY = f"struct<id:string,name:string,category:string,source_variant_id:string,active_variant_id:string,known_hashes:array<string>,source_hashes:array<string>,content_fingerprint:{FINGERPRINT},variants:array<{VARIANT}>>"
@@ -82,21 +84,29 @@ def source_variant(family: DataFrame) -> DataFrame:
 def committed(rows: DataFrame, root: str, expected: int) -> str:
     """SNK-01: a new snapshot `rev=N+1`, written aside and then renamed; refused where that revision is there already.
 
-    Of two writers one renames first; the other one's rename finds the folder and is refused.
+    A revision belongs to who creates the file `_rev=N+1`, which names the folder that becomes it; of two writers one does,
+    and the other is refused. Where a writer died between the two steps, the next one finishes the first one's revision.
     """
-    jvm, conf = rows.sparkSession.sparkContext._jvm, rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    final, staged = (jvm.org.apache.hadoop.fs.Path(root, name) for name in (f"rev={expected + 1}", f"_staged-{uuid.uuid4().hex}"))
+    spark = rows.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    final, staged, claim = (jvm.org.apache.hadoop.fs.Path(root, name) for name in (f"rev={expected + 1}", f"_staged-{uuid.uuid4().hex}", f"_rev={expected + 1}"))
     files = final.getFileSystem(conf)
-    if files.exists(final):
-        raise FileExistsError(f"PATH_ALREADY_EXISTS: {final.toString()}")
-    rows.write.json(staged.toString())
-    if rows.sparkSession.read.schema(rows.schema).json(staged.toString()).count() != rows.count():
-        files.delete(staged, True)
-        raise ValueError("the snapshot can't be read as it was written")
-    if files.exists(final) or not files.rename(staged, final):
+    if not files.exists(final):
+        rows.write.json(staged.toString())
+        if spark.read.schema(rows.schema).json(staged.toString()).count() != rows.count():
+            files.delete(staged, True)
+            raise ValueError("the snapshot can't be read as it was written")
+        if create_once(spark, claim.toString(), staged.toString()):
+            if not files.exists(final):
+                files.rename(staged, final)
+            return final.toString()
         files.delete(staged, True)
-        raise FileExistsError(f"PATH_ALREADY_EXISTS: {final.toString()}")
-    return final.toString()
+        stream = files.open(claim)
+        left = jvm.org.apache.hadoop.fs.Path(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        stream.close()
+        if files.exists(left) and not files.exists(final):
+            files.rename(left, final)
+    raise FileExistsError(f"PATH_ALREADY_EXISTS: {final.toString()}")
 
 
 def latest(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
