@@ -65,3 +65,17 @@ def suggestion_cleaning(spark, sf_dir):
     """PRJ-07: texts cut to their widths, confidence within 0 and 1."""
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.substring(F.trim(F.get(F.split("text", "\n"), F.lit(0))), 1, 160).alias("suggested_name"), F.substring(F.trim("source"), 1, 240).alias("category"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("n_chars") / F.lit(10000.0))).alias("confidence"))
+
+
+_ROOTS = [("http://", "<web>"), ("https://", "<secure-web>"), ("/p/", "/<page>/"), ("https://site", "<site>")]
+_R = lambda x: "replace(replace(replace(replace(" + x + ", 'https://site', '<site>'), 'https://', '<secure-web>'), 'http://', '<web>'), '/p/', '/<page>/')"
+
+
+@query(f"""WITH n AS (SELECT page_id, url, regexp_extract_all(html, 'href="([^"]*)"', 1) AS links FROM pages)
+SELECT page_id, {_R("url")} AS url, array_to_string([{_R("x")} FOR x IN links], ' ') AS links, {_R("coalesce(links[1], url)")} AS first_link, 'http://' AS kept_key FROM n""")
+def nested_redaction(spark, sf_dir):
+    """PRJ-08: roots go from texts in structs, arrays and values of maps; keys stay."""
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.struct("url", links.alias("links")).alias("page"), F.create_map(F.lit("http://"), F.array(F.struct(F.coalesce(F.get(links, F.lit(0)), "url").alias("to")))).alias("by"))
+    out = names.redacted_table(rows, _ROOTS)
+    return out.select("page_id", "page.url", F.array_join("page.links", " ").alias("links"), F.get(F.element_at("by", F.lit("http://")), F.lit(0))["to"].alias("first_link"), F.get(F.map_keys("by"), F.lit(0)).alias("kept_key"))
