@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assetloom.functions import media as rules
-from assetloom.sources import geometry
+from assetloom.sources import geometry, ranges
 
 MEMBERS = "package string, member string, size long, compressed long, crc long, sha256 string, error string"
 RELATIONSHIPS = "package string, owner string, rel_id string, kind string, target string, external boolean, error string"
@@ -40,6 +40,16 @@ def packages(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("pptx"
     return files.select(F.col("path").alias("package"), "content")
 
 
+def listed(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("pptx", "docx", "xlsx")) -> DataFrame:
+    """SRC-01, SRC-05, SRC-06: the packages of a folder without their contents. Scans of these rows read by byte ranges: the
+    central directory and the members that they need, so that packages may have any size.
+
+    The store must be one that Arrow's file systems reach from executors (a shared folder, HDFS, S3, GCS).
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(suffixes)}}}").load(path)
+    return files.select(F.col("path").alias("package"))
+
+
 def crawl(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """SRC-12: path, size and time of every file that isn't empty (Spark's reader skips those); contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
@@ -102,7 +112,7 @@ def _scan(read: Callable[[zipfile.ZipFile], Iterator[tuple]], schema: str) -> Ca
             for k in range(batch.num_rows):
                 package = batch.column(0)[k].as_py()
                 try:
-                    with zipfile.ZipFile(io.BytesIO(batch.column(1)[k].as_py())) as z:
+                    with (ranges.opened(package) if batch.num_columns == 1 else io.BytesIO(batch.column(1)[k].as_py())) as held, zipfile.ZipFile(held) as z:
                         rows = [(package, *r, None) for r in read(z)]
                 except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, NotImplementedError, RuntimeError, EOFError, OSError, zlib.error) as e:
                     rows = [(package, *[None] * (len(names) - 2), f"{type(e).__name__}: {e}")]
