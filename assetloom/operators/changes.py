@@ -7,6 +7,7 @@ changes nothing.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assetloom.functions import names
@@ -126,11 +127,17 @@ def reusable(wanted: DataFrame, reported: DataFrame, variants: DataFrame) -> Dat
 
 def with_version(variants: DataFrame, family: DataFrame, made: DataFrame, unified: bool = False) -> tuple[DataFrame, DataFrame]:
     """DML-16, DML-11: made versions (family_id, id, sha256, source_variant_id, ...): a hash that the family has makes that
-    variant active again, others become variants; a unified one becomes the source, too."""
+    variant active again, others become variants; a unified one becomes the source, too.
+
+    Versions were made in the order of `ord` where there is one, else of their ids: of equal hashes the first becomes the
+    variant, and the last one made is the active one.
+    """
+    turn = F.struct("ord", "id") if "ord" in made.columns else F.struct("id")
     known = variants.groupBy("family_id", "sha256").agg(F.min_by("id", "ord").alias("known"))
-    rows = made.join(known, ["family_id", "sha256"], "left")
-    fresh = rows.where("known IS NULL").select(*[c for c in variants.columns if c in made.columns])
-    chosen = rows.groupBy("family_id").agg(F.max(F.coalesce("known", "id")).alias("chosen"))
+    first = made.groupBy("family_id", "sha256").agg(F.min_by("id", turn).alias("first"))
+    rows = made.join(known, ["family_id", "sha256"], "left").join(first, ["family_id", "sha256"])
+    fresh = rows.where("known IS NULL AND id = first").select(*[c for c in variants.columns if c in made.columns])
+    chosen = rows.groupBy("family_id").agg(F.max_by(F.coalesce("known", "first"), turn).alias("chosen"))
     heads = family.join(chosen, family["id"] == chosen["family_id"], "left").drop(chosen["family_id"])
     heads = heads.withColumn("active_variant_id", F.coalesce("chosen", "active_variant_id"))
     if unified:
@@ -156,8 +163,17 @@ def activated(family: DataFrame, variants: DataFrame, family_id: str, variant_id
     return out.select(*family.columns)
 
 
+def _single(changes: DataFrame, columns: list[str]) -> DataFrame:
+    """One change for each id: of several the greatest, so that no row is multiplied."""
+    return changes.groupBy("id").agg(F.max(F.struct(*columns)).alias("_c")).select("id", "_c.*")
+
+
 def renamed(family: DataFrame, changes: DataFrame) -> DataFrame:
-    """DML-11: families with new names and categories, all or none: an unsafe category or a name twice refuses the change."""
+    """DML-11: families with new names and categories, all or none: an unsafe category or a name twice refuses the change.
+
+    Of several changes of one family the last in order of name and category holds.
+    """
+    changes = _single(changes, ["name", "category"])
     rows = family.join(changes.select(F.col("id"), F.col("name").alias("new_name"), F.col("category").alias("new_category")), "id", "left")
     out = rows.withColumns({"name": F.coalesce(F.trim("new_name"), "name"), "category": F.coalesce(names.category(F.col("new_category")), "category"), "bad": F.col("new_category").isNotNull() & names.category(F.col("new_category")).isNull()})
     twice = out.groupBy("category", "name").agg(F.count("*").alias("k"), F.count("new_name").alias("changed")).where("k > 1 AND changed > 0")
@@ -184,10 +200,13 @@ def restored(quarantine: DataFrame, family: DataFrame, files: DataFrame, free_na
     disk = files.select(F.col("path").alias("quarantined_path"), F.col("sha256").alias("disk_sha"))
     taken = files.select(F.col("path").alias("original_path"), F.lit(True).alias("taken"))
     rows = quarantine.join(disk, "quarantined_path", "left").join(taken, "original_path", "left").join(family.select(F.col("id").alias("family_id"), F.lit(True).alias("alive")), "family_id", "left")
-    free = F.regexp_replace("original_path", r"(\.[^./]+)$", F.concat(F.lit("_"), F.substring("sha256", 1, 8), F.lit("$1")))
+    # Entries that would get one free name are told apart by a number.
+    place = F.row_number().over(W.partitionBy("original_path", F.substring("sha256", 1, 8)).orderBy("token"))
+    tail = names.numbered(F.concat(F.lit("_"), F.substring("sha256", 1, 8)), place)
+    free = F.regexp_replace("original_path", r"(\.[^./]+)$", F.concat(tail, F.lit("$1")))
     outcome = F.when(F.col("alive").isNull(), "no_family").when(F.col("disk_sha").isNull(), "no_file").when(F.col("disk_sha") != F.col("sha256"), "changed").when(F.col("taken") & F.lit(not free_name), "occupied").otherwise("restored")
     target = F.when(outcome == "restored", F.when(F.col("taken"), free).otherwise(F.col("original_path")))
-    return rows.withColumns({"outcome": outcome, "target": target}).select(*quarantine.columns, "outcome", "target")
+    return rows.withColumn("outcome", outcome).withColumn("target", target).select(*quarantine.columns, "outcome", "target")
 
 
 def detached(assets: DataFrame, decks: DataFrame, files: DataFrame, variants: DataFrame, family: DataFrame) -> DataFrame:
@@ -239,6 +258,7 @@ def updated_images(assets: DataFrame, changes: DataFrame) -> DataFrame:
     """DML-18: images with changed name, category, tags and summary; what a change leaves out stays, tags are cleaned."""
     from assetloom.operators.identity import clean_tags
 
+    changes = _single(changes, ["name", "category", "tags", "summary"])
     new = changes.select("id", *[F.col(c).alias(f"new_{c}") for c in ("name", "category", "tags", "summary")])
     rows = assets.join(new, "id", "left")
     category = F.when(F.col("new_category").isNull(), F.col("category")).otherwise(F.coalesce(names.category(F.col("new_category")), "category"))

@@ -62,6 +62,22 @@ def running(rows: DataFrame, group: list[str], order: list[Column], value: Colum
     return out.join(sums, same).withColumn(name, F.col(name) + F.col(before)).select(*rows.columns, name)
 
 
+def running_max(rows: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """WIN-06: `rows` with the greatest `value` so far in their group, by ranges as `running`; null before the first value."""
+    shared_folder(rows.sparkSession)
+    part = f"{name}_part"
+    ranges = rows.withColumn(name, value).repartitionByRange(*group, *order).withColumn(part, F.spark_partition_id()).checkpoint()
+    most = ranges.groupBy(*group, part).agg(F.max(name).alias("most"))
+    earlier = W.partitionBy(*group) if group else W.partitionBy(F.lit(1))
+    most = most.withColumn("earlier", F.max("most").over(earlier.orderBy(part).rowsBetween(W.unboundedPreceding, -1)))
+    most = most.select(F.col(part).alias("p"), "earlier", *[F.col(g).alias(f"g{k}") for k, g in enumerate(group)])
+    same = F.col(part) == F.col("p")
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"g{k}"))
+    out = ranges.withColumn(name, F.max(name).over(W.partitionBy(*group, part).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return out.join(most, same).withColumn(name, F.greatest(name, "earlier")).select(*rows.columns, name)
+
+
 def progress(rows: DataFrame, partition: str, order: str, size: str) -> DataFrame:
     """WIN-05, WIN-06: what is done after each row, its share of all, and the share shown, which never falls as no size is below 0."""
     total = rows.groupBy(F.col(partition).alias("of")).agg(F.sum(F.greatest(F.col(size), F.lit(0))).alias("all"))

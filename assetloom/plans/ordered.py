@@ -101,3 +101,10 @@ def merge_impact(spark, sf_dir):
     """AGG-19, DML-05: what merging a nation into another would move."""
     j = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
     return j.groupBy(F.col("n_nationkey").alias("source")).agg(F.count_distinct("c_custkey").alias("customers"), F.count("o_orderkey").alias("orders"), F.count_distinct("c_mktsegment").alias("segments"), F.coalesce(F.min("c_name"), F.lit("")).alias("first_name"))
+
+
+@query("SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS shown FROM events")
+def monotone_progress(spark, sf_dir):
+    """WIN-06: each user's values as a progress that never falls."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    return O.running_max(rows, ["user_id"], [F.col("ts"), F.col("event_id")], F.col("value"), "shown").select("user_id", "event_id", "value", "shown")

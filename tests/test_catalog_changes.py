@@ -216,3 +216,17 @@ def test_ranges_and_multi_index(spark):
     wanted = {(i, j): (a ^ b).bit_count() for i, a in enumerate(hashes) for j, b in enumerate(hashes) if i < j and (a ^ b).bit_count() <= 10}
     found = [(r["a"], r["b"], r["distance"]) for r in near.collect()]
     assert len(found) == len(wanted) and {(a, b): d for a, b, d in found} == wanted
+
+
+def test_versions_and_changes_that_come_twice(spark):
+    family = rows(spark, "id string, source_variant_id string, active_variant_id string", ("f", "v1", "v1"))
+    variants = rows(spark, "family_id string, id string, ord int, sha256 string", ("f", "v1", 0, "A"))
+    made = rows(spark, "family_id string, id string, ord int, sha256 string", ("f", "z", 1, "B"), ("f", "y", 2, "B"), ("f", "c", 3, "C"))
+    more, heads = changes.with_version(variants, family, made)
+    assert {r["id"] for r in more.collect()} == {"v1", "z", "c"} and heads.first()["active_variant_id"] == "c"
+    named = rows(spark, "id string, name string, category string", ("f", "one", ""))
+    twice = rows(spark, "id string, name string, category string", ("f", "new", "a"), ("f", "newer", "b"))
+    assert [(r["name"], r["category"]) for r in changes.renamed(named, twice).collect()] == [("newer", "b")]
+    held = rows(spark, "token string, family_id string, original_path string, quarantined_path string, sha256 string", ("t1", "f", "/m/a.mp4", "/q/1", "S" * 64), ("t2", "f", "/m/a.mp4", "/q/2", "S" * 64))
+    files = rows(spark, "path string, sha256 string", ("/q/1", "S" * 64), ("/q/2", "S" * 64), ("/m/a.mp4", "T"))
+    assert {r["token"]: r["target"] for r in changes.restored(held, family, files).collect()} == {"t1": "/m/a_SSSSSSSS.mp4", "t2": "/m/a_SSSSSSSS_2.mp4"}
