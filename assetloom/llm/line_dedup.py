@@ -187,8 +187,8 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def row_key(doc_id: str, text: str) -> Column:
-    """What a row is known by."""
-    return F.xxhash64(F.lit("row"), F.col(doc_id), F.col(text))
+    """What a row is known by; nulls, which a hash skips, are told."""
+    return F.xxhash64(F.lit("row"), F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text))
 
 
 def line_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

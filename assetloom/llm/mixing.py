@@ -27,6 +27,12 @@ def _hash32(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def _whole(rows: DataFrame) -> Column:
+    """A hash of all that a row holds (but maps, which have no order), so that only equal rows are ordered by chance."""
+    flat = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(*[x for c in flat for x in (F.col(c).isNull(), F.col(c))])
+
+
 def source_targets(sizes: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(none, key, source_size) -> the same with `target`; one row per source.
 
@@ -54,11 +60,11 @@ def _mixed(docs: DataFrame, size: Column, share: float, cap: float, weights: tup
     source_at, id_at = F.col(names(source)), F.col(names(doc_id))
     rows = rows.withColumns({
         "none": source_at.isNull().cast("int"), "key": F.coalesce(source_at.cast("string"), F.lit("")), "doc": id_at,
-        "h": _hash32(F.coalesce(id_at.cast("string"), F.lit(""))), "row": F.monotonically_increasing_id(),
+        "h": _hash32(F.coalesce(id_at.cast("string"), F.lit(""))), "own": _whole(rows), "row": F.monotonically_increasing_id(),
     })
     rows = stored(rows, "mix")  # the row's number holds from here on
     targets = source_targets(rows.groupBy("none", "key").agg(F.sum("size").alias("source_size")), share, cap, weights)
-    ranked = running(rows.select("row", "none", "key", "size", "h", "doc"), ["none", "key"], ["size", "h", "doc", "row"], F.lit(1).cast("long"), "before")
+    ranked = running(rows.select("row", "none", "key", "size", "h", "doc", "own"), ["none", "key"], ["size", "h", "doc", "own", "row"], F.lit(1).cast("long"), "before")
     e = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     u = _hash32(F.concat(F.lit(f"{seed}:"), F.col("none").cast("string"), F.lit(":"), F.col("key"))) / F.lit(4294967296.0)
     copies = F.floor(F.col("e") * (F.col("before") + 1) + F.col("u")) - F.floor(F.col("e") * F.col("before") + F.col("u"))

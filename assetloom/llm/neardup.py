@@ -23,6 +23,8 @@ from .common import checkpointed, mapped, spread
 
 #: Rows and bytes of a block. Rows of a group that is compared pair by pair. Items whose bands are looked at together.
 BLOCK, BLOCK_BYTES, FEW_ROWS, TOGETHER = 512, 16 << 20, 16, 16_384
+#: Items of a bucket beyond which all of them are weighed.
+WEIGHED = 32
 #: Bits a wanted key and the most bitmaps of a filter; places over which the rows of a band are dealt.
 SLOTS, MOST_BITMAPS, PLACES = 16, 8192, 1024
 
@@ -105,9 +107,12 @@ def maybe_wanted(rows: DataFrame, wanted: DataFrame, key: str, flag: str) -> Dat
 def _blocks(members: DataFrame, payload: DataFrame, block: int, block_bytes: int) -> DataFrame:
     """Members with payload, once for each pair of blocks (i <= j) that their block is in."""
     owned = members.groupBy("item").agg(F.sort_array(F.collect_set("bucket")).alias("own"))  # at most one a band
-    some = members.where("n > 32").join(payload.select("item", F.length("shingles").alias("size")), "item")
+    sizes = payload.select("item", F.length("shingles").alias("size"))
+    # Of buckets of a few items only the large ones are weighed: the rest of such a bucket is a block at most.
+    some = members.where(f"n > {WEIGHED}").join(sizes, "item").unionByName(members.where(f"n <= {WEIGHED}").join(sizes.where(f"size > {block_bytes // WEIGHED}"), "item"))
     heavy = some.groupBy("bucket").agg(F.sum("size").alias("total"))
-    k = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.coalesce("total", F.lit(0)) / block_bytes)).cast("int")
+    rest = F.when((F.col("n") <= WEIGHED) & F.col("total").isNotNull(), F.lit(block_bytes)).otherwise(F.lit(0))
+    k = F.greatest(F.ceil(F.col("n") / block), F.ceil((F.coalesce("total", F.lit(0)) + rest) / block_bytes)).cast("int")
     cut = members.join(spread(heavy), "bucket", "left").select("item", "bucket", k.alias("k"))
     rows = cut.join(payload.join(owned, "item"), "item")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("item"), F.col("k")).cast("int"))

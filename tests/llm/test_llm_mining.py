@@ -14,7 +14,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from assetloom.llm import importance, phrases, pieces, pii, prefix_counts, queries, words
+from assetloom.llm import importance, jaccard_join, line_dedup, mixing, phrases, pieces, pii, prefix_counts, queries, words
 
 LONG = "alpha beta gamma delta " * 30_000
 TEXTS = [None, "", " \n\t", "One two three four five", "One two three four five", "ÄÖ ß, 中文 中文! x" * 9, LONG, "y" * 30_000, "a b c d e f g h i j k l m n o p q r s t u v w x y z"]
@@ -223,3 +223,34 @@ def test_giving_out_early_changes_nothing(field, monkeypatch):
         got.append(pii.extra_spans(text, field, base))
     assert got[0] and all(x == got[0] for x in got)
     assert pii.extra_spans("9" * 200_000 + " " + "a1" * 100_000, field, []) == []
+
+
+def test_rows_with_nulls_are_told_apart(spark):
+    rows = spark.createDataFrame([("x", None), (None, "x"), (None, None)], "doc_id string, text string")
+    got = {r["doc_id"]: r["n_lines"] for r in line_dedup.report(rows.where("doc_id IS NOT NULL OR text IS NOT NULL")).collect()}
+    assert got == {"x": 0, None: 1}
+
+
+def test_a_mix_depends_on_rows_alone(spark):
+    """Rows of one id and size: what is drawn doesn't follow the layout."""
+    rows = [(1, f"w{k} " * 3, "a") for k in range(40)] + [(2, "x " * 50, "b")] * 3
+    random.Random(4).shuffle(rows)
+    schema, drawn = "doc_id long, text string, source string", []
+    for n in (1, 5):
+        drawn.append(sorted(r["text"] for r in mixing.emitted(spark.createDataFrame(rows, schema).repartition(n)).collect()))
+        rows.reverse()
+    assert drawn[0] == drawn[1] and 0 < len(drawn[0])
+
+
+def test_few_long_texts_are_cut_into_blocks(spark):
+    """A bucket of a few items that are large together is compared in parts, and no link is lost."""
+    from assetloom.llm import neardup
+
+    dice = random.Random(6)
+    said = [f"w{dice.randint(0, 10**6)}" for _ in range(3000)]
+    docs = spark.createDataFrame([(k, " ".join([*said, f"own{k}"])) for k in range(6)], "doc_id long, text string")
+    assert {r["n_links"] for r in jaccard_join.report(docs).collect()} == {5}
+    members = spark.createDataFrame([(k, 7, 6) for k in range(6)], "item long, bucket long, n long")
+    payload = spark.createDataFrame([(k, 1, bytearray(8000)) for k in range(6)], "item long, copies long, shingles binary")
+    cut = neardup._blocks(members, payload, 512, 16_000).collect()
+    assert max(sum(1 for r in cut if (r["i"], r["j"]) == at and r["mine"] == side) * 8000 for at in {(r["i"], r["j"]) for r in cut} for side in range(9)) < 48_000 and len(cut) > 6
