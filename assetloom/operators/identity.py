@@ -22,8 +22,14 @@ def ambiguous_owners(assets: DataFrame, digest: str, owner: str) -> DataFrame:
 
 
 def canonical(assets: DataFrame, key: str, order: str, largest: list[str]) -> DataFrame:
-    """AGG-01: the first row of each key stands for all, with their number, their orders and the largest measures."""
-    return assets.groupBy(key).agg(F.min(order).alias("canonical"), F.count("*").alias("n_occurrences"), F.sort_array(F.collect_list(order)).alias("occurrences"), *[F.max(c).alias(f"max_{c}") for c in largest])
+    """AGG-01: the first row of each key stands for all, with their number and the largest measures; `membership` has the rows."""
+    return assets.groupBy(key).agg(F.min(order).alias("canonical"), F.count("*").alias("n_occurrences"), *[F.max(c).alias(f"max_{c}") for c in largest])
+
+
+def membership(assets: DataFrame, key: str, order: str) -> DataFrame:
+    """AGG-01, SCL-60: each row with the one that stands for it; a hot key's rows are never gathered."""
+    first = assets.groupBy(key).agg(F.min(order).alias("canonical"))
+    return assets.select(key, order).join(first, key).select("canonical", order)
 
 
 def duplicate_map(assets: DataFrame, key: str, order: str) -> DataFrame:
@@ -33,8 +39,8 @@ def duplicate_map(assets: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def hash_catalog(assets: DataFrame, owner: str, digest: str) -> DataFrame:
-    """SNK-09, SET-01: each owner's distinct hashes in order."""
-    return assets.groupBy(owner).agg(F.sort_array(F.collect_set(digest)).alias("hashes"))
+    """SNK-09, SET-01: each owner's distinct hashes, a row each."""
+    return assets.select(owner, digest).distinct()
 
 
 def classified(lookups: DataFrame, owners: DataFrame, digest: str, owner: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assetloom.operators import folds
 from assetloom.operators import identity as I
 
 from .registry import query, table
@@ -29,10 +30,16 @@ def exact_dup_ownership(spark, sf_dir):
     return I.ambiguous_owners(_docs(spark, sf_dir), "sha", "source")
 
 
-@query(f"""{_DOCS} SELECT sha, min(doc_id) AS canonical, count(*) AS n_occurrences, array_to_string(list_sort(list(doc_id)), ',') AS occurrences, max(n_chars) AS max_n_chars FROM d GROUP BY sha""")
+@query(f"""{_DOCS} SELECT sha, min(doc_id) AS canonical, count(*) AS n_occurrences, max(n_chars) AS max_n_chars FROM d GROUP BY sha""")
 def exact_dup_canonical(spark, sf_dir):
-    """AGG-01, SCL-60."""
-    return I.canonical(_docs(spark, sf_dir), "sha", "doc_id", ["n_chars"]).withColumn("occurrences", F.array_join("occurrences", ","))
+    """AGG-01."""
+    return I.canonical(_docs(spark, sf_dir), "sha", "doc_id", ["n_chars"])
+
+
+@query(f"""{_DOCS} SELECT min(doc_id) OVER (PARTITION BY sha) AS canonical, doc_id FROM d""")
+def occurrence_members(spark, sf_dir):
+    """AGG-01, SCL-60: every occurrence with the one that stands for it."""
+    return I.membership(_docs(spark, sf_dir), "sha", "doc_id")
 
 
 @query(f"""{_DOCS}, f AS (SELECT sha, min(doc_id) AS canonical FROM d GROUP BY sha) SELECT doc_id AS duplicate, canonical FROM d JOIN f USING (sha) WHERE doc_id <> canonical""")
@@ -41,11 +48,10 @@ def duplicate_map(spark, sf_dir):
     return I.duplicate_map(_docs(spark, sf_dir).select("sha", "doc_id"), "sha", "doc_id")
 
 
-@query(f"""{_DOCS} SELECT source, array_to_string(list_sort(list(DISTINCT sha)), ',') AS hashes, count(DISTINCT sha) AS n_hashes FROM d GROUP BY source""")
+@query(f"""{_DOCS} SELECT DISTINCT source, sha FROM d""")
 def hash_union_catalog(spark, sf_dir):
-    """SNK-09, SET-01, SCL-66, D17."""
-    out = I.hash_catalog(_docs(spark, sf_dir), "source", "sha")
-    return out.select("source", F.array_join("hashes", ",").alias("hashes"), F.size("hashes").cast("long").alias("n_hashes"))
+    """SNK-09, SET-01, SCL-66, D17: the catalog as rows, so that a source may hold any number of hashes."""
+    return I.hash_catalog(_docs(spark, sf_dir), "source", "sha")
 
 
 @query(f"""{_DOCS}, k AS (SELECT doc_id, sha FROM d WHERE NOT known), o AS (SELECT sha, count(DISTINCT source) AS n, min(source) AS one FROM d WHERE known GROUP BY sha)
@@ -140,3 +146,17 @@ def cleanup_savings(spark, sf_dir):
     across = docs.groupBy("sha").agg(F.count_distinct("source").alias("k"), *measures).where("k > 1").drop("k").withColumn("source", F.lit(None).cast("string"))
     within = docs.groupBy("source", "sha").agg(*measures).where("n > 1").join(across.select("sha"), "sha", "left_anti")
     return within.unionByName(across).select("source", "sha", "keep", "n", "savings").orderBy(F.desc("savings"), "keep")
+
+
+@query(f"""WITH RECURSIVE {_DOCS.replace("WITH ", "")}, g AS (SELECT doc_id % 60 AS ord, list(DISTINCT sha) AS hashes FROM d WHERE NOT known GROUP BY doc_id % 60),
+o AS (SELECT ord, hashes, row_number() OVER (ORDER BY ord) AS k FROM g),
+walk AS (
+  SELECT 0::BIGINT AS k, 0::BIGINT AS ord, (SELECT list(DISTINCT sha || '|' || source) FROM d WHERE known) AS known, CAST([] AS VARCHAR[]) AS anchors, 0::BIGINT AS n_added
+  UNION ALL SELECT k, ord, CASE WHEN len(a) = 1 THEN list_distinct(list_concat(known, [h || '|' || a[1] FOR h IN hashes])) ELSE known END, a, CASE WHEN len(a) = 1 THEN len([h FOR h IN hashes IF NOT list_contains(known, h || '|' || a[1])]) ELSE 0 END
+  FROM (SELECT o.k, o.ord, o.hashes, walk.known, list_distinct([split_part(x, '|', 2) FOR x IN walk.known IF list_contains(o.hashes, split_part(x, '|', 1))]) AS a FROM walk JOIN o ON o.k = walk.k + 1))
+SELECT ord, CASE len(anchors) WHEN 0 THEN 'skipped' WHEN 1 THEN 'matched' ELSE 'conflict' END AS state, CASE WHEN len(anchors) = 1 THEN anchors[1] END AS anchor, n_added FROM walk WHERE k > 0""")
+def hash_catalog_merge(spark, sf_dir):
+    """DML-07, SRT-08, JON-12: groups of incoming hashes merged one after another into the families that they share one with."""
+    known, rest = _halves(spark, sf_dir)
+    found, _ = folds.merged_catalog(known.select(F.col("sha").alias("hash"), F.col("source").alias("family")), rest.select((F.col("doc_id") % 60).alias("ord"), F.col("sha").alias("hash")))
+    return found
