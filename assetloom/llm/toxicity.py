@@ -38,6 +38,8 @@ from .common import Aside, checkpointed, portions, small_batches, trimmed
 #: Bounds of the labelled sample.
 MAX_TOXIC, MAX_CLEAN = 3_000, 9_000
 LEAST_DOCS, LEAST_RATIO, LEAST_STEM, MOST_STEM = 3, 20.0, 4, 7
+#: Entries that a task counts before it hands the counts on.
+COUNTED = 100_000
 #: Entries in so large a share of the documents of the commonest one join the cover.
 ENTRY_SHARE = 0.15
 
@@ -132,11 +134,18 @@ def _counted(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
             for t in b["text"]:
                 found = _entries(t)
                 n.update(found if wanted is None else found & wanted)
-        yield pd.DataFrame({"entry": list(n), "n": list(n.values())}).astype({"entry": "object", "n": "int64"})
+                if len(n) >= COUNTED:  # what has been counted so far is summed outside
+                    yield _frame(n)
+                    n.clear()
+        yield _frame(n)
 
     return sample.mapInPandas(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
+def _frame(n: Counter[str]) -> pd.DataFrame:
+    return pd.DataFrame({"entry": list(n), "n": list(n.values())}).astype({"entry": "object", "n": "int64"})
+
+
 def learn(docs: DataFrame, labels: DataFrame, train: Column, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Lexicon:
     """The lexicon from `labels` rows for which `train` holds."""
     sample = _sample(docs, labels, train, max_toxic, max_clean)
