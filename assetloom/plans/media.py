@@ -18,9 +18,10 @@ SELECT l_orderkey, l_linenumber, fits, CASE WHEN w <= 0 OR h <= 0 THEN 'by the t
 def tier_plan(spark, sf_dir):
     """FLT-05, SCL-68, SUP-10."""
     q = F.col("l_quantity")
-    w, h = (q * 50).cast("int"), (q * 30).cast("int")
+    whole = lambda x: F.rint(x).cast("int")
+    w, h = whole(q * 50), whole(q * 30)
     rules = M.tier("balanced")
-    fits = M.embeddable(w, h, F.when(F.col("l_returnflag") == "R", ".mov").otherwise(".MP4"), F.when(F.col("l_linestatus") == "O", "h264").otherwise("vp9"), F.when(F.col("l_linenumber") != 1, "aac"), F.round(F.col("l_extendedprice") / 10).cast("int"), rules)
+    fits = M.embeddable(w, h, F.when(F.col("l_returnflag") == "R", ".mov").otherwise(".MP4"), F.when(F.col("l_linestatus") == "O", "h264").otherwise("vp9"), F.when(F.col("l_linenumber") != 1, "aac"), whole(F.col("l_extendedprice") / 10), rules)
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", fits.alias("fits"), M.plan_text(w, h, fits, rules).alias("plan"))
 
 
