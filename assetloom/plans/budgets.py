@@ -17,7 +17,7 @@ k AS (SELECT *, need - vs - is_ AS remain, greatest(0, v - vs) AS mv, greatest(0
 SELECT l_returnflag, v AS video, i AS image, t AS target, CASE WHEN t >= v + i THEN v ELSE greatest(0, v - vs - ev) END AS video_budget, CASE WHEN t >= v + i THEN i ELSE greatest(0, i - is_ - CASE WHEN remain > 0 AND mv + mi > 0 THEN least(mi, remain - ev) ELSE 0 END) END AS image_budget FROM m""")
 def budget_split(spark, sf_dir):
     """ITR-04, AGG-11."""
-    b = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg((F.sum("l_quantity") * 1000).cast("long").alias("video"), F.round(F.sum("l_extendedprice") / 100).cast("long").alias("image"), (F.sum("l_quantity") * 700).cast("long").alias("target"))
+    b = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.rint(F.sum("l_quantity") * 1000).cast("long").alias("video"), F.rint(F.sum("l_extendedprice") / 100).cast("long").alias("image"), (F.sum("l_quantity") * 700).cast("long").alias("target"))
     return B.split(b, "video", "image", "target", "balanced", "balanced")
 
 
