@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +95,26 @@ def test_damaged_prefix_and_unique_candidate(spark):
     assert {tuple(r) for r in identity.unique_candidate(pairs, "k", "owner").collect()} == {(1, 1, "A"), (2, 2, None)}
 
 
+def test_prefixes_of_texts_that_begin_alike(spark):
+    """Texts of one long header, with copies and wide characters: equal to all pairs, and each known text makes few hashes."""
+    dice = random.Random(12)
+    head = "".join(dice.choice("aäß漢𝄞 \n") for _ in range(700))
+    bodies = [head + "".join(dice.choice("xyé") for _ in range(dice.choice([1, 60, 400, 900]))) for _ in range(30)]
+    known = [("ABCD"[k % 4], b) for k, b in enumerate(bodies)] + [("A", bodies[0]), ("B", head[:64] + "!"), ("C", None)]
+    rest = [head[:k] for k in (63, 64, 65, 127, 128, 129, 255, 256, 300, 512, 699, 700)] + [b[: len(b) - dice.choice([0, 1, 40])] for b in bodies] + [head[:100] + "?", None, head[:64]]
+    wanted = {}
+    for k, t in enumerate(rest):
+        held = {o for o, b in known if t is not None and b is not None and 64 <= len(t) < len(b) and b.startswith(t)}
+        if held:
+            wanted[k] = (len(held), min(held) if len(held) == 1 else None)
+    a, b = spark.createDataFrame(list(enumerate(rest)), "k long, text string"), spark.createDataFrame(known, "owner string, text string")
+    got = [(r["k"], (r["n_candidates"], r["match"])) for r in identity.damaged_prefix(a, b, "k", "text", "owner").collect()]
+    assert len(got) == len(wanted) and dict(got) == wanted and {n for n, _ in wanted.values()} >= {1, 4}
+    # The marks tell apart what begins alike: texts of 128 characters and more don't meet those that share 64.
+    facts = identity.prefix_facts(a, ["k"], "text")
+    assert {r["k"]: len(r["marks"]) for r in facts.where("k < 12").collect()} == {1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 2, 7: 3, 8: 3, 9: 4, 10: 4, 11: 4}
+
+
 def test_recommendation(spark):
     rows = [(1, "o", 0, "original", 1080, 4000, 2_073_600, 10_000, 1.0, True), (1, "h", 1, "high", 1080, 1500, 2_073_600, 4000, 0.99, True), (1, "a", 2, "aggressive", 360, 300, 230_400, 1000, 0.97, True)]
     got = catalog.recommended(spark.createDataFrame(rows, "group_id int, variant_id string, ord int, profile string, height int, kbps int, pixels int, size_bytes int, ssim double, allowed boolean")).first()
