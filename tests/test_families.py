@@ -24,6 +24,35 @@ def test_long_documents_equal_sql(spark, tmp_path, name):
     same_rows(registry.QUERIES[name](spark, str(tmp_path)), c, registry.ORACLE[name])
 
 
+def test_cleanup_allows_whatever_matches(spark, tmp_path):
+    """The best family that is whole isn't linked to one that matches it by 100 ms: not comfortably, which the SQL doesn't ask for."""
+    text = "".join(c * (90 - 3 * k) for k, c in enumerate("etaoinshrdlucmfwypvbgk"))
+    text = "".join(random.Random(3).sample(text, len(text)))[:1000] + "e" * 15
+    rows = [(k, text[:n], "fr", "s", n) for k, n in [(19, 1015), (2, 1010), (3, 1000)]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = registry.QUERIES["cleanup_groups"](spark, str(tmp_path)).cache()
+    assert [(r["n_candidates"], r["safe_to_apply"]) for r in found.collect()] == [(3, True)]
+    same_rows(found, c, registry.ORACLE["cleanup_groups"])
+
+
+@pytest.mark.parametrize("name", ["matched_families", "cleanup_groups"])
+def test_names_are_taken_as_they_are(spark, tmp_path, name):
+    """Equal names of a generic kind link, names that differ in case don't; brightness differs too much for a match without a name."""
+    dice = random.Random(5)
+    body = "".join(dice.choices("etaoinshrdlucmfwypvbgk", range(44, 0, -2), k=990))
+    at = [k for fifth in (range(180), range(200, 380)) for k in dice.sample([k for k in fifth if body[k] != "e"], 24)]
+    brighter = "".join("e" if k in at else c for k, c in enumerate(body))
+    heads = [("media one ", body), ("media one ", brighter), ("Media one ", brighter), ("a name (1)", body), ("a name (2)", brighter)]
+    rows = [(k, h + b, "en", "s", 1000) for k, (h, b) in enumerate(heads, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert ("name",) in c.execute(f"SELECT DISTINCT why FROM ({registry.ORACLE['matched_families']})").fetchall()
+    same_rows(registry.QUERIES[name](spark, str(tmp_path)), c, registry.ORACLE[name])
+
+
 def test_long_of_hex(spark):
     rows = spark.createDataFrame([("ffffffffffffffff",), ("8000000000000001",), ("00000000000000Ff",), ("zz",), (None,)], "x string")
     assert [r["y"] for r in rows.select(bits.long_of_hex(F.col("x")).alias("y")).collect()] == [-1, -(2**63) + 1, 255, None, None]
