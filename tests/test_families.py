@@ -53,6 +53,44 @@ def test_names_are_taken_as_they_are(spark, tmp_path, name):
     same_rows(registry.QUERIES[name](spark, str(tmp_path)), c, registry.ORACLE[name])
 
 
+PRINTS = "id long, fp struct<duration_ms: long, aspect_ppm: long, frames: array<string>, luma: array<int>, has_audio: boolean, audio_hash: string>"
+
+
+def test_earlier_matches_equal_pairs(spark, monkeypatch):
+    """Four to six frames, sound, unknown brightness and broken prints, copies in several lots, steps of lengths in several blocks."""
+    monkeypatch.setattr(families, "COPIES", 3)
+    monkeypatch.setattr(families, "BLOCK", 8)
+    dice, rows = random.Random(6), []
+    for k in range(400):
+        n = 4 + k % 3
+        base = random.Random(k % 5)
+        frames = [base.getrandbits(64) ^ sum(1 << b for b in dice.sample(range(64), dice.choice([0, 0, 2, 4, 5]))) for _ in range(n)]
+        if k % 7 == 0:
+            frames[-1] = dice.getrandbits(64)
+        luma = [50 + dice.randint(0, 11) for _ in range(n)]
+        hexes = [f"{f:016x}" for f in frames]
+        sound = dice.choice([None, None, False, True])
+        voice = None if k % 29 == 0 else f"{sum(1 << b for b in dice.sample(range(64), dice.randint(0, 9))):016x}"
+        rows.append((k * 7 % 1000 - 300, (300_000 + dice.choice([0, 140, 200, 249, 251]), 1_777_778 + dice.choice([0, 20_000, 30_000]), hexes if k % 31 else ["zz", *hexes[1:]], luma if k % 11 else [None, *luma[1:]], sound, voice)))
+        if k % 9 == 0:
+            rows += [(2000 + k * 20 - 100 * (j % 2) + j, rows[-1][1]) for j in range(10)]
+    df = spark.createDataFrame(rows, PRINTS)
+    every = df.select(F.col("id").alias("a"), F.col("fp").alias("x")).join(df.select(F.col("id").alias("b"), F.col("fp").alias("y")), F.col("a") < F.col("b"))
+    for most in (150, 250):
+        wanted = {}
+        for r in every.where(bits.fingerprints_match(F.col("x"), F.col("y"), most)).select("a", "b").collect():
+            wanted.setdefault(r["b"], []).append(r["a"])
+        found = {r["id"]: (r["n_candidates"], r["match"]) for r in families.earlier_matches(df, most).collect()}
+        assert wanted and found == {b: (len(a), a[0] if len(a) == 1 else None) for b, a in wanted.items()}
+
+
+def test_earlier_matches_make_no_pairs(spark):
+    """60,000 copies and one near copy after them: 1.8 billion pairs, of which only sums are needed."""
+    fp = lambda frame: F.struct(F.lit(20_000).cast("long").alias("duration_ms"), F.lit(1_777_778).cast("long").alias("aspect_ppm"), F.array(frame, *[F.lit("00000000000000ff")] * 4).alias("frames"), F.array(*[F.lit(50)] * 5).alias("luma"), F.lit(None).cast("boolean").alias("has_audio"), F.lit(None).cast("string").alias("audio_hash"))
+    found = families.earlier_matches(spark.range(60_001).select("id", fp(F.when(F.col("id") == 60_000, "00000000000000fe").otherwise("00000000000000ff")).alias("fp")))
+    assert found.where("n_candidates <> id OR (match IS NULL) = (id = 1)").isEmpty() and found.count() == 60_000
+
+
 def test_long_of_hex(spark):
     rows = spark.createDataFrame([("ffffffffffffffff",), ("8000000000000001",), ("00000000000000Ff",), ("zz",), (None,)], "x string")
     assert [r["y"] for r in rows.select(bits.long_of_hex(F.col("x")).alias("y")).collect()] == [-1, -(2**63) + 1, 255, None, None]
